@@ -150,7 +150,7 @@ class Series:
             )
         )
 
-    def index(self, name: str = "rn", start: int = 0) -> DataFrame:
+    def index(self, name: str = "rn", start: int = 1) -> DataFrame:
         """Dense row position within the series, counted from `start`."""
         position = F.row_number().over(self.window()) + (start - 1)
         if self.chunks is None:
