@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -219,19 +219,20 @@ def window_scaler(windows: DataFrame, channels: int, x: str = "x") -> tuple[list
     come back to the driver.
     """
     spans = range(channels)
-    total = [F.sum(F.aggregate(channel(x, c), F.lit(0.0), lambda s, a: s + a)).alias(f"s{c}") for c in spans]
-    row = windows.agg(F.sum(F.size(x)).alias("n"), *total).first()
+
+    def total(c: int, term: Callable[[Column], Column]) -> Column:
+        return F.sum(F.aggregate(channel(x, c), F.lit(0.0), lambda s, a: s + term(a))).alias(f"c{c}")
+
+    row = windows.agg(F.sum(F.size(x)).alias("n"), *[total(c, lambda a: a) for c in spans]).first()
     if not row["n"]:
         raise ValueError("no windows to fit the scaler on")
-    mean = [row[f"s{c}"] / row["n"] for c in spans]
-    squares = [
-        F.sum(
-            F.aggregate(channel(x, c), F.lit(0.0), lambda s, a, m=mean[c]: s + (a - m) * (a - m))
-        ).alias(f"q{c}")
-        for c in spans
-    ]
-    spread = windows.agg(*squares).first()
-    return mean, [(spread[f"q{c}"] / row["n"]) ** 0.5 for c in spans]
+    mean = [row[f"c{c}"] / row["n"] for c in spans]
+
+    def spread_from(m: float) -> Callable[[Column], Column]:
+        return lambda a: (a - m) * (a - m)
+
+    spread = windows.agg(*[total(c, spread_from(mean[c])) for c in spans]).first()
+    return mean, [(spread[f"c{c}"] / row["n"]) ** 0.5 for c in spans]
 
 
 def fit_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -1 +1,185 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultlens.functions.scalar import anomaly_score
+from faultlens.operators import registry as R
+from faultlens.operators import training as M
+from faultlens.operators import windows as V
+from faultlens.operators.features import add_features, feature_names
+from faultlens.operators.sampling import smote, stratified_folds, stratified_split
+from faultlens.operators.scoring import SensorFeatures, score_with
+from faultlens.queries.registry import R_SQL, labelled, query, r6, readings, sensors, table
+from faultlens.schema import SENSORS
+
+KEEP = ["event_id", "y"]
+
+
+def modelled(spark, sf):
+    """34 features per reading; the fault is a score of at least 0.2, which they can show."""
+    rows = sensors(spark, sf).withColumn("y", (F.col("score") >= 0.2).cast("int"))
+    spec = SensorFeatures(key=["asset_id"], enableV2=False).spec()
+    feats = add_features(rows, "asset_id", spec=spec, gaps=False)
+    return stratified_split(feats, "y", "event_id")
+
+
+def split(spark, sf):
+    rows = modelled(spark, sf)
+    return rows.where("NOT is_test"), rows.where("is_test")
+
+
+@query("forest_scores")
+def forest_scores(spark, sf):
+    train, test = split(spark, sf)
+    model = M.train_forest(train, feature_names(False), numTrees=20, maxDepth=8)
+    return M.score(model, test, KEEP)
+
+
+@query("forest_grid_search")
+def forest_grid_search(spark, sf):
+    """Grid over folds; the training side of each fold is balanced by synthetic rows."""
+    rows = modelled(spark, sf).where("NOT is_test").select("event_id", "y", F.array(*SENSORS).alias("v"))
+
+    def unpack(df):
+        return df.select("event_id", "y", *[F.element_at("v", i + 1).alias(c) for i, c in enumerate(SENSORS)])
+
+    def resample(train):
+        packed = train.select("event_id", "y", F.array(*SENSORS).alias("v"))
+        return unpack(smote(packed, "v", "y", "event_id"))
+
+    trials = M.search(
+        unpack(rows),
+        lambda df, p: M.train_forest(df, SENSORS, weighted=False, **p),
+        M.grid({"numTrees": [5], "maxDepth": [3, 6]}),
+        "y",
+        "event_id",
+        folds=3,
+        resample=resample,
+    )
+    out = [(t.params["numTrees"], t.params["maxDepth"], t.mean) for t in trials]
+    return spark.createDataFrame(out, "num_trees int, max_depth int, mean_f1 double")
+
+
+@query("boosted_scores")
+def boosted_scores(spark, sf):
+    train, test = split(spark, sf)
+    train = stratified_split(train.drop("is_test"), "y", "event_id", 0.1).withColumnRenamed("is_test", "is_validation")
+    model = M.train_boosted(
+        train, feature_names(False), validation="is_validation", maxIter=10, maxDepth=4, stepSize=0.2
+    )
+    return M.score(model, test, KEEP)
+
+
+@query("mlp_scores")
+def mlp_scores(spark, sf):
+    train, test = split(spark, sf)
+    names = feature_names(False)
+    stats = V.fit_columns(train, names)
+    balanced = M.replicate_minority(V.standardize_columns(train, stats), "y")
+    model = M.train_mlp(balanced, names, maxIter=15)
+    return M.score(model, V.standardize_columns(test, stats), KEEP)
+
+
+def tensors(spark, sf):
+    w = V.sliding_windows(labelled(spark, sf), ["TP2", "TP3", "Motor_current"], label="anomaly")
+    return stratified_folds(w, "y", "wid", 5)
+
+
+@query("window_classifier_scores")
+def window_classifier_scores(spark, sf):
+    w = tensors(spark, sf)
+    model, prepare = M.train_window_classifier(w.where("fold <> 0"), 3, numTrees=10, maxDepth=5)
+    return M.score(model, prepare(w.where("fold = 0")), ["wid", "y"])
+
+
+@query("window_patch_classifier_scores")
+def window_patch_classifier_scores(spark, sf):
+    w = tensors(spark, sf)
+    model, prepare = M.train_window_classifier(w.where("fold <> 0"), 3, kind="patches", numTrees=10, maxDepth=5)
+    return M.score(model, prepare(w.where("fold = 0")), ["wid", "y"])
+
+
+@query("pca_reconstruction_scores")
+def pca_reconstruction_scores(spark, sf):
+    w = tensors(spark, sf)
+    model = M.train_reconstruction(w.where("fold <> 0"), 3, k=8, validation=w.where("fold = 0"))
+    return model.errors(w).select(
+        "wid", "y", r6("error").alias("error"), r6(anomaly_score("error", model.threshold)).alias("score")
+    )
+
+
+class RatioPredictor:
+    """A stand-in for a user's model: class-to-probability maps from two sensors."""
+
+    feature_names_in_ = ["TP2", "TP3"]
+
+    def predict_proba(self, rows):
+        p = rows["TP2"] / (rows["TP2"] + rows["TP3"] + 1.0)
+        return [{0: 1.0 - v, 1: v} for v in p]
+
+
+@query(
+    "plugin_scores",
+    """WITH r AS (SELECT event_id, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events)
+    SELECT event_id, round(value / (value + k + 1.0), 6) AS probability,
+      CAST(round(value / (value + k + 1.0), 6) >= 0.5 AS INTEGER) AS predicted_class FROM r""",
+)
+def plugin_scores(spark, sf):
+    return score_with(sensors(spark, sf), RatioPredictor, RatioPredictor.feature_names_in_, ["event_id"])
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    rows = sensors(spark, sf).withColumn("y", (F.col("score") >= 0.2).cast("int"))
+    model = M.train_forest(rows, SENSORS, weighted=False, numTrees=50, maxDepth=5)
+    return M.feature_importance(model, SENSORS, spark)
+
+
+RUNS_SQL = """runs AS (SELECT event_type AS experiment, 'run-' || user_id AS run_id, round(max(value), 6) AS f1
+  FROM events GROUP BY event_type, user_id)"""
+
+
+def runs(spark, sf):
+    """Each (event type, asset) as an experiment run with two metrics."""
+    e = table(spark, sf, "events")
+    return e.groupBy(F.col("event_type").alias("experiment"), F.concat(F.lit("run-"), F.col("user_id")).alias("run_id")).agg(
+        F.create_map(F.lit("f1"), F.round(F.max("value"), 6), F.lit("n"), F.count("*").cast("double")).alias("metrics")
+    )
+
+
+@query(
+    "champion_run",
+    f"WITH {RUNS_SQL} SELECT run_id, f1 AS value FROM runs WHERE experiment = 'error' ORDER BY f1 DESC, run_id LIMIT 1",
+)
+def champion_run(spark, sf):
+    return R.best_run(runs(spark, sf), "error", "f1")
+
+
+def cards(spark, sf):
+    return readings(spark, sf).groupBy(F.col("event_type").alias("model_name")).agg(
+        F.round(F.avg("score"), 6).cast("string").alias("decision_threshold"), F.count("*").alias("n_train")
+    )
+
+
+@query(
+    "promoted_card",
+    f"""WITH {R_SQL}, {RUNS_SQL}, best AS (SELECT run_id FROM runs WHERE experiment = 'view' ORDER BY f1 DESC, run_id LIMIT 1)
+    SELECT event_type AS model_name, count(*) AS n_train,
+      CASE WHEN event_type = 'view' THEN (SELECT run_id FROM best) END AS promoted_run_id FROM r GROUP BY event_type""",
+)
+def promoted_card(spark, sf):
+    run = R.best_run(runs(spark, sf), "view", "f1").first()["run_id"]
+    return R.promote(cards(spark, sf), "view", run).select("model_name", "n_train", "promoted_run_id")
+
+
+@query(
+    "model_status",
+    """SELECT m AS model_name, m IN (SELECT event_type FROM events WHERE value > 1) AS ready, m = 'error' AS active
+    FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'absent']) AS m)""",
+)
+def model_status(spark, sf):
+    known = ["click", "error", "purchase", "signup", "view", "absent"]
+    ready = readings(spark, sf).where("value > 1").select(F.col("event_type").alias("model_name"))
+    return R.model_status(ready, known, R.switch_model(" Error ", known))
+
 
