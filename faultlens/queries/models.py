@@ -11,6 +11,7 @@ from faultlens.operators.sampling import smote, stratified_folds, stratified_spl
 from faultlens.operators.scoring import SensorFeatures, score_with
 from faultlens.queries.registry import R_SQL, labelled, query, r6, readings, sensors, table
 from faultlens.schema import SENSORS
+from faultlens.session import cut
 
 KEEP = ["event_id", "y"]
 
@@ -20,7 +21,8 @@ def modelled(spark, sf):
     rows = sensors(spark, sf).withColumn("y", (F.col("score") >= 0.2).cast("int"))
     spec = SensorFeatures(key=["asset_id"], enableV2=False).spec()
     feats = add_features(rows, "asset_id", spec=spec, gaps=False)
-    return stratified_split(feats, "y", "event_id")
+    # Fitting reads its input several times; the features are computed once.
+    return cut(stratified_split(feats, "y", "event_id"))
 
 
 def split(spark, sf):
@@ -82,7 +84,7 @@ def mlp_scores(spark, sf):
 
 def tensors(spark, sf):
     w = V.sliding_windows(labelled(spark, sf), ["TP2", "TP3", "Motor_current"], label="anomaly")
-    return stratified_folds(w, "y", "wid", 5)
+    return cut(stratified_folds(w, "y", "wid", 5))
 
 
 @query("window_classifier_scores")

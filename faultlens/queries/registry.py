@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.operators.labels import label_intervals
+from faultlens.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return to_readings(table(spark, sf, "events"))
+
+
+def to_readings(events: DataFrame) -> DataFrame:
+    """Readings from the event table or an event stream."""
+    return events.select(
         "event_id",
         "ts",
         F.col("user_id").alias("asset_id"),
@@ -92,11 +99,15 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sensors(spark: SparkSession, sf: str) -> DataFrame:
+    return to_sensors(readings(spark, sf))
+
+
+def to_sensors(rows: DataFrame) -> DataFrame:
     def is_type(name: str) -> Column:
         return (F.col("event_type") == name).cast("double")
 
     v, k = F.col("value"), F.col("k")
-    return readings(spark, sf).select(
+    return rows.select(
         "event_id",
         "ts",
         "asset_id",
@@ -135,5 +146,10 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)

@@ -1 +1,146 @@
+"""Streaming queries: everything available in the event table is processed, then read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultlens.functions.scalar import risk_level
+from faultlens.operators.features import feature_names
+from faultlens.operators.labels import label_intervals
+from faultlens.plans.bounded import small
+from faultlens.queries.features import full_sql, over
+from faultlens.queries.registry import (
+    IN_INTERVAL_SQL,
+    INTERVALS,
+    R_SQL,
+    RISK_SQL,
+    query,
+    r6,
+    scratch,
+    table,
+    to_readings,
+    to_sensors,
+)
+from faultlens.streaming.live import LivePath
+from faultlens.streaming.readings import daily_alerts, file_stream, latest_states, run_once, without_repeats
+
+
+def stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return to_readings(file_stream(spark, sf, schema, "events.parquet"))
+
+
+def appended(spark, out_stream, name):
+    path = scratch(spark, name)
+    run_once(out_stream, f"{path}/checkpoint", f"{path}/out")
+    return spark.read.schema(out_stream.schema).parquet(f"{path}/out")
+
+
+@query(
+    "stream_source_sink",
+    f"WITH {R_SQL} SELECT event_id, asset_id, score FROM r WHERE score > 0.3",
+)
+def stream_source_sink(spark, sf):
+    """Source to sink, alert rows only."""
+    out = stream(spark, sf).where("score > 0.3").select("event_id", "asset_id", "score")
+    return appended(spark, out, "alerts")
+
+
+def live(spark, sf):
+    path = scratch(spark, "live")
+    line = LivePath(f"{path}/live", score=lambda df: df.withColumn("probability", F.least(F.lit(1.0), F.round(F.col("TP2_ma_5") / 500, 6))))
+    rows = to_sensors(stream(spark, sf))
+    run_once(rows, f"{path}/checkpoint", each=line)
+    return line
+
+
+WARM_FEATURES = [c for c in feature_names(True) if c.startswith(("TP2", "H1", "work", "reservoir"))]
+
+
+FULL_SQL = full_sql().replace("SELECT event_id, round(", f"SELECT row_number() {over()} AS seen, event_id, round(")
+
+
+@query("stream_features", f"SELECT event_id, {', '.join(WARM_FEATURES)} FROM ({FULL_SQL}) WHERE seen >= 16")
+def stream_features(spark, sf):
+    """Live features equal the batch ones from the sixteenth reading of an asset on."""
+    out = live(spark, sf).results(spark).where("is_warm")
+    return out.select("event_id", *[r6(c).alias(c) for c in WARM_FEATURES])
+
+
+@query(
+    "stream_scored",
+    f"""WITH {R_SQL}, p AS (SELECT *, row_number() {over()} AS n, avg(value) {over('4 PRECEDING')} AS ma FROM r),
+    q AS (SELECT event_id, asset_id, least(1.0, round(CASE WHEN n >= 16 THEN ma ELSE value END / 500, 6)) AS probability FROM p)
+    SELECT event_id, asset_id, probability FROM q""",
+)
+def stream_scored(spark, sf):
+    """Scores of all readings: cold ones from their snapshot, warm ones from the buffer."""
+    return live(spark, sf).results(spark).select("event_id", "asset_id", "probability")
+
+
+@query(
+    "stream_alerts",
+    f"""WITH {R_SQL}, p AS (SELECT *, row_number() {over()} AS n, avg(value) {over('4 PRECEDING')} AS ma FROM r),
+    q AS (SELECT asset_id, ts, least(1.0, round(CASE WHEN n >= 16 THEN ma ELSE value END / 500, 6)) AS probability FROM p)
+    SELECT md5(asset_id || '|' || epoch_us(ts)) AS message_id, CAST(asset_id AS VARCHAR) AS sensor_id, probability
+    FROM q WHERE probability > 0.7""",
+)
+def stream_alerts(spark, sf):
+    return live(spark, sf).results(spark, "alerts").select("message_id", "sensor_id", "probability")
+
+
+@query(
+    "stream_daily_alerts",
+    f"""WITH {R_SQL}, c AS (SELECT *, {RISK_SQL} AS severity FROM r),
+    n AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM c WHERE severity <> 'NORMAL')
+    SELECT CAST(ts AS DATE) AS day, count(*) FILTER (severity = 'CRÍTICO') AS critical,
+      count(*) FILTER (severity = 'ALERTA') AS alert
+    FROM c, n WHERE severity <> 'NORMAL' AND CAST(ts AS DATE) + INTERVAL 1 DAY <= mark GROUP BY 1""",
+)
+def stream_daily_alerts(spark, sf):
+    """Days are emitted once the watermark has passed their end."""
+    rows = stream(spark, sf).withColumn("severity", risk_level("score"))
+    return appended(spark, daily_alerts(rows), "daily")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id AS asset_id, date_trunc('hour', ts)::TIMESTAMP AS slot FROM events")
+def stream_dedup(spark, sf):
+    """Repeats of (asset, hour) inside the watermark are dropped."""
+    rows = stream(spark, sf).withColumn("slot", F.date_trunc("hour", "ts"))
+    out = without_repeats(rows, ["asset_id", "slot"])
+    return appended(spark, out.select("asset_id", F.col("slot").cast("timestamp_ntz").alias("slot")), "dedup")
+
+
+@query(
+    "stream_enriched",
+    f"""WITH {R_SQL} SELECT event_id, CASE WHEN {IN_INTERVAL_SQL} THEN 1 ELSE 0 END AS anomaly,
+      coalesce(n_name, 'unknown') AS nation FROM r
+    LEFT JOIN customer ON asset_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
+)
+def stream_enriched(spark, sf):
+    """Interval label and asset lookup against static tables."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    assets = table(spark, sf, "customer").select(F.col("c_custkey").alias("asset_id"), "c_nationkey")
+    assets = assets.join(small(nation), "c_nationkey").select("asset_id", "nation")
+    rows = label_intervals(stream(spark, sf), INTERVALS, kind="int").join(assets, "asset_id", "left")
+    out = rows.select("event_id", "anomaly", F.coalesce("nation", F.lit("unknown")).alias("nation"))
+    return appended(spark, out, "enriched")
+
+
+@query(
+    "stream_latest",
+    f"""WITH {R_SQL} SELECT asset_id, event_id, score FROM r
+    QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC) = 1""",
+)
+def stream_latest(spark, sf):
+    """Latest state per asset in update mode; each batch replaces its own output."""
+    path = scratch(spark, "latest")
+    states = latest_states(stream(spark, sf), ["event_id", "score"])
+
+    def each(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    run_once(states, f"{path}/checkpoint", each=each, mode="update")
+    updates = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/batch=*")
+    newest = F.max_by(F.struct("event_id", "score"), "batch")
+    return updates.groupBy("asset_id").agg(newest.alias("s")).select("asset_id", "s.*")

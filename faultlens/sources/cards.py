@@ -8,9 +8,17 @@ from pyspark.sql import types as T
 
 from faultlens.functions.scalar import resolve_threshold
 
-CARD_SCHEMA = T.StructType.fromDDL(
-    "model_name string, decision_threshold string, feature_names array<string>, "
-    "metrics map<string,double>, n_train bigint, n_test bigint, promoted_run_id string, promoted_at string"
+CARD_SCHEMA = T.StructType(
+    [
+        T.StructField("model_name", T.StringType()),
+        T.StructField("decision_threshold", T.StringType()),
+        T.StructField("feature_names", T.ArrayType(T.StringType())),
+        T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("n_train", T.LongType()),
+        T.StructField("n_test", T.LongType()),
+        T.StructField("promoted_run_id", T.StringType()),
+        T.StructField("promoted_at", T.StringType()),
+    ]
 )
 _CORRUPT = "_corrupt"
 
