@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -63,13 +65,30 @@ def rolling_mean(x: str, w: WindowSpec, rows: int) -> Column:
     return F.avg(x).over(w.rowsBetween(1 - rows, 0))
 
 
-def lag_or_first(x: str, w: WindowSpec, rows: int, long: Column) -> Column:
-    """The value `rows` back; before that the first one, if the series is long enough."""
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    reachable = long | (F.count(F.lit(1)).over(whole) > rows)
-    first = F.first(x).over(w.rowsBetween(W.unboundedPreceding, 0))
-    position = F.row_number().over(w)
-    return F.when(position > rows, F.lag(x, rows).over(w)).otherwise(F.when(reachable, first))
+def rate_of_change(x: str, back: str, rows: int) -> Column:
+    return F.coalesce((F.col(x) - F.col(back)) / float(rows), F.lit(0.0))
+
+
+def lagged(df: DataFrame, sensors: Sequence[str], lags: Sequence[int], w: WindowSpec, long: Column) -> DataFrame:
+    """`{x}_lag_{n}`: the value n rows back; before that the first one of the series.
+
+    A series of at most n rows has no value n rows back anywhere, so nothing can be
+    filled from it and the lag stays NULL. Position, length and first values are
+    computed once for all lags.
+    """
+    helpers = {
+        "_pos": F.row_number().over(w),
+        "_len": F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+        **{f"_first_{x}": F.first(x).over(w.rowsBetween(W.unboundedPreceding, 0)) for x in sensors},
+        **{f"_back_{x}_{n}": F.lag(x, n).over(w) for x in sensors for n in lags},
+    }
+
+    def value(x: str, n: int) -> Column:
+        reachable = long | (F.col("_len") > n)
+        return F.when(F.col("_pos") > n, F.col(f"_back_{x}_{n}")).when(reachable, F.col(f"_first_{x}"))
+
+    out = df.withColumns(helpers).withColumns({f"{x}_lag_{n}": value(x, n) for x in sensors for n in lags})
+    return out.drop(*helpers)
 
 
 def cross_features(df: DataFrame) -> DataFrame:
@@ -110,19 +129,15 @@ def build_features(df: DataFrame, w: WindowSpec, long: Column, spec: FeatureSpec
     if spec.v2:
         frame = w.rowsBetween(1 - spec.window_minmax, 0)
         for x in sensors:
-            for rows in (spec.lag_short, spec.lag_long):
-                added[f"{x}_lag_{rows}"] = lag_or_first(x, w, rows, long)
             added[f"{x}_min_{spec.window_minmax}"] = F.min(x).over(frame)
             added[f"{x}_max_{spec.window_minmax}"] = F.max(x).over(frame)
     df = df.withColumns(added)
     if not spec.v2:
         return df
+    df = lagged(df, sensors, [spec.lag_short, spec.lag_long], w, long)
     derived = {}
     for x in sensors:
-        lagged = F.col(f"{x}_lag_{spec.lag_long}")
-        derived[f"{x}_roc_{spec.lag_long}"] = F.coalesce(
-            (F.col(x) - lagged) / float(spec.lag_long), F.lit(0.0)
-        )
+        derived[f"{x}_roc_{spec.lag_long}"] = rate_of_change(x, f"{x}_lag_{spec.lag_long}", spec.lag_long)
         low, high = f"{x}_min_{spec.window_minmax}", f"{x}_max_{spec.window_minmax}"
         derived[f"{x}_range_{spec.window_minmax}"] = F.col(high) - F.col(low)
     return cross_features(df).withColumns(derived)
@@ -194,17 +209,23 @@ def select_set(df: DataFrame, which: str, keep: Sequence[str] = ()) -> DataFrame
 
 
 def validate_readings(df: DataFrame) -> DataFrame:
-    """Add `is_valid` and `reasons`; the caller splits good rows from quarantine."""
-    absent = [
-        F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(f"missing {c}"))
-        for c in SENSORS
-    ]
-    outside = [
-        F.when(~F.col(c).between(0, 1) & ~F.isnan(F.col(c).cast("double")), F.lit(f"{c} outside 0..1"))
-        for c in DIGITAL
-    ]
-    reasons = F.array_compact(F.array(*absent, *outside))
-    return df.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
+    """Add `is_valid` and `reasons`; the caller splits good rows from quarantine.
+
+    The verdict is one plain predicate. The list of reasons is only built for rows
+    that fail it.
+    """
+    known = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in SENSORS}
+    inside = {c: F.col(c).between(0, 1) for c in DIGITAL}
+    valid = reduce(and_, known.values()) & reduce(and_, inside.values())
+    reasons = F.array_compact(
+        F.array(
+            *[F.when(~ok, F.lit(f"missing {c}")) for c, ok in known.items()],
+            *[F.when(known[c] & ~ok, F.lit(f"{c} outside 0..1")) for c, ok in inside.items()],
+        )
+    )
+    return df.withColumn("is_valid", valid).withColumn(
+        "reasons", F.when(F.col("is_valid"), F.array().cast("array<string>")).otherwise(reasons)
+    )
 
 
 def drop_consecutive_repeats(

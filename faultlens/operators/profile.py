@@ -97,31 +97,54 @@ def column_purity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _r(a: str | Column, b: str | Column) -> Column:
-    """Pearson correlation over rows where both are known; NULL without spread.
+def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[Column]:
+    """Pearson correlation per pair as aggregates, NULL where a column has no spread.
 
-    `corr` raises on a constant column under ANSI, so it is built from its parts:
-    covariance and deviations are all taken over the same complete pairs.
+    `corr` raises on a constant column under ANSI, so it is built from its parts. A
+    first pass gives means and finds the columns with gaps. Pairs of complete columns
+    share one centred square sum per column and need one product sum each; only pairs
+    with gaps carry their own statistics over the rows where both are known.
     """
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    columns = sorted({c for pair in pairs for c in pair})
+    first = df.agg(
+        F.count("*").alias("n"),
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.avg(c).alias(f"m_{c}") for c in columns],
+    ).first()
+    whole = {c for c in columns if first[f"n_{c}"] == first["n"] and first["n"]}
+
+    def centred(c: str) -> Column:
+        return F.col(c).cast("double") - F.lit(float(first[f"m_{c}"]))
+
+    def ratio(top: Column, x: Column, y: Column) -> Column:
+        return F.try_divide(top, F.nullif(F.sqrt(x) * F.sqrt(y), F.lit(0.0)))
+
+    out = []
+    for a, b in pairs:
+        if a in whole and b in whole:
+            out.append(
+                ratio(F.sum(centred(a) * centred(b)), F.sum(centred(a) * centred(a)), F.sum(centred(b) * centred(b)))
+            )
+        else:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+            out.append(ratio(F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)))
+    return out
 
 
 def label_correlation(df: DataFrame, columns: Sequence[str], label: str = "anomaly") -> DataFrame:
-    row = df.agg(*[F.struct(F.round(_r(c, label), 6).alias("r")).alias(c) for c in columns])
+    r = _pairwise(df, [(c, label) for c in columns])
+    row = df.agg(*[F.struct(F.round(x, 6).alias("r")).alias(c) for c, x in zip(columns, r)])
     return _long(row, columns).orderBy(F.desc_nulls_last("r"), "column")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs in long form, one pass; the mirrored half is copied, not recomputed."""
+    """All pairs in long form; the mirrored half is copied, not recomputed."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[_r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[x.alias(f"r{i}") for i, x in enumerate(_pairwise(df, pairs))])
     cells = []
     for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
+        for x, y in sorted({(a, b), (b, a)}):
             cells.append(
                 F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.round(F.col(f"r{i}"), 6).alias("r"))
             )

@@ -88,10 +88,8 @@ def lag_sql(x: str, n: int) -> str:
     f"WITH {R_SQL} SELECT event_id, {lag_sql('value', 5)} AS lag_5, {lag_sql('value', 15)} AS lag_15 FROM r",
 )
 def lag_features(spark, sf):
-    def build(df, w, long):
-        return df.withColumns({f"lag_{n}": X.lag_or_first("value", w, n, long) for n in (5, 15)})
-
-    return roll(spark, sf, build).select("event_id", "lag_5", "lag_15")
+    out = roll(spark, sf, lambda df, w, long: X.lagged(df, ["value"], [5, 15], w, long))
+    return out.select("event_id", F.col("value_lag_5").alias("lag_5"), F.col("value_lag_15").alias("lag_15"))
 
 
 @query(
@@ -100,11 +98,8 @@ def lag_features(spark, sf):
     SELECT event_id, round(coalesce((value - l) / 15.0, 0), 6) + 0.0 AS roc_15 FROM t""",
 )
 def rate_of_change(spark, sf):
-    def build(df, w, long):
-        back = X.lag_or_first("value", w, 15, long)
-        return df.withColumn("roc_15", r6(F.coalesce((F.col("value") - back) / 15.0, F.lit(0.0))))
-
-    return roll(spark, sf, build).select("event_id", "roc_15")
+    out = roll(spark, sf, lambda df, w, long: X.lagged(df, ["value"], [15], w, long))
+    return out.select("event_id", r6(X.rate_of_change("value", "value_lag_15", 15)).alias("roc_15"))
 
 
 @query(

@@ -46,9 +46,13 @@ def stream_source_sink(spark, sf):
     return appended(spark, out, "alerts")
 
 
-def live(spark, sf):
+def mean_pressure_score(df):
+    return df.withColumn("probability", F.least(F.lit(1.0), F.round(F.col("TP2_ma_5") / 500, 6)))
+
+
+def live(spark, sf, score=mean_pressure_score):
     path = scratch(spark, "live")
-    line = LivePath(f"{path}/live", score=lambda df: df.withColumn("probability", F.least(F.lit(1.0), F.round(F.col("TP2_ma_5") / 500, 6))))
+    line = LivePath(f"{path}/live", score)
     rows = to_sensors(stream(spark, sf))
     run_once(rows, f"{path}/checkpoint", each=line)
     return line
@@ -63,7 +67,7 @@ FULL_SQL = full_sql().replace("SELECT event_id, round(", f"SELECT row_number() {
 @query("stream_features", f"SELECT event_id, {', '.join(WARM_FEATURES)} FROM ({FULL_SQL}) WHERE seen >= 16")
 def stream_features(spark, sf):
     """Live features equal the batch ones from the sixteenth reading of an asset on."""
-    out = live(spark, sf).results(spark).where("is_warm")
+    out = live(spark, sf, None).results(spark).where("is_warm")
     return out.select("event_id", *[r6(c).alias(c) for c in WARM_FEATURES])
 
 

@@ -35,12 +35,13 @@ def to_lines(df: DataFrame, data: str | Column = "data") -> Column:
 def classify(lines: DataFrame, required: Sequence[str] = REQUIRED, line: str = "line") -> DataFrame:
     """Add `status`: valid, malformed or incomplete; lines that carry no event are dropped."""
     body = F.substring(line, len(PREFIX) + 1, 2**31 - 1)
-    keys = F.json_object_keys(body)
-    absent = F.array_except(F.array(*[F.lit(c) for c in required]), keys)
+    # Each document is parsed once; the status only looks at the key list.
+    events = lines.where(F.col(line).startswith(PREFIX)).withColumn("_keys", F.json_object_keys(body))
+    absent = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("_keys"))
     status = (
-        F.when(keys.isNull(), "malformed").when(F.size(absent) > 0, "incomplete").otherwise("valid")
+        F.when(F.col("_keys").isNull(), "malformed").when(F.size(absent) > 0, "incomplete").otherwise("valid")
     )
-    return lines.where(F.col(line).startswith(PREFIX)).withColumn("status", status)
+    return events.withColumn("status", status).drop("_keys")
 
 
 def feed_quality(lines: DataFrame, required: Sequence[str] = REQUIRED, client: str = "client_id") -> DataFrame:

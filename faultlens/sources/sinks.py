@@ -18,18 +18,23 @@ EXPORT = {
 }
 
 
+def _by_day(df: DataFrame, ts: str) -> DataFrame:
+    """Rows ordered by day over tasks: few files per day, several for a crowded day."""
+    return df.withColumn("day", day_key(ts)).repartitionByRange("day", ts)
+
+
 def append_predictions(scored: DataFrame, path: str, ts: str = "ts") -> None:
     """Append scored readings, partitioned by day; the stored time is the row's own."""
-    scored.withColumn("day", day_key(ts)).write.mode("append").partitionBy("day").parquet(path)
+    _by_day(scored, ts).write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "ts") -> None:
     """Write one micro-batch under its id, so that a replay replaces it."""
-    out = df.withColumn("day", day_key(ts)) if ts in df.columns else df
-    writer = out.write.mode("overwrite")
+    target = f"{path}/batch={batch_id}"
     if ts in df.columns:
-        writer = writer.partitionBy("day")
-    writer.parquet(f"{path}/batch={batch_id}")
+        _by_day(df, ts).write.mode("overwrite").partitionBy("day").parquet(target)
+    else:
+        df.write.mode("overwrite").parquet(target)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

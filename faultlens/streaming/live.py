@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.functions.scalar import ALERT_THRESHOLD
+from faultlens.functions.scalar import ALERT_THRESHOLD, DEFAULT_THRESHOLD, decide
 from faultlens.operators.features import CROSS, FeatureSpec, build_features, validate_readings
 from faultlens.operators.fleet import alert_rows
 from faultlens.plans.series import TARGET_ROWS, lay_out
@@ -35,7 +35,8 @@ class LivePath:
     """State and outputs below `root`, a folder all executors share.
 
     `score` adds `probability` to a frame with the feature columns. It is called once
-    per micro-batch, so it may look up the active model each time.
+    per micro-batch, so it may look up the active model each time. Without it, or with
+    `keep_features`, the feature columns themselves are kept.
     """
 
     root: str
@@ -46,7 +47,9 @@ class LivePath:
     spec: FeatureSpec = field(default_factory=FeatureSpec)
     buffer: int = BUFFER
     warm: int = WARM
+    threshold: float = DEFAULT_THRESHOLD
     alert_above: float = ALERT_THRESHOLD
+    keep_features: bool = False
     target_rows: int = TARGET_ROWS
 
     def __post_init__(self) -> None:
@@ -62,7 +65,8 @@ class LivePath:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         columns = [self.key, *self.order, *self.sensors]
-        checked = validate_readings(batch.select(*columns))
+        # Read the source once: the batch feeds quarantine, late rows, state and features.
+        checked = cut(validate_readings(batch.select(*columns)))
         write_batch(checked.where("NOT is_valid").drop("is_valid"), self.path("quarantine"), batch_id)
         fresh = checked.where("is_valid").select(*columns)
 
@@ -76,12 +80,16 @@ class LivePath:
             rows = fresh.withColumn("_fresh", F.lit(True)).unionByName(state.withColumn("_fresh", F.lit(False)))
         else:
             rows = fresh.withColumn("_fresh", F.lit(True))
-        rows = cut(rows)
 
         self._write_state(rows.drop("_fresh"), batch_id)
         scored = self._features(rows).where("_fresh").drop("_fresh")
         if self.score:
-            scored = cut(self.score(scored))
+            scored = self.score(scored).withColumn("predicted_class", decide("probability", self.threshold))
+            if not self.keep_features:
+                # The history holds the reading and its verdict; unused features are never computed.
+                scored = scored.select(*columns, "is_warm", "predicted_class", "probability")
+        scored = cut(scored)
+        if self.score:
             write_batch(
                 alert_rows(scored, self.alert_above, self.key, self.order[0]), self.path("alerts"), batch_id
             )
