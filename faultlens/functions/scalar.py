@@ -61,9 +61,12 @@ def is_finite(x: str | Column) -> Column:
 
 
 def clamp(x: str | Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """NaN-safe clamp: Spark orders NaN above every number, so it is tested first."""
+    """Clamp a number; NULL and NaN give NULL.
+
+    Spark orders NaN above every number and `least` skips NULL, so both are tested first.
+    """
     x = _col(x)
-    return F.when(~F.isnan(x), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def sanitize_probability(p: str | Column) -> Column:

@@ -149,7 +149,8 @@ def fbeta_threshold(
     p, r, b2 = F.col("precision"), F.col("recall"), beta * beta
     f = (1 + b2) * p * r / (b2 * p + r + 1e-9)
     best = F.struct(F.col("fbeta"), (-F.col("threshold")).alias("low"))
-    chosen = F.max_by(F.struct("threshold", "precision", "recall", "fbeta"), best)
+    point = F.struct("threshold", "precision", "recall", "fbeta")
+    chosen = F.max_by(F.when(F.col("fbeta").isNotNull(), point), best)
     curve = score_curve(df, y, score, by).withColumn("fbeta", F.when(F.col("positives") > 0, F.round(f, 9)))
     return curve.groupBy(*by).agg(chosen.alias("best")).select(*by, "best.*")
 

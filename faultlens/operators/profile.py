@@ -168,7 +168,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 60) -> DataFram
         lo, hi = row[c]["lo"], row[c]["hi"]
         if hi == lo:
             return F.when(F.col(c).isNotNull(), F.lit(bins // 2))
-        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+        place = F.floor((F.col(c) - F.lit(lo)) / F.lit((hi - lo) / bins))
+        # `least` skips NULL, so gaps are kept apart.
+        return F.when(F.col(c).isNotNull(), F.least(place, F.lit(bins - 1)).cast("int"))
 
     cells = F.array(*[F.struct(F.lit(c).alias("column"), bin_of(c).alias("bin")) for c in known])
     return df.select(F.inline(cells)).where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(

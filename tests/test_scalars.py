@@ -45,4 +45,5 @@ def test_threshold_resolution(spark):
 
 
 def test_capacity_is_clamped_and_rounded(spark):
-    assert column(spark, [10.1, 99.0, -3.0], S.capacity_percent("p", 12.0)) == [84.2, 100.0, 0.0]
+    got = column(spark, [10.1, 99.0, -3.0, None, math.nan], S.capacity_percent("p", 12.0))
+    assert got == [84.2, 100.0, 0.0, None, None]
