@@ -42,5 +42,5 @@ def asof_join(
         allowMissingColumns=True,
     )
     laid = lay_out(stacked, key, (ts, "_side", "_id"), target_rows)
-    found = laid.fill(["_match"]).where(F.col("_side") == left_side)
+    found = laid.fill(["_match"]).rows.where(F.col("_side") == left_side)
     return found.select(key, ts, "_left.*", "_match.*")

@@ -113,7 +113,7 @@ def impute(
     """Fill gaps from the row before, leading gaps from the first known row."""
     keys = (key,) if isinstance(key, str) else tuple(key)
     columns = list(columns or numeric_columns(df, exclude=[*keys, *order]))
-    return lay_out(df, key, order, target_rows).fill(columns, backward=True)
+    return lay_out(df, key, order, target_rows).fill(columns, backward=True).rows
 
 
 def build_features(df: DataFrame, w: WindowSpec, long: Column, spec: FeatureSpec) -> DataFrame:
@@ -144,7 +144,7 @@ def build_features(df: DataFrame, w: WindowSpec, long: Column, spec: FeatureSpec
 
 
 def features_of(laid: Series, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
-    return laid.roll(spec.lookback, lambda df, w, long: build_features(df, w, long, spec))
+    return laid.roll(spec.lookback, lambda df, w, long: build_features(df, w, long, spec)).rows
 
 
 def add_features(
@@ -156,10 +156,11 @@ def add_features(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """All features of each series. Skip `gaps` when the sensors hold no NULL."""
+    laid = lay_out(df, key, order, target_rows)
     if gaps:
-        columns = [c for c in numeric_columns(df) if c in set(spec.sensors) | set(SENSORS) | {spec.pressure}]
-        df = impute(df, key, order, columns, target_rows)
-    return features_of(lay_out(df, key, order, target_rows), spec)
+        wanted = {*spec.sensors, *SENSORS, spec.pressure}
+        laid = laid.fill([c for c in numeric_columns(df) if c in wanted], backward=True)
+    return features_of(laid, spec)
 
 
 def feature_names(v2: bool = True, spec: FeatureSpec | None = None) -> list[str]:
@@ -243,7 +244,7 @@ def drop_consecutive_repeats(
         )
 
     laid = lay_out(df, key, arrival, target_rows)
-    return laid.roll(1, build).where(~F.col("_repeat")).drop("_repeat")
+    return laid.roll(1, build).rows.where(~F.col("_repeat")).drop("_repeat")
 
 
 def warm_flag(
@@ -254,5 +255,5 @@ def warm_flag(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """True once the series has shown `warm` readings."""
-    out = lay_out(df, key, order, target_rows).index("_n")
+    out = lay_out(df, key, order, target_rows).index("_n").rows
     return out.withColumn("is_warm", F.col("_n") >= warm).drop("_n")

@@ -44,7 +44,7 @@ def newest_page(
     if skip + size <= deep:
         return df.orderBy(*newest).offset(skip).limit(size)
     top = df.count() - skip
-    indexed = lay_out(df, (), order, target_rows).index("_rn")
+    indexed = lay_out(df, (), order, target_rows).index("_rn").rows
     return indexed.where(F.col("_rn").between(top - size + 1, top)).drop("_rn").orderBy(*newest)
 
 
@@ -67,7 +67,7 @@ def head_rows(df: DataFrame, n: int, order: Sequence[str] = ("ts", "event_id"),
     """The first `n` rows in time order; large heads filter on the row position."""
     if n <= deep:
         return df.orderBy(*order).limit(n)
-    return lay_out(df, (), order, target_rows).index("_rn").where(F.col("_rn") <= n).drop("_rn")
+    return lay_out(df, (), order, target_rows).index("_rn").rows.where(F.col("_rn") <= n).drop("_rn")
 
 
 def last_n(df: DataFrame, n: int, key: str = "asset_id", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faultlens.plans.bounded import BROADCAST_ROWS
+from faultlens.plans.series import TARGET_ROWS, lay_out
 from faultlens.schema import instant, micros
+from faultlens.session import cut
 
 # The four documented failure intervals, both ends included.
 FAILURES = (
@@ -20,6 +22,7 @@ FAILURES = (
 )
 # More literals than this make the predicate slower than a join.
 MAX_LITERALS = 50
+HOUR = 3_600_000_000
 
 
 def in_any_interval(ts: str, intervals: Sequence[tuple[str, str]] = FAILURES) -> Column:
@@ -51,15 +54,23 @@ def label_intervals(
     return df.withColumn(label, in_any_interval(ts, intervals).cast("int").cast(kind))
 
 
-def hourly_pieces(table: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """The interval table cut into hours: one row per (hour, interval) overlap."""
-    hour = 3_600_000_000
-    first, last = F.floor(micros(start) / hour), F.floor(micros(end) / hour)
-    return table.where(F.col(start) <= F.col(end)).select(
-        F.explode(F.sequence(first, last)).alias("_hour"),
-        micros(start).alias("_a"),
-        micros(end).alias("_b"),
+def islands(intervals: DataFrame, start: str = "start", end: str = "end", target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Overlapping closed intervals merged to disjoint ones, as microseconds `_a`, `_b`.
+
+    Copies collapse first. The running maximum of the ends before a start tells
+    whether a new island begins; it is taken over cells of the start order.
+    """
+    spans = intervals.where(F.col(start) <= F.col(end)).groupBy(micros(start).alias("_a")).agg(
+        F.max(micros(end)).alias("_b")
+    )
+    opened = (
+        lay_out(spans, (), ("_a",), target_rows)
+        .running("_b", "max", "_reach", exclusive=True)
+        .roll(0, lambda df, w, long: df.withColumn("_new", F.coalesce(F.col("_a") > F.col("_reach"), F.lit(True)).cast("int")))
+        .running("_new", "sum", "_island")
+        .rows
     )
+    return opened.groupBy("_island").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).drop("_island")
 
 
 def label_by_table(
@@ -70,41 +81,37 @@ def label_by_table(
     kind: str = "tinyint",
     start: str = "start",
     end: str = "end",
+    target_rows: int = TARGET_ROWS,
+    per_hour: int = 64,
 ) -> DataFrame:
-    """Label from an interval table of any size.
+    """Label from an interval table of any size; overlaps cannot repeat a reading.
 
-    Intervals are cut into hours and, inside one hour, merged to the disjoint parts
-    they cover. Readings meet them by an equi-join on the hour. An hour with many
-    intervals therefore still gives one row, and overlaps cannot repeat a reading.
+    Merged intervals are disjoint. While their hourly pieces are few enough to be
+    broadcast and no hour has many, readings meet them by an equi-join on the hour,
+    which moves no reading. Otherwise each reading looks up the last island that
+    starts at or before it, which is linear work however crowded an hour is.
     """
-    hour = 3_600_000_000
-    pieces = hourly_pieces(intervals, start, end).select(
-        "_hour",
-        F.greatest("_a", F.col("_hour") * hour).alias("_a"),
-        F.least("_b", (F.col("_hour") + 1) * hour - 1).alias("_b"),
-    )
-    # Distinct clipped pieces first: copies of an interval collapse before the sort.
-    pieces = pieces.groupBy("_hour", "_a").agg(F.max("_b").alias("_b"))
-    w = W.partitionBy("_hour").orderBy("_a").rowsBetween(W.unboundedPreceding, -1)
-    run = W.partitionBy("_hour").orderBy("_a").rowsBetween(W.unboundedPreceding, 0)
-    merged = (
-        pieces.withColumn("_reach", F.max("_b").over(w))
-        .withColumn("_new", (F.col("_reach").isNull() | (F.col("_a") > F.col("_reach"))).cast("int"))
-        .withColumn("_island", F.sum("_new").over(run))
-        .groupBy("_hour", "_island")
-        .agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
-        .drop("_island")
-    )
-    at = micros(ts)
-    rows = df.withColumn("_at", at).withColumn("_hour", F.floor(F.col("_at") / hour))
-    hit = rows.join(
-        merged.withColumnRenamed("_hour", "_h"),
-        (F.col("_hour") == F.col("_h")) & F.col("_at").between(F.col("_a"), F.col("_b")),
-        "left",
+    merged = cut(islands(intervals, start, end, target_rows))
+    pieces = merged.select(
+        "_a", "_b", F.explode(F.sequence(F.floor(F.col("_a") / HOUR), F.floor(F.col("_b") / HOUR))).alias("_h")
     )
-    return hit.withColumn(label, F.col("_h").isNotNull().cast("int").cast(kind)).drop(
-        "_at", "_hour", "_h", "_a", "_b"
+    crowd = pieces.groupBy("_h").count().agg(F.max("count").alias("top"), F.sum("count").alias("n")).first()
+    rows = df.withColumn("_at", micros(ts))
+    if crowd["n"] is None:
+        return df.withColumn(label, F.lit(0).cast(kind))
+    if crowd["n"] <= BROADCAST_ROWS and crowd["top"] <= per_hour:
+        inside = (F.floor(F.col("_at") / HOUR) == F.col("_h")) & F.col("_at").between(F.col("_a"), F.col("_b"))
+        hit = rows.join(F.broadcast(pieces), inside, "left")
+        return hit.withColumn(label, F.col("_h").isNotNull().cast("int").cast(kind)).drop("_at", "_h", "_a", "_b")
+    starts = merged.select(F.col("_a").alias("_at"), F.col("_b"))
+    stacked = rows.withColumn("_side", F.lit(1)).unionByName(
+        starts.withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
+    # Readings of one instant need no order among themselves; their hash only splits crowds.
+    laid = lay_out(stacked.withColumn("_mix", F.xxhash64("_at", *df.columns)), (), ("_at", "_side", "_mix"), target_rows)
+    found = laid.fill(["_b"]).rows.where(F.col("_side") == 1)
+    covered = F.coalesce(F.col("_at") <= F.col("_b"), F.lit(False))
+    return found.withColumn(label, covered.cast("int").cast(kind)).select(*df.columns, label)
 
 
 def healthy_faulty_split(

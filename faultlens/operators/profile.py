@@ -186,11 +186,11 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> D
             fences[c] = (q1, q3, q1 - reach * (q3 - q1), q3 + reach * (q3 - q1))
     aggs = [
         F.struct(
-            F.lit(round(q1, 4)).alias("q1"),
-            F.lit(round(q3, 4)).alias("q3"),
-            F.lit(round(q3 - q1, 4)).alias("iqr"),
-            F.lit(round(low, 4)).alias("lower_fence"),
-            F.lit(round(high, 4)).alias("upper_fence"),
+            F.round(F.lit(q1), 4).alias("q1"),
+            F.round(F.lit(q3), 4).alias("q3"),
+            F.round(F.lit(q3 - q1), 4).alias("iqr"),
+            F.round(F.lit(low), 4).alias("lower_fence"),
+            F.round(F.lit(high), 4).alias("upper_fence"),
             F.count_if((F.col(c) < low) | (F.col(c) > high)).alias("n_outliers"),
             F.round(
                 F.try_divide(F.count_if((F.col(c) < low) | (F.col(c) > high)) * 100.0, F.count("*")), 4
@@ -205,8 +205,8 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Rows per class and the ratio of the largest class to the smallest."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     both = counts.agg(F.max("n").alias("hi"), F.min("n").alias("lo")).first()
-    ratio = round(both["hi"] / both["lo"], 6) if both["lo"] else None
-    return counts.withColumn("imbalance", F.lit(ratio).cast("double"))
+    ratio = both["hi"] / both["lo"] if both["lo"] else None
+    return counts.withColumn("imbalance", F.round(F.lit(ratio).cast("double"), 6))
 
 
 def distinct_days(df: DataFrame, ts: str = "ts") -> DataFrame:

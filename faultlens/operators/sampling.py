@@ -103,7 +103,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         label,
         "n",
         F.round(F.lit(float(t["n"] or 0)) / (F.lit(t["k"]) * F.col("n")), 6).alias("balanced_weight"),
-        F.lit(round(ratio, 4)).alias("pos_weight"),
+        F.round(F.lit(ratio), 4).alias("pos_weight"),
     )
 
 

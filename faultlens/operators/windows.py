@@ -49,7 +49,7 @@ def sliding_windows(
     size = gcd(length, stride)
     run = length // size
     span = run * 64
-    rows = lay_out(df, key, order, target_rows).index("_rn", start=0)
+    rows = lay_out(df, key, order, target_rows).index("_rn", start=0).rows
     rows = rows.withColumn("_block", F.floor(F.col("_rn") / size))
     cells = F.struct("_rn", F.col(ts).alias("_t"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
     y = F.max(F.col(label).cast("int")) if label else F.lit(None).cast("int")
@@ -155,12 +155,9 @@ def drift_ramp(
 
     def mark(rows: DataFrame, w: WindowSpec, long: Column) -> DataFrame:
         changed = ~F.lag(mode).over(w).eqNullSafe(F.col(mode)) | F.lag(F.lit(1)).over(w).isNull()
-        return rows.withColumn("_change", changed)
+        return rows.withColumn("_change", changed).withColumn("_since", F.when(F.col("_change"), F.col("_rn")))
 
-    indexed = lay_out(df, key, order, target_rows).index("_rn")
-    marked = lay_out(indexed, key, order, target_rows).roll(1, mark)
-    marked = marked.withColumn("_since", F.when(F.col("_change"), F.col("_rn")))
-    filled = lay_out(marked, key, order, target_rows).fill(["_since"])
+    filled = lay_out(df, key, order, target_rows).index("_rn").roll(1, mark).fill(["_since"]).rows
     step = F.col("_rn") - F.col("_since") + 1
     return filled.withColumn("drift", F.least(step / F.lit(float(steps)), F.lit(1.0))).drop(
         "_rn", "_change", "_since"
@@ -183,8 +180,8 @@ def circular_blend(
     n_faulty = faulty.count()
     if n_faulty == 0:
         faulty, n_faulty = healthy, healthy.count()
-    a = lay_out(healthy, (), order, target_rows).index("_i", start=0)
-    b = lay_out(faulty, (), order, target_rows).index("_j", start=0)
+    a = lay_out(healthy, (), order, target_rows).index("_i", start=0).rows
+    b = lay_out(faulty, (), order, target_rows).index("_j", start=0).rows
     b = b.select("_j", *[F.col(c).alias(f"_b_{c}") for c in columns])
     joined = a.withColumn("_j", F.pmod(F.col("_i"), F.lit(max(n_faulty, 1)))).join(b, "_j")
     drift = F.least((F.col("_i") + 1) / F.lit(float(steps)), F.lit(1.0))

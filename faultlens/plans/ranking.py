@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.plans.bounded import small
+from faultlens.plans.bounded import BROADCAST_ROWS
 from faultlens.plans.series import TARGET_ROWS
 
 
@@ -41,11 +41,21 @@ def rank_in_class(
     """Add the 0-based seeded rank of each row in its class, and the class's row count."""
     hashed = df.withColumn("_h", seeded_hash(seed, ids))
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    digits = 0
+    shape = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("classes")).first()
+    largest, classes = shape["largest"] or 0, shape["classes"]
+    if largest <= target_rows:
+        whole = W.partitionBy(by)
+        ordered = whole.orderBy("_h", ids)
+        return hashed.withColumns(
+            {
+                rank: (F.row_number().over(ordered) - 1).cast("bigint"),
+                total: F.count("*").over(whole),
+            }
+        ).drop("_h")
+    digits = 1
     while largest > target_rows * 16**digits and digits < 5:
         digits += 1
-    # Buckets are 16^digits per class: about rows / target_rows, never more than 16 times that.
+    # 16^digits buckets per class: about rows / target_rows of them.
     hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
     counts = hashed.groupBy(by, "_b").agg(F.count("*").alias("_rows"))
     whole = W.partitionBy(by)
@@ -56,9 +66,11 @@ def rank_in_class(
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
         F.sum("_rows").over(whole).alias(total),
     )
+    if classes * 16**digits <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     inside = W.partitionBy(by, "_b").orderBy("_h", ids)
     return (
-        hashed.join(small(starts), [by, "_b"])
+        hashed.join(starts, [by, "_b"])
         .withColumn(rank, (F.row_number().over(inside) - 1 + F.col("_start")).cast("bigint"))
         .drop("_h", "_b", "_start")
     )

@@ -9,9 +9,11 @@ What crosses a cell border is passed on explicitly:
 
 * rolling frames get the last rows of the cells before (`Series.roll`);
 * fills and as-of lookups get one carried value per cell and column (`Series.fill`);
-* row positions get the number of rows before the cell (`Series.index`).
+* row positions get the number of rows before the cell (`Series.index`);
+* running sums and extremes get the result of the cells before (`Series.running`).
 
-All three give exactly what one window over the whole series would give.
+All of them give exactly what one window over the whole series would give, and they
+chain: `lay_out(...).fill(...).roll(...).rows` lays the series out once.
 """
 
 from __future__ import annotations
@@ -50,13 +52,15 @@ class Series:
     order: tuple[str, ...]
     chunks: DataFrame | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        """The rows with the columns added so far, in no particular order."""
+        return self.df.drop(_ALL, _CELL)
+
     def window(self) -> WindowSpec:
         cell = [_CELL] if self.chunks is not None else []
         return W.partitionBy(*self.key, *cell).orderBy(*self.order)
 
-    def _finish(self, df: DataFrame) -> DataFrame:
-        return df.drop(_ALL, _CELL, _OWN, _LONG)
-
     def _on_cells(self, table: DataFrame) -> DataFrame:
         return self.df.join(small(table), [*self.key, _CELL], "left")
 
@@ -64,7 +68,7 @@ class Series:
         self,
         lookback: int,
         build: Callable[[DataFrame, WindowSpec, Column], DataFrame],
-    ) -> DataFrame:
+    ) -> Series:
         """Add columns that look at most `lookback` rows back.
 
         `build(df, w, long)` adds them over the window `w`; `long` tells the rows of
@@ -72,12 +76,12 @@ class Series:
         """
         w = self.window()
         if self.chunks is None:
-            return self._finish(build(self.df, w, F.lit(False)))
+            return replace(self, df=build(self.df, w, F.lit(False)))
         rows = self.df.withColumn(_OWN, F.lit(True)).unionByName(
             self._halo(lookback).withColumn(_OWN, F.lit(False))
         )
         rows = rows.withColumn(_LONG, F.size(_CELL) > 0)
-        return self._finish(build(rows, w, F.col(_LONG)).where(_OWN))
+        return replace(self, df=build(rows, w, F.col(_LONG)).where(_OWN).drop(_OWN, _LONG))
 
     def _halo(self, lookback: int) -> DataFrame:
         """The last `lookback` rows before each cell, moved into that cell."""
@@ -110,7 +114,7 @@ class Series:
 
     def fill(
         self, columns: Sequence[str], backward: bool = False, suffix: str = ""
-    ) -> DataFrame:
+    ) -> Series:
         """Carry the last known value forward, then (optionally) the next one back."""
         w = self.window()
         upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -126,7 +130,7 @@ class Series:
                 steps += [F.first(c, ignorenulls=True).over(since), carried[c][1]]
             filled[c + suffix] = F.coalesce(*steps)
         out = rows.withColumns(filled)
-        return self._finish(out.drop(*[f"_{d}_{c}" for d in ("in", "out") for c in columns]))
+        return replace(self, df=out.drop(*[f"_{d}_{c}" for d in ("in", "out") for c in columns]))
 
     def _carry(self, columns: Sequence[str]) -> DataFrame:
         at = F.struct(*self.order)
@@ -150,14 +154,32 @@ class Series:
             )
         )
 
-    def index(self, name: str = "rn", start: int = 1) -> DataFrame:
+    def index(self, name: str = "rn", start: int = 1) -> Series:
         """Dense row position within the series, counted from `start`."""
         position = F.row_number().over(self.window()) + (start - 1)
         if self.chunks is None:
-            return self._finish(self.df.withColumn(name, position.cast("bigint")))
+            return replace(self, df=self.df.withColumn(name, position.cast("bigint")))
         rows = self._on_cells(self.chunks.drop("_rows"))
         position = position + F.coalesce(F.col("_start"), F.lit(0))
-        return self._finish(rows.withColumn(name, position.cast("bigint")).drop("_start"))
+        return replace(self, df=rows.withColumn(name, position.cast("bigint")).drop("_start"))
+
+    def running(self, column: str, how: str, name: str, exclusive: bool = False) -> Series:
+        """Running `sum`, `max` or `min` from the start of the series."""
+        agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+        upto = self.window().rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+        here = agg(column).over(upto)
+        if self.chunks is None:
+            return replace(self, df=self.df.withColumn(name, here))
+        cells = self.df.where(F.size(_CELL) > 0).groupBy(*self.key, _CELL).agg(agg(column).alias("_total"))
+        before = W.partitionBy(*self.key).orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
+        carried = cut(cells.select(*self.key, _CELL, agg("_total").over(before).alias("_before")))
+        merge = {
+            "sum": lambda a, b: F.coalesce(a + b, a, b),
+            "max": lambda a, b: F.greatest(a, b),  # both skip NULL
+            "min": lambda a, b: F.least(a, b),
+        }[how]
+        rows = self._on_cells(carried)
+        return replace(self, df=rows.withColumn(name, merge(here, F.col("_before"))).drop("_before"))
 
 
 def _axes(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:

@@ -16,7 +16,7 @@ def over(frame: str = "") -> str:
 
 def roll(spark, sf, build, lookback=15):
     rows = readings(spark, sf).select("event_id", "ts", "asset_id", "value")
-    return lay_out(rows, "asset_id").roll(lookback, build)
+    return lay_out(rows, "asset_id").roll(lookback, build).rows
 
 
 GAPS_SQL = R_SQL + """,
@@ -249,7 +249,7 @@ def halo_moving_average(spark, sf):
     """The whole table as one series, cut into cells with copied borders."""
     rows = readings(spark, sf).select("event_id", "ts", "value")
     laid = lay_out(rows, (), target_rows=2000)
-    return laid.roll(14, lambda df, w, _: df.withColumn("ma_15", r6(X.rolling_mean("value", w, 15)))).select(
+    return laid.roll(14, lambda df, w, _: df.withColumn("ma_15", r6(X.rolling_mean("value", w, 15)))).rows.select(
         "event_id", "ma_15"
     )
 
@@ -260,6 +260,6 @@ def halo_moving_average(spark, sf):
 )
 def global_row_index(spark, sf):
     rows = readings(spark, sf).select("event_id", "ts")
-    return lay_out(rows, (), target_rows=2000).index("rn").select("event_id", "rn")
+    return lay_out(rows, (), target_rows=2000).index("rn").rows.select("event_id", "rn")
 
 

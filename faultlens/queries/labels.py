@@ -128,7 +128,7 @@ def labelled_risk_summary(spark, sf):
     return (
         lay_out(rows, "asset_id")
         .roll(14, build)
-        .groupBy("anomaly", "risk")
+        .rows.groupBy("anomaly", "risk")
         .agg(
             F.count("*").alias("n"),
             *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("std_5", "ma_5", "ma_15", "delta")],

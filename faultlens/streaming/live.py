@@ -104,7 +104,7 @@ class LivePath:
 
         rolled = lay_out(rows, self.key, self.order, self.target_rows).roll(
             max(self.spec.lookback, self.warm - 1), build
-        )
+        ).rows
         added = [c for c in rolled.columns if c not in rows.columns and c != "is_warm"]
         return rolled.withColumns(
             {c: F.when(F.col("is_warm"), F.col(c)).otherwise(self._snapshot(c)) for c in added}

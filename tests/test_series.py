@@ -37,18 +37,36 @@ def test_cut_series_equal_plain_windows(skewed, key, target):
     plain, cut = lay_out(skewed, key), lay_out(skewed, key, target_rows=target)
     assert plain.chunks is None and cut.chunks is not None
     assert cut.chunks.agg(F.max("_rows")).first()[0] <= 4 * target
-    assert rows(plain.roll(K, add_rolling), "event_id", "ma", "back") == rows(
-        cut.roll(K, add_rolling), "event_id", "ma", "back"
+    assert rows(plain.roll(K, add_rolling).rows, "event_id", "ma", "back") == rows(
+        cut.roll(K, add_rolling).rows, "event_id", "ma", "back"
     )
-    assert rows(plain.index(), "event_id", "rn") == rows(cut.index(), "event_id", "rn")
+    assert rows(plain.index().rows, "event_id", "rn") == rows(cut.index().rows, "event_id", "rn")
     for backward in (False, True):
-        assert rows(plain.fill(["x"], backward), "event_id", "x") == rows(
-            cut.fill(["x"], backward), "event_id", "x"
+        assert rows(plain.fill(["x"], backward).rows, "event_id", "x") == rows(
+            cut.fill(["x"], backward).rows, "event_id", "x"
         )
 
 
+@pytest.mark.parametrize("how, exclusive", [("sum", False), ("max", True), ("min", False)])
+def test_running_aggregates(skewed, how, exclusive):
+    plain, cut = (lay_out(skewed, "asset_id", target_rows=n) for n in (10**6, 40))
+    got = [
+        rows(s.running("x", how, "v", exclusive).rows.withColumn("v", F.round("v", 6)), "event_id", "v")
+        for s in (plain, cut)
+    ]
+    assert got[0] == got[1]
+
+
+def test_steps_chain_on_one_layout(skewed):
+    def chain(s):
+        out = s.fill(["x"], True).roll(K, add_rolling).index().rows
+        return rows(out, "event_id", "x", "ma", "back", "rn")
+
+    assert chain(lay_out(skewed, "asset_id")) == chain(lay_out(skewed, "asset_id", target_rows=40))
+
+
 def test_index_is_dense(skewed):
-    out = lay_out(skewed, target_rows=50).index("pos", start=0)
+    out = lay_out(skewed, target_rows=50).index("pos", start=0).rows
     got = [r[0] for r in out.orderBy("pos").select("pos").collect()]
     assert got == list(range(skewed.count()))
 
@@ -59,4 +77,4 @@ def test_cells_are_cut_on_the_tiebreak_when_time_stands_still(skewed):
     assert laid.chunks.agg(F.max("_rows")).first()[0] <= 120
     w = W.partitionBy(F.lit(1)).orderBy("event_id")
     want = still.withColumn("rn", F.row_number().over(w) - 1)
-    assert rows(laid.index(start=0), "event_id", "rn") == rows(want, "event_id", "rn")
+    assert rows(laid.index(start=0).rows, "event_id", "rn") == rows(want, "event_id", "rn")
