@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.plans.series import TARGET_ROWS, lay_out
+from faultlens.plans.series import lay_out
 
 
 def asof_join(
@@ -19,7 +19,7 @@ def asof_join(
     left_id: str = "event_id",
     right_id: str = "event_id",
     allow_equal: bool = True,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Left rows with `columns` of their newest earlier right row (NULL if none).
 

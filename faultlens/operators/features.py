@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.plans.series import TARGET_ROWS, Series, lay_out
+from faultlens.plans.series import Series, lay_out
 from faultlens.schema import ANALOGUE, DIGITAL, SENSORS, UNMODELLED, numeric_columns
 
 RATIO_FLOOR = 1e-6
@@ -108,7 +108,7 @@ def impute(
     key: str | Sequence[str] = (),
     order: Sequence[str] = ("ts", "event_id"),
     columns: Sequence[str] | None = None,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Fill gaps from the row before, leading gaps from the first known row."""
     keys = (key,) if isinstance(key, str) else tuple(key)
@@ -153,7 +153,7 @@ def add_features(
     order: Sequence[str] = ("ts", "event_id"),
     spec: FeatureSpec = FeatureSpec(),
     gaps: bool = True,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """All features of each series. Skip `gaps` when the sensors hold no NULL."""
     laid = lay_out(df, key, order, target_rows)
@@ -234,7 +234,7 @@ def drop_consecutive_repeats(
     key: str | Sequence[str],
     column: str = "ts",
     arrival: Sequence[str] = ("event_id",),
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Keep a row unless it repeats `column` of the row that arrived just before."""
 
@@ -252,7 +252,7 @@ def warm_flag(
     key: str | Sequence[str] = "asset_id",
     order: Sequence[str] = ("ts", "event_id"),
     warm: int = 15,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """True once the series has shown `warm` readings."""
     out = lay_out(df, key, order, target_rows).index("_n").rows

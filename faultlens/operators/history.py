@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.scalar import ALERT, CRITICAL, NORMAL, day_label, severity_rank
 from faultlens.plans.bounded import small
-from faultlens.plans.series import TARGET_ROWS, lay_out
+from faultlens.plans.series import lay_out
 
 MAX_PAGE = 100
 # Pages that start deeper than this are found by row position, not by a top-n sort.
@@ -30,7 +30,7 @@ def newest_page(
     page: int = 1,
     size: int = 20,
     order: Sequence[str] = ("ts", "event_id"),
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
     deep: int = DEEP_PAGE_ROWS,
 ) -> DataFrame:
     """One page, newest first; past the end it is empty.
@@ -63,7 +63,7 @@ def newest_then_forward(df: DataFrame, n: int, order: Sequence[str] = ("ts", "ev
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def head_rows(df: DataFrame, n: int, order: Sequence[str] = ("ts", "event_id"), target_rows: int = TARGET_ROWS, deep: int = DEEP_PAGE_ROWS) -> DataFrame:
+def head_rows(df: DataFrame, n: int, order: Sequence[str] = ("ts", "event_id"), target_rows: int | None = None, deep: int = DEEP_PAGE_ROWS) -> DataFrame:
     """The first `n` rows in time order; large heads filter on the row position."""
     if n <= deep:
         return df.orderBy(*order).limit(n)

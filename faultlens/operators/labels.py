@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.plans.bounded import BROADCAST_ROWS
-from faultlens.plans.series import TARGET_ROWS, lay_out
+from faultlens.plans.series import lay_out
 from faultlens.schema import instant, micros
 from faultlens.session import cut
 
@@ -54,7 +54,7 @@ def label_intervals(
     return df.withColumn(label, in_any_interval(ts, intervals).cast("int").cast(kind))
 
 
-def islands(intervals: DataFrame, start: str = "start", end: str = "end", target_rows: int = TARGET_ROWS) -> DataFrame:
+def islands(intervals: DataFrame, start: str = "start", end: str = "end", target_rows: int | None = None) -> DataFrame:
     """Overlapping closed intervals merged to disjoint ones, as microseconds `_a`, `_b`.
 
     Copies collapse first. The running maximum of the ends before a start tells
@@ -81,7 +81,7 @@ def label_by_table(
     kind: str = "tinyint",
     start: str = "start",
     end: str = "end",
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
     per_hour: int = 64,
 ) -> DataFrame:
     """Label from an interval table of any size; overlaps cannot repeat a reading.

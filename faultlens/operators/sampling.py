@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from faultlens.operators.knn import nearest
 from faultlens.plans.ranking import rank_in_class, seeded_hash, seeded_unit
-from faultlens.plans.series import TARGET_ROWS
 
 # Names of the oversampling strategies and the setting that picks one.
 STRATEGIES = ("auto", "minority", "not minority", "not majority", "all")
@@ -34,7 +33,7 @@ def stratified_split(
     test_size: float = 0.2,
     seed: int = 42,
     stratify: bool = True,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Add `is_test`: per class exactly round(test_size * n) rows, chosen by seeded hash."""
     by = label if stratify else "_one"
@@ -46,7 +45,7 @@ def stratified_split(
 
 
 def seeded_sample(
-    df: DataFrame, ids: str, n: int, seed: int = 42, target_rows: int = TARGET_ROWS
+    df: DataFrame, ids: str, n: int, seed: int = 42, target_rows: int | None = None
 ) -> DataFrame:
     """Exactly `n` rows without replacement (all rows if there are fewer)."""
     ranked = rank_in_class(df.withColumn("_one", F.lit(0)), "_one", ids, seed, target_rows=target_rows)
@@ -61,7 +60,7 @@ def nested_validation(
 
 
 def stratified_folds(
-    df: DataFrame, label: str, ids: str, k: int = 5, seed: int = 42, target_rows: int = TARGET_ROWS
+    df: DataFrame, label: str, ids: str, k: int = 5, seed: int = 42, target_rows: int | None = None
 ) -> DataFrame:
     """Add `fold` in 0..k-1: class shares are equal up to one row per fold."""
     ranked = rank_in_class(df, label, ids, seed, target_rows=target_rows)
@@ -146,7 +145,7 @@ def smote(
     seed: int = 42,
     borderline: bool = False,
     m: int = 10,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Original rows plus synthetic ones (`is_synthetic`, `parent`, `copy`).
 
@@ -181,7 +180,7 @@ def synthetic_rows(
     seed: int = 42,
     borderline: bool = False,
     m: int = 10,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """`n` synthetic rows of class `value` from its `k` nearest neighbours."""
     minority = df.where(F.col(label) == value)
@@ -231,7 +230,7 @@ def borderline_seeds(
     ids: str,
     value,
     m: int = 10,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Minority rows with at least half, but not all, of `m` neighbours of another class."""
     minority = df.where(F.col(label) == value)

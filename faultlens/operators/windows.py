@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.scalar import blend
 from faultlens.operators.labels import day_key
 from faultlens.plans.bounded import small
-from faultlens.plans.series import TARGET_ROWS, lay_out
+from faultlens.plans.series import lay_out
 
 LENGTH, STRIDE = 60, 10
 PATCH, PATCH_STRIDE = 12, 6
@@ -35,7 +35,7 @@ def sliding_windows(
     length: int = LENGTH,
     stride: int = STRIDE,
     label: str | None = None,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """One row per complete window: `wid`, `first_<ts>`, `last_<ts>`, tensor `x`, label `y`.
 
@@ -149,7 +149,7 @@ def drift_ramp(
     key: str | Sequence[str] = (),
     order: Sequence[str] = ("ts", "event_id"),
     steps: int = RAMP_STEPS,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """`drift`: min(step / steps, 1), with the step restarting at each change of `mode`."""
 
@@ -170,7 +170,7 @@ def circular_blend(
     columns: Sequence[str],
     order: Sequence[str] = ("ts", "event_id"),
     steps: int = RAMP_STEPS,
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """A series that drifts from healthy rows to faulty ones.
 

@@ -13,15 +13,16 @@ from math import ceil, floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.plans.series import TARGET_ROWS
 
+# Up to this many rows, Spark's own aggregate holds the values of a column.
+BUFFER_ROWS = 1_000_000
 BINS = 1024
 # A bin with at most this many rows is sorted outright.
 SORT_ROWS = 50_000
 
 
 def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], target_rows: int = TARGET_ROWS
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[float], target_rows: int = BUFFER_ROWS
 ) -> dict[str, list[float | None]]:
     """Percentiles per column over its known values; None for a column without any."""
     known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}

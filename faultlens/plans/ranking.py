@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultlens.plans.bounded import BROADCAST_ROWS
-from faultlens.plans.series import TARGET_ROWS
+from faultlens.plans.series import cell_rows
 
 
 def seeded_hash(seed: int | str, *ids: str | Column) -> Column:
@@ -36,13 +36,14 @@ def rank_in_class(
     seed: int | str = 42,
     rank: str = "rank",
     total: str = "class_rows",
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Add the 0-based seeded rank of each row in its class, and the class's row count."""
     hashed = df.withColumn("_h", seeded_hash(seed, ids))
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    shape = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("classes")).first()
+    shape = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("classes"), F.sum("_n").alias("all")).first()
     largest, classes = shape["largest"] or 0, shape["classes"]
+    target_rows = cell_rows(shape["all"] or 0, target_rows)
     if largest <= target_rows:
         whole = W.partitionBy(by)
         ordered = whole.orderBy("_h", ids)

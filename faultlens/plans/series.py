@@ -2,7 +2,8 @@
 
 A window partitioned by asset puts a whole asset into one task. `lay_out` counts
 the rows per series first. Series that fit a task keep the plain window. A longer
-one is cut along its sort order into cells of about `target_rows` rows; the cell
+one is cut along its sort order into cells of about `target_rows` rows (by default a
+size that depends on the row count); the cell
 bounds are plain arithmetic on the sort columns, so no rows move to find them.
 
 What crosses a cell border is passed on explicitly:
@@ -31,7 +32,10 @@ from faultlens.plans.bounded import small
 from faultlens.schema import micros
 from faultlens.session import cut
 
-TARGET_ROWS = 1_000_000
+# Rows per cell: enough to be worth a task, and never more than MAX_CELLS cells in all,
+# so that the tables that describe cells stay small enough to broadcast.
+MIN_CELL_ROWS = 250_000
+MAX_CELLS = 400_000
 # A cell may hold this many times the target before it is cut again.
 SLACK = 4
 MAX_LEVELS = 8
@@ -182,6 +186,11 @@ class Series:
         return replace(self, df=rows.withColumn(name, merge(here, F.col("_before"))).drop("_before"))
 
 
+def cell_rows(total: int, wanted: int | None = None) -> int:
+    """Rows per cell for a table of `total` rows, unless the caller wants a given size."""
+    return wanted or max(MIN_CELL_ROWS, -(-total // MAX_CELLS))
+
+
 def _axes(df: DataFrame, order: Sequence[str]) -> dict[str, Column]:
     """Sort columns as integers; splitting stops at the first that has no such form."""
     axes: dict[str, Column] = {}
@@ -200,7 +209,7 @@ def lay_out(
     df: DataFrame,
     key: str | Sequence[str] = (),
     order: Sequence[str] = ("ts", "event_id"),
-    target_rows: int = TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> Series:
     """Decide how the series of `df` are spread over tasks (runs one narrow count).
 
@@ -219,7 +228,9 @@ def lay_out(
         ]
         return rows.groupBy(*by).agg(F.count("*").alias("_n"), *spans).where(F.col("_n") > above)
 
-    if ranges(df, key, target_rows).isEmpty():
+    shape = df.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("top"), F.sum("_n").alias("all")).first()
+    target_rows = cell_rows(shape["all"] or 0, target_rows)
+    if (shape["top"] or 0) <= target_rows:
         return Series(df, key, tuple(order))
 
     rows = df.withColumn(_CELL, F.array().cast("array<bigint>"))
@@ -238,8 +249,9 @@ def lay_out(
                 *key,
                 _CELL,
                 "_axis",
-                span["lo"].alias("_lo"),
-                (F.floor((span["hi"] - span["lo"]) / pieces) + 1).alias("_width"),
+                # As doubles: monotone, and the span of two BIGINTs cannot overflow.
+                span["lo"].cast("double").alias("_lo"),
+                (F.floor((span["hi"].cast("double") - span["lo"].cast("double")) / pieces) + 1.0).alias("_width"),
             )
         )
         if grid.isEmpty():
@@ -249,7 +261,7 @@ def lay_out(
             reversed(list(enumerate(axes.values()))),
             F.lit(None).cast("bigint"),
         )
-        step = F.floor((at - F.col("_lo")) / F.col("_width"))
+        step = F.floor((at.cast("double") - F.col("_lo")) / F.col("_width"))
         rows = (
             rows.join(small(grid), [*key, _CELL], "left")
             .withColumn(

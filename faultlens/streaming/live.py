@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.scalar import ALERT_THRESHOLD, DEFAULT_THRESHOLD, decide
 from faultlens.operators.features import CROSS, FeatureSpec, build_features, validate_readings
 from faultlens.operators.fleet import alert_rows
-from faultlens.plans.series import TARGET_ROWS, lay_out
+from faultlens.plans.series import lay_out
 from faultlens.schema import SENSORS
 from faultlens.session import cut
 from faultlens.sources.sinks import read_batches, write_batch
@@ -50,7 +50,7 @@ class LivePath:
     threshold: float = DEFAULT_THRESHOLD
     alert_above: float = ALERT_THRESHOLD
     keep_features: bool = False
-    target_rows: int = TARGET_ROWS
+    target_rows: int | None = None
 
     def __post_init__(self) -> None:
         if self.buffer <= self.spec.lookback:

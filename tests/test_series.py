@@ -78,3 +78,11 @@ def test_cells_are_cut_on_the_tiebreak_when_time_stands_still(skewed):
     w = W.partitionBy(F.lit(1)).orderBy("event_id")
     want = still.withColumn("rn", F.row_number().over(w) - 1)
     assert rows(laid.index(start=0).rows, "event_id", "rn") == rows(want, "event_id", "rn")
+
+
+def test_ids_may_span_the_whole_bigint_range(spark):
+    ids = spark.range(400).select((F.xxhash64("id")).alias("event_id"), F.lit(1).alias("ts"))
+    laid = lay_out(ids, (), target_rows=30)
+    assert laid.chunks.agg(F.max("_rows")).first()[0] <= 120
+    w = W.partitionBy(F.lit(1)).orderBy("event_id")
+    assert rows(laid.index().rows, "event_id", "rn") == rows(ids.withColumn("rn", F.row_number().over(w)), "event_id", "rn")
