@@ -22,13 +22,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.plans.bounded import small
+from faultlens.plans.bounded import BROADCAST_ROWS, small
 from faultlens.schema import micros
 from faultlens.session import cut
 
@@ -55,6 +56,7 @@ class Series:
     key: tuple[str, ...]
     order: tuple[str, ...]
     chunks: DataFrame | None = None
+    n_cells: int = 0
 
     @property
     def rows(self) -> DataFrame:
@@ -65,8 +67,12 @@ class Series:
         cell = [_CELL] if self.chunks is not None else []
         return W.partitionBy(*self.key, *cell).orderBy(*self.order)
 
+    def _per_cell(self, table: DataFrame) -> DataFrame:
+        """A table of at most one row per cell, broadcast if the cells are few enough."""
+        return F.broadcast(table) if self.n_cells <= BROADCAST_ROWS else table
+
     def _on_cells(self, table: DataFrame) -> DataFrame:
-        return self.df.join(small(table), [*self.key, _CELL], "left")
+        return self.df.join(self._per_cell(table), [*self.key, _CELL], "left")
 
     def roll(
         self,
@@ -111,7 +117,7 @@ class Series:
             .drop("_back")
         )
         return (
-            tail.join(small(targets), [*self.key, _CELL])
+            tail.join(self._per_cell(targets), [*self.key, _CELL])
             .withColumn(_CELL, F.explode("_to"))
             .drop("_to")
         )
@@ -119,10 +125,15 @@ class Series:
     def fill(
         self, columns: Sequence[str], backward: bool = False, suffix: str = ""
     ) -> Series:
-        """Carry the last known value forward, then (optionally) the next one back."""
+        """Carry the last known value forward; `backward` also fills the leading gap.
+
+        After the forward step only rows before the first known value are open, so
+        that one value, taken over the whole partition, closes the gap. A frame from
+        the current row to the end would be evaluated anew for every row.
+        """
         w = self.window()
         upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-        since = w.rowsBetween(W.currentRow, W.unboundedFollowing)
+        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         rows, carried = self.df, {c: [F.lit(None), F.lit(None)] for c in columns}
         if self.chunks is not None:
             rows = self._on_cells(self._carry(columns))
@@ -131,7 +142,7 @@ class Series:
         for c in columns:
             steps = [F.last(c, ignorenulls=True).over(upto), carried[c][0]]
             if backward:
-                steps += [F.first(c, ignorenulls=True).over(since), carried[c][1]]
+                steps += [F.first(c, ignorenulls=True).over(whole), carried[c][1]]
             filled[c + suffix] = F.coalesce(*steps)
         out = rows.withColumns(filled)
         return replace(self, df=out.drop(*[f"_{d}_{c}" for d in ("in", "out") for c in columns]))
@@ -221,56 +232,61 @@ def lay_out(
         df, key = df.withColumn(_ALL, F.lit(0)), (_ALL,)
     axes = _axes(df, order)
 
-    def ranges(rows: DataFrame, by: Sequence[str], above: int) -> DataFrame:
+    def ranges(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         spans = [
             F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias(f"_r{i}")
             for i, a in enumerate(axes.values())
         ]
-        return rows.groupBy(*by).agg(F.count("*").alias("_n"), *spans).where(F.col("_n") > above)
+        return rows.groupBy(*by).agg(F.count("*").alias("_rows"), *spans)
 
-    shape = df.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("top"), F.sum("_n").alias("all")).first()
+    sizes = df.groupBy(*key).agg(F.count("*").alias("_n"))
+    shape = sizes.agg(F.max("_n").alias("top"), F.sum("_n").alias("all")).first()
     target_rows = cell_rows(shape["all"] or 0, target_rows)
     if (shape["top"] or 0) <= target_rows:
         return Series(df, key, tuple(order))
 
     rows = df.withColumn(_CELL, F.array().cast("array<bigint>"))
-    for level in range(MAX_LEVELS):
-        crowded = ranges(rows, [*key, _CELL], target_rows * (SLACK if level else 1))
-        # The first sort column that still varies inside the cell is the one to cut.
-        axis = F.coalesce(
-            *[F.when(F.col(f"_r{i}.hi") > F.col(f"_r{i}.lo"), F.lit(i)) for i in range(len(axes))]
-        )
-        span = F.element_at(F.array(*[F.col(f"_r{i}") for i in range(len(axes))]), axis + 1)
-        pieces = F.ceil(F.col("_n") / F.lit(target_rows))
-        grid = cut(
-            crowded.withColumn("_axis", axis)
-            .where(F.col("_axis").isNotNull())
-            .select(
-                *key,
-                _CELL,
-                "_axis",
-                # As doubles: monotone, and the span of two BIGINTs cannot overflow.
-                span["lo"].cast("double").alias("_lo"),
-                (F.floor((span["hi"].cast("double") - span["lo"].cast("double")) / pieces) + 1.0).alias("_width"),
-            )
-        )
-        if grid.isEmpty():
+    crowded = cut(ranges(rows, [*key, _CELL]).where(F.col("_rows") > target_rows))
+    for _ in range(MAX_LEVELS):
+        rows = _cut_again(rows, crowded, key, axes, target_rows)
+        cells = cut(ranges(rows.where(F.size(_CELL) > 0), [*key, _CELL]))
+        crowded = cells.where(F.col("_rows") > SLACK * target_rows).where(_splittable(axes))
+        if crowded.isEmpty():
             break
-        at = reduce(
-            lambda rest, item: F.when(F.col("_axis") == item[0], item[1]).otherwise(rest),
-            reversed(list(enumerate(axes.values()))),
-            F.lit(None).cast("bigint"),
-        )
-        step = F.floor((at.cast("double") - F.col("_lo")) / F.col("_width"))
-        rows = (
-            rows.join(small(grid), [*key, _CELL], "left")
-            .withColumn(
-                _CELL,
-                F.when(F.col("_axis").isNotNull(), F.concat(_CELL, F.array(step))).otherwise(F.col(_CELL)),
-            )
-            .drop("_axis", "_lo", "_width")
-        )
-    cells = rows.where(F.size(_CELL) > 0).groupBy(*key, _CELL).agg(F.count("*").alias("_rows"))
     before = W.partitionBy(*key).orderBy(_CELL).rowsBetween(W.unboundedPreceding, -1)
-    chunks = cut(cells.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))))
-    return replace(Series(rows, key, tuple(order)), chunks=chunks)
+    chunks = cells.select(*key, _CELL, "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return Series(rows, key, tuple(order), chunks, cells.count())
+
+
+def _splittable(axes: dict[str, Column]) -> Column:
+    """True where some sort column still varies inside the cell."""
+    return reduce(or_, [F.col(f"_r{i}.hi") > F.col(f"_r{i}.lo") for i in range(len(axes))])
+
+
+def _cut_again(
+    rows: DataFrame, crowded: DataFrame, key: Sequence[str], axes: dict[str, Column], target_rows: int
+) -> DataFrame:
+    """Lengthen the cell path of rows in crowded cells by one equal-width step.
+
+    The first sort column that still varies inside a cell is the one to cut.
+    """
+    axis = F.coalesce(
+        *[F.when(F.col(f"_r{i}.hi") > F.col(f"_r{i}.lo"), F.lit(i)) for i in range(len(axes))]
+    )
+    span = F.element_at(F.array(*[F.col(f"_r{i}") for i in range(len(axes))]), F.col("_axis") + 1)
+    # As doubles: monotone, and the span of two BIGINTs cannot overflow.
+    lo, hi = span["lo"].cast("double"), span["hi"].cast("double")
+    pieces = F.ceil(F.col("_rows") / F.lit(target_rows))
+    grid = (
+        crowded.withColumn("_axis", axis)
+        .where(F.col("_axis").isNotNull())
+        .select(*key, _CELL, "_axis", lo.alias("_lo"), (F.floor((hi - lo) / pieces) + 1.0).alias("_width"))
+    )
+    at = F.lit(None).cast("bigint")
+    for i, a in reversed(list(enumerate(axes.values()))):
+        at = F.when(F.col("_axis") == i, a).otherwise(at)
+    step = F.floor((at.cast("double") - F.col("_lo")) / F.col("_width"))
+    path = F.when(F.col("_axis").isNotNull(), F.concat(_CELL, F.array(step))).otherwise(F.col(_CELL))
+    return (
+        rows.join(small(grid), [*key, _CELL], "left").withColumn(_CELL, path).drop("_axis", "_lo", "_width")
+    )
