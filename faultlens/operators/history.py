@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.scalar import ALERT, CRITICAL, NORMAL, day_label, severity_rank
 from faultlens.plans.bounded import small
+from faultlens.plans.positions import with_position
 from faultlens.plans.series import lay_out
 
 MAX_PAGE = 100
@@ -124,10 +125,12 @@ def event_page(
     size: int = 10,
     ts: str = "ts",
     tiebreak: str = "event_id",
+    deep: int = DEEP_PAGE_ROWS,
 ) -> DataFrame:
     """A page of the sorted log, clamped to the last page, with its "from-to of n".
 
-    Severity sorts by rank, not by name. The tie-break makes pages disjoint.
+    Severity sorts by rank, not by name. The tie-break makes pages disjoint. Only
+    pages near either end are taken by a top-n, which would gather all rows before them.
     """
     by = {"timestamp": F.col(ts), "severity": severity_rank("severity")}.get(column)
     by = F.col(column) if by is None else by
@@ -135,8 +138,17 @@ def event_page(
     last = max(1, ceil(total / size))
     page = min(page, last)
     start = (page - 1) * size
-    ordered = df.orderBy(by.desc() if descending else by.asc(), tiebreak)
-    return ordered.offset(start).limit(size).select(
+    forward = [by.desc() if descending else by.asc(), F.asc(tiebreak)]
+    backward = [by.asc() if descending else by.desc(), F.desc(tiebreak)]
+    if start + size <= deep:
+        rows = df.orderBy(*forward).offset(start).limit(size)
+    elif total - start <= deep:
+        # Near the end: the last rows by the reversed order, then the page among them.
+        rows = df.orderBy(*backward).limit(total - start).orderBy(*forward).limit(size)
+    else:
+        placed = with_position(df, *forward)
+        rows = placed.where(F.col("position").between(start, start + size - 1)).drop("position")
+    return rows.select(
         "*",
         F.lit(start + 1 if total else 0).cast("bigint").alias("shown_from"),
         F.lit(min(page * size, total)).cast("bigint").alias("shown_to"),

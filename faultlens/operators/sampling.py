@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.operators.knn import nearest
-from faultlens.plans.ranking import rank_in_class, seeded_hash, seeded_unit
+from faultlens.plans.ranking import flag_lowest, rank_in_class, seeded_hash, seeded_unit
 
 # Names of the oversampling strategies and the setting that picks one.
 STRATEGIES = ("auto", "minority", "not minority", "not majority", "all")
@@ -38,18 +38,18 @@ def stratified_split(
     """Add `is_test`: per class exactly round(test_size * n) rows, chosen by seeded hash."""
     by = label if stratify else "_one"
     rows = df if stratify else df.withColumn("_one", F.lit(0))
-    ranked = rank_in_class(rows, by, ids, seed, target_rows=target_rows)
     # floor(x + 0.5) rounds halves up in every engine.
     quota = F.floor(F.col("class_rows") * test_size + 0.5)
-    return ranked.withColumn("is_test", F.col("rank") < quota).drop("rank", "class_rows", "_one")
+    return flag_lowest(rows, by, ids, quota, "is_test", seed, target_rows).drop("_one")
 
 
 def seeded_sample(
     df: DataFrame, ids: str, n: int, seed: int = 42, target_rows: int | None = None
 ) -> DataFrame:
     """Exactly `n` rows without replacement (all rows if there are fewer)."""
-    ranked = rank_in_class(df.withColumn("_one", F.lit(0)), "_one", ids, seed, target_rows=target_rows)
-    return ranked.where(F.col("rank") < n).drop("rank", "class_rows", "_one")
+    rows = df.withColumn("_one", F.lit(0))
+    picked = flag_lowest(rows, "_one", ids, F.lit(n).cast("bigint"), "_in", seed, target_rows)
+    return picked.where("_in").drop("_in", "_one")
 
 
 def nested_validation(

@@ -75,3 +75,63 @@ def rank_in_class(
         .withColumn(rank, (F.row_number().over(inside) - 1 + F.col("_start")).cast("bigint"))
         .drop("_h", "_b", "_start")
     )
+
+
+def flag_lowest(
+    df: DataFrame,
+    by: str,
+    ids: str,
+    quota: Column,
+    flag: str,
+    seed: int | str = 42,
+    target_rows: int | None = None,
+) -> DataFrame:
+    """Flag the `quota` rows of lowest seeded rank in each class, without moving the rows.
+
+    `quota` is an expression of `class_rows`. Counting hash buckets tells in which
+    bucket of a class the quota ends; sorting that bucket alone gives the hash where
+    it ends, and the rows are then compared with it in place.
+    """
+    hashed = seeded_hash(seed, ids)
+    narrow = df.select(F.col(by).alias("_class"), F.col(ids).alias("_id"), hashed.alias("_h"))
+    sizes = narrow.groupBy("_class").agg(F.count("*").alias("_n"))
+    shape = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("classes"), F.sum("_n").alias("all")).first()
+    rows_each = cell_rows(shape["all"] or 0, target_rows)
+    digits = 0
+    while (shape["largest"] or 0) > rows_each * 16**digits and digits < 5:
+        digits += 1
+    narrow = narrow.withColumn("_b", F.substring("_h", 1, digits))
+    whole = W.partitionBy("_class")
+    before = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ends = (
+        narrow.groupBy("_class", "_b")
+        .agg(F.count("*").alias("_rows"))
+        .select(
+            "_class",
+            "_b",
+            "_rows",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+            F.sum("_rows").over(whole).alias("class_rows"),
+        )
+        .withColumn("_quota", quota)
+        .where((F.col("_start") <= F.col("_quota")) & (F.col("_quota") < F.col("_start") + F.col("_rows")))
+        .select(F.col("_class").alias("_c"), F.col("_b").alias("_cb"), "_start", "_quota")
+    )
+    if shape["classes"] <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)  # one bucket per class
+    inside = W.partitionBy("_class", "_b").orderBy("_h", "_id")
+    limits = (
+        narrow.join(ends, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_cb")))
+        .withColumn("_rank", F.row_number().over(inside) - 1 + F.col("_start"))
+        .where(F.col("_rank") == F.col("_quota"))
+        .select("_c", F.struct(F.col("_h"), F.col("_id")).alias("_limit"))
+    )
+    if shape["classes"] <= BROADCAST_ROWS:
+        limits = F.broadcast(limits)  # one row per class
+    below = F.struct(hashed.alias("_h"), F.col(ids).alias("_id")) < F.col("_limit")
+    # No limit row: the quota covers the whole class.
+    return (
+        df.join(limits, F.col(by).eqNullSafe(F.col("_c")), "left")
+        .withColumn(flag, F.coalesce(below, F.lit(True)))
+        .drop("_c", "_limit")
+    )

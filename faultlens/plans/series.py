@@ -231,6 +231,8 @@ def lay_out(
     if not key:
         df, key = df.withColumn(_ALL, F.lit(0)), (_ALL,)
     axes = _axes(df, order)
+    if not axes:
+        raise TypeError(f"the first sort column {order[0]!r} must be a time or an integer")
 
     def ranges(rows: DataFrame, by: Sequence[str]) -> DataFrame:
         spans = [

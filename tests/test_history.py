@@ -43,6 +43,21 @@ def test_log_page_is_clamped(spark, seven):
     assert H.event_page(log.limit(0), "timestamp").collect() == []
 
 
+@pytest.mark.parametrize("column, descending", [("severity", True), ("type", False)])
+def test_log_pages_from_start_middle_and_end_agree(spark, column, descending):
+    log = spark.range(90).select(
+        F.col("id").alias("event_id"),
+        F.element_at(F.array(F.lit("NORMAL"), F.lit("CRÍTICO"), F.lit("ALERTA")), (F.col("id") % 3 + 1).cast("int")).alias("severity"),
+        F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("type"),
+    )
+    for page in (1, 4, 9):
+        pages = [
+            sorted(r["event_id"] for r in H.event_page(log, column, descending, page, deep=deep).collect())
+            for deep in (1000, 25, 0)
+        ]
+        assert pages[0] == pages[1] == pages[2] and len(pages[0]) == 10
+
+
 def test_spine_has_every_day(spark):
     log = spark.createDataFrame(
         [("2024-01-03 23:59:59", "CRÍTICO"), ("2024-01-03 00:00:00", "ALERTA"), ("2024-01-05 10:00:00", "NORMAL")],

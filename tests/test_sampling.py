@@ -95,3 +95,14 @@ def test_report(imbalanced):
     after = A.smote(imbalanced, "v", "fault", "id", strategy=0.5)
     got = {r["fault"]: tuple(r) for r in A.resampling_report(imbalanced, after, "fault").collect()}
     assert got == {0: (0, 500, 500, 0), 1: (1, 50, 250, 200)}
+
+
+@pytest.mark.parametrize("n, want", [(0, 0), (7, 7), (549, 549), (550, 550), (9999, 550)])
+def test_sample_sizes(imbalanced, n, want):
+    assert A.seeded_sample(imbalanced, "id", n, target_rows=30).count() == want
+
+
+def test_a_missing_label_is_a_class_of_its_own(imbalanced):
+    df = imbalanced.withColumn("fault", F.when(F.col("fault") == 0, 0))
+    out = A.stratified_split(df, "fault", "id")
+    assert {r["fault"]: r["n"] for r in out.where("is_test").groupBy("fault").agg(F.count("*").alias("n")).collect()} == {0: 100, None: 10}
