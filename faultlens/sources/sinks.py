@@ -28,10 +28,14 @@ def append_predictions(scored: DataFrame, path: str, ts: str = "ts") -> None:
     _by_day(scored, ts).write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "ts") -> None:
-    """Write one micro-batch under its id, so that a replay replaces it."""
+def write_batch(df: DataFrame, path: str, batch_id: int, ts: str | None = None) -> None:
+    """Write one micro-batch under its id, so that a replay replaces it.
+
+    With `ts` the batch is partitioned by day. Without, even an empty batch leaves a
+    file that carries the schema.
+    """
     target = f"{path}/batch={batch_id}"
-    if ts in df.columns:
+    if ts:
         _by_day(df, ts).write.mode("overwrite").partitionBy("day").parquet(target)
     else:
         df.write.mode("overwrite").parquet(target)

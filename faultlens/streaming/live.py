@@ -79,6 +79,7 @@ class LivePath:
             fresh = placed.where(~late).drop("_newest")
             rows = fresh.withColumn("_fresh", F.lit(True)).unionByName(state.withColumn("_fresh", F.lit(False)))
         else:
+            write_batch(fresh.limit(0), self.path("late"), batch_id)
             rows = fresh.withColumn("_fresh", F.lit(True))
 
         self._write_state(rows.drop("_fresh"), batch_id)
@@ -93,7 +94,7 @@ class LivePath:
             write_batch(
                 alert_rows(scored, self.alert_above, self.key, self.order[0]), self.path("alerts"), batch_id
             )
-        write_batch(scored, self.path("predictions"), batch_id)
+        write_batch(scored, self.path("predictions"), batch_id, self.order[0])
 
     def _features(self, rows: DataFrame) -> DataFrame:
         """Rolling features once the asset is warm, snapshot features before."""

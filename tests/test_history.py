@@ -92,6 +92,6 @@ def test_export_has_bom_header_and_any_rows(spark, seven, tmp_path):
 def test_a_replayed_batch_replaces_itself(spark, seven, tmp_path):
     path = str(tmp_path / "p")
     for n in (7, 4):
-        K.write_batch(seven.limit(n), path, 0)
-    K.write_batch(seven.limit(2), path, 1)
+        K.write_batch(seven.limit(n), path, 0, "ts")
+    K.write_batch(seven.limit(2), path, 1, "ts")
     assert K.read_batches(spark, path).count() == 6

@@ -69,6 +69,7 @@ def test_cold_start_quarantine_late_rows_and_alerts(spark, tmp_path):
     line = LivePath(str(tmp_path), score, keep_features=True)
     line(batch_of(spark, [(1, i, 10) for i in range(10, 20)]).unionByName(
         batch_of(spark, [(2, 5, 90)])).unionByName(batch_of(spark, [(3, 1, 1)]).withColumn("COMP", F.lit(7.0))), 0)
+    assert line.results(spark, "late").count() == 0
     line(batch_of(spark, [(1, 15, 99), (1, 20, 71), (1, 21, 70), (4, 0, 1)]), 1)
     got = {(r["asset_id"], r["event_id"]): r for r in line.results(spark).collect()}
     assert len(got) == 14 and (3, 1) not in got and (1, 15) in got and got[1, 15]["TP2"] == 10
