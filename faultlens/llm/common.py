@@ -65,3 +65,31 @@ def keyed(df: DataFrame, name: str = "_key") -> DataFrame:
 def decided(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
     """`docs`, made by `keyed`, joined to the rows of `decisions` by `_key`; the key is dropped."""
     return docs.join(decisions, "_key", how).drop("_key")
+
+
+def map_texts(docs: DataFrame, payload: Column, text: Column, columns: str, start: Callable[[], Callable]) -> DataFrame:
+    """Rows (payload, *columns) made from texts in Arrow batches; NULL texts arrive as empty.
+
+    `start()` runs once per task and gives `work(texts) -> (index, {column: values})`,
+    where `index` names the text each row came from, or is None for one row per text.
+    The payload, of any type, is passed on as it is.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    rows = docs.select(payload.alias("payload"), F.coalesce(text, F.lit("")).alias("text"))
+    schema = StructType([rows.schema["payload"], *StructType.fromDDL(columns)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                index, made = work(part.column(1).to_pylist())
+                own = part.column(0) if index is None else part.column(0).take(pa.array(index, pa.int64()))
+                arrays = [own, *[v if isinstance(v := made[f.name], pa.Array) else pa.array(v, f.type) for f in list(arrow)[1:]]]
+                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+
+    return rows.mapInArrow(run, schema)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, mixing, quality, sql
+from faultlens.llm import exact_dedup, mixing, packing, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,20 @@ def exact_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup(table(spark, sf_dir, "documents"), F.col("doc_id"))
     digest = F.lower(F.hex("digest")).alias("text_sha256")
     return rows.select(F.col("payload").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+
+
+@query("op2_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), F.col("doc_id"), tokenizer).withColumnRenamed("payload", "doc_id")
+
+
+@query("op9_secret_scans")
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = secrets.scan(table(spark, sf_dir, "documents"), F.col("doc_id"), vocabulary, public_tokenizers.PATTERN)
+    base = F.col("base")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    everything = secrets.in_order(F.concat("base", "added"), secrets.KINDS)
+    digest = F.sha2(secrets.joined(base), 256).alias("base_sha256")
+    return found.select(F.col("payload").alias("doc_id"), *counts, digest, secrets.joined(everything).alias("spans"))
