@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, mixing, packing, quality, secrets, sql
+from faultlens.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = secrets.in_order(F.concat("base", "added"), secrets.KINDS)
     digest = F.sha2(secrets.joined(base), 256).alias("base_sha256")
     return found.select(F.col("payload").alias("doc_id"), *counts, digest, secrets.joined(everything).alias("spans"))
+
+
+@query("op6_line_dedup", sql.LINE_DEDUP)
+def line_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

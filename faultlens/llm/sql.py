@@ -36,3 +36,17 @@ r AS (SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY length
              count(*) OVER (PARTITION BY s) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM r
 """
+
+LINE_DEDUP = r"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line
+           FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+k AS (SELECT doc_id, i, line,
+             translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT doc_id, i, line, (keep IS NOT NULL AND keep <> doc_id) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
