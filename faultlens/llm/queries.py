@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, sql
+from faultlens.llm import exact_dedup, html, line_dedup, mixing, packing, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op8_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.extract(table(spark, sf_dir, "pages"), F.struct("page_id", "url"))
+    return texts.select("payload.page_id", "payload.url", "text", F.length("text").cast("long").alias("n_chars"))
