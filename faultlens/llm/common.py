@@ -54,8 +54,10 @@ def keyed(df: DataFrame, name: str = "_key") -> DataFrame:
     """`df` with a column that tells rows apart, repeated rows included, and never changes.
 
     A plain Parquet scan has one for free: file and position in it. Any other
-    frame is stored with running numbers first.
+    frame is stored with running numbers first. A frame that has its key keeps it.
     """
+    if name in df.columns:
+        return df
     plain = df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
     if plain and "_metadata" not in df.columns and df.inputFiles():
         return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, html, line_dedup, mixing, packing, quality, secrets, sql
+from faultlens.llm import exact_dedup, html, line_dedup, mixing, near_dedup, packing, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = secrets.scan(table(spark, sf_dir, "documents"), F.col("doc_id"), vocabulary, public_tokenizers.PATTERN)
     base = F.col("base")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    counts = [secrets.count(base, k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
     everything = secrets.in_order(F.concat("base", "added"), secrets.KINDS)
     digest = F.sha2(secrets.joined(base), 256).alias("base_sha256")
     return found.select(F.col("payload").alias("doc_id"), *counts, digest, secrets.joined(everything).alias("spans"))
@@ -73,3 +73,9 @@ def line_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html.extract(table(spark, sf_dir, "pages"), F.struct("page_id", "url"))
     return texts.select("payload.page_id", "payload.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup.near_dedup(table(spark, sf_dir, "documents"), F.lit(0), width=4)
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -97,6 +97,10 @@ def scan(docs: DataFrame, payload: Column, vocabulary: str, pattern: str, text:
     return map_texts(docs, payload, F.col(text), f"base {span}, added {span}", start)
 
 
+def count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined, in the order of the array."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
