@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, html, line_dedup, mixing, near_dedup, packing, quality, secrets, sql
+from faultlens.llm import exact_dedup, html, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup.near_dedup(table(spark, sf_dir, "documents"), F.lit(0), width=4)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query("op4_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"), F.col("doc_id"))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.NAMES]
+    digest = F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("payload").alias("doc_id"), *counts, digest, pii.joined(F.concat("base", "added")).alias("spans"))
