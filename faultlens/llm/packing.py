@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,14 @@ BLOCK = 4096
 # Sequences fuller than this stay as they are; the pieces of others are packed again across blocks.
 FULL = 0.98
 # Steps of the search below an incumbent that misses the bound; then the incumbent stands.
-NODES = 2_000
-# Words whose ids a worker remembers; then it starts afresh.
-KNOWN_WORDS = 300_000
+NODES = 1_000
+# Words whose ids a worker remembers, in each of two generations.
+KNOWN_WORDS = 600_000
 GAP = re.compile(r"[\x20\x09-\x0D]+")
+LATIN_END = "\u0250"
+# How byte-level vocabularies write bytes: visible ones as themselves, the others from U+0100 on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(b) for b in VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in VISIBLE)}
 SYMBOLS = ".,;:!?#$%&*"
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
@@ -47,22 +52,35 @@ class WordEncoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        # Symbols after a letter are tokens of their own, and letters lose their case first.
-        core = word.rstrip(SYMBOLS)
-        if core and core != word and core[-1].isalpha():
-            ids = self[core] + self[word[len(core) :]]
-        elif word.isascii() and word != word.lower():
-            ids = self[word.lower()]
-        else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.find(word)
         if len(self) >= KNOWN_WORDS:
+            # Frequent words come back from the generation before.
+            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def find(self, word: str) -> bytes:
+        # Symbols after a letter are tokens of their own, and letters lose their case first.
+        core = word.rstrip(SYMBOLS)
+        if core and core != word and core[-1].isalpha():
+            return self[core] + self[word[len(core) :]]
+        if word.isascii() and word != word.lower():
+            return self[word.lower()]
+        if word.isalpha() and word == word.lower() and max(word) < LATIN_END and is_normalized("NFC", word):
+            # One run of lower-case letters: only the model is left to apply, on its bytes.
+            ids = [t.id for t in self.model(word if word.isascii() else "".join(map(BYTES.__getitem__, word.encode())))]
+        else:
+            ids = self.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             # str.split also parts at the four separators, which the tokenizer takes for symbols.
@@ -291,7 +309,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes:
         blocks = max(1, -(-part.count() // block))
         few = part.select("_n", "length", F.pmod(F.xxhash64("_n", F.lit(salt)), F.lit(blocks)).alias("_block"))
         schema = "_n long, length long, _block long, bin long, offset long, fill long"
-        placed = few.groupBy("_block").applyInPandas(lambda g: place(g, capacity, nodes), schema)
+        placed = few.repartition(min(blocks, 10_000), "_block").groupBy("_block").applyInPandas(lambda g: place(g, capacity, nodes), schema)
         return placed.withColumn("sequence_id", (F.col("_block") * (1 << 24) + F.col("bin")) * 4 + salt)
 
     first = stored(dealt(rows.where(F.col("length") < capacity), 1))
