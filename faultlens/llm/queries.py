@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, html, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql
+from faultlens.llm import exact_dedup, html, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,15 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.NAMES]
     digest = F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256")
     return found.select(F.col("payload").alias("doc_id"), *counts, digest, pii.joined(F.concat("base", "added")).alias("spans"))
+
+
+@query("op7_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents count as files source/lang/shelf/doc_id, a hundred ids to a shelf."""
+    shelf = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), shelf, F.col("doc_id").cast("string"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), path, F.col("doc_id"))
+    return found.select(F.col("payload").alias("doc_id"), "path", "own_license", "cosine", "license", "from_dir")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
