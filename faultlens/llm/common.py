@@ -50,23 +50,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, name: str = "_key") -> DataFrame:
-    """`df` with a column that tells rows apart, repeated rows included, and never changes.
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with a column that tells rows apart, repeated rows included, and never changes; and its name.
 
     A plain Parquet scan has one for free: file and position in it. Any other
-    frame is stored with running numbers first. A frame that has its key keeps it.
+    frame is stored with running numbers first.
     """
-    if name in df.columns:
-        return df
+    name = fresh(df, "_key")
     plain = df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
     if plain and "_metadata" not in df.columns and df.inputFiles():
-        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    return stored(df.withColumn(name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))))
-
-
-def decided(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
-    """`docs`, made by `keyed`, joined to the rows of `decisions` by `_key`; the key is dropped."""
-    return docs.join(decisions, "_key", how).drop("_key")
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), name
+    return stored(df.withColumn(name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))), name
 
 
 def map_texts(docs: DataFrame, payload: Column, text: Column, columns: str, start: Callable[[], Callable]) -> DataFrame:

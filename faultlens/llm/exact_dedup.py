@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import SPACE, decided, keyed, stored, without
+from faultlens.llm.common import SPACE, keyed, stored, without
 
 FAN_IN = 16
 
@@ -73,6 +73,6 @@ def dedup(docs: DataFrame, payload: Column, id_: str = "doc_id", text: str = "te
 
 def keep_first(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    docs = keyed(docs)
-    kept = dedup(docs, F.col("_key"), id_, text).where("kept").select(F.col("payload").alias("_key"))
-    return decided(docs, kept, "leftsemi")
+    docs, key = keyed(docs)
+    kept = dedup(docs, F.col(key), id_, text).where("kept").select(F.col("payload").alias(key))
+    return docs.join(kept, key, "leftsemi").drop(key)

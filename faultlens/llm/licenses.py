@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import decided, keyed, stored
+from faultlens.llm.common import keyed, stored
 
 # Short notices by which licenses are declared, by SPDX identifier.
 TEMPLATES = (
@@ -103,8 +103,8 @@ def scan(files: DataFrame, path: Column, payload: Column, text: str = "text", le
     then the first license by name. from_dir is that directory, NULL for an own notice
     or none. NULL texts and paths have no license; an empty table gives an empty result.
     """
-    rows = keyed(files)
-    rows = rows.select(payload.alias("payload"), path.alias("path"), F.col("_key").alias("_n"), F.col(text).alias("text"))
+    rows, key = keyed(files)
+    rows = rows.select(payload.alias("payload"), path.alias("path"), F.col(key).alias("_n"), F.col(text).alias("text"))
     rows = rows.withColumn("_dir", F.regexp_extract(F.coalesce("path", F.lit("")), "^(.*)/[^/]*$", 1))
     found = stored(notices(rows, "text", least))
     said = rows.select("_n", "payload", "path", "_dir", F.size(terms(F.coalesce("text", F.lit("")))).alias("n_terms")).join(found, "_n", "left")
@@ -135,8 +135,8 @@ def scan(files: DataFrame, path: Column, payload: Column, text: str = "text", le
     )
 
 
-def with_license(files: DataFrame, path: Column, text: str = "text", **options) -> DataFrame:
-    """The files with a column `license`."""
-    files = keyed(files)
-    found = scan(files, path, F.col("_key"), text, **options).select(F.col("payload").alias("_key"), "license")
-    return decided(files.drop("license"), found)
+def with_license(files: DataFrame, path: Column, text: str = "text", name: str = "license", **options) -> DataFrame:
+    """The files with a column `name` that holds their license."""
+    files, key = keyed(files)
+    found = scan(files, path, F.col(key), text, **options).select(F.col("payload").alias(key), F.col("license").alias(name))
+    return files.drop(name).join(found, key).drop(key)

@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", least_
     the shuffle that counts them exactly, by a 128-bit digest.
     """
     spark = docs.sparkSession
-    docs = keyed(docs).select("_key", F.col(id_).alias("id"), F.col(text).alias("text"))
+    docs, key = keyed(docs)
+    docs = docs.select(F.col(key).alias("_key"), F.col(id_).alias("id"), F.col(text).alias("text"))
     lines = docs.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n")))).first()[0] or 0
     bits = filter_bits(lines)
     merged = merge_filters(seen(docs, "text", bits, least_chars))

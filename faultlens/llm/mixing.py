@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import count_words, decided, keyed, stored
+from faultlens.llm.common import count_words, fresh, keyed, stored
 
 MOST_COPIES = 3
 BLOCK = 512
@@ -147,7 +147,8 @@ def mix(
 
 def take_mix(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed documents: each row as often as it was taken, with the columns it came with."""
-    own = docs.columns
-    docs = keyed(docs)
-    taken = mix(docs, F.col("_key"), text, source, **options).where("copies > 0").select(F.col("payload").alias("_key"), F.col("copies").alias("_copies"))
-    return decided(docs, taken).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in own])
+    docs, key = keyed(docs)
+    copies = fresh(docs, "_copies")
+    taken = mix(docs, F.col(key), text, source, **options).where("copies > 0")
+    taken = taken.select(F.col("payload").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(copies))
+    return docs.join(taken, key).withColumn(copies, F.explode(copies)).drop(key, copies)

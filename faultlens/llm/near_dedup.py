@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import decided, keyed, map_texts, stored
+from faultlens.llm.common import keyed, map_texts, stored
 
 WIDTH = 5
 PERCENT = 80
@@ -181,8 +181,8 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link(docs: DataFrame, classes: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """(cid, comp) of all classes that are linked to another one.
+def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cid, comp) of all classes that are linked to another one; `docs` has key and text.
 
     Members of a band's bucket first meet its hub only, one pair each, in a few
     rounds with other hubs; documents of one group so become one component in linear
@@ -196,7 +196,7 @@ def link(docs: DataFrame, classes: DataFrame, text: str, width: int, percent: in
     narrow = classes.select("cid", "n_shingles", "sketch", "key")
     concerned = shared.select("cid").distinct()
     known = stored(narrow.join(concerned, "cid"))
-    texts = stored(docs.select("_key", F.coalesce(F.col(text), F.lit("")).alias("text")).join(known.select("cid", F.col("key").alias("_key")), "_key").select("cid", "text"))
+    texts = stored(docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(known.select("cid", "key"), "key").select("cid", "text"))
 
     first = close(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), known, percent)
     tested = stored(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -247,8 +247,8 @@ def _all_open(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return found.select(*ordered(F.col("x"), F.col("y"))).distinct()
 
 
-def near_dedup(docs: DataFrame, payload: Column | None = None, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: payload, id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, key: str | None = None) -> DataFrame:
+    """One row per document: key, id, n_shingles, component_id, kept; `key` names a column that tells rows apart.
 
     Documents are linked if their sets of `width`-word shingles overlap in `percent`
     of their union. component_id is the smallest id reachable, the document's own
@@ -256,9 +256,10 @@ def near_dedup(docs: DataFrame, payload: Column | None = None, id_: str = "doc_i
     so exactly one row of a component is kept. Documents without words are linked
     with nothing. An empty table gives an empty result.
     """
-    docs = keyed(docs)
-    payload = F.col("_key") if payload is None else payload
-    rows = signed(docs, F.struct(payload.alias("payload"), F.col(id_).alias("id"), F.col("_key").alias("key")), text, width)
+    if key is None:
+        docs, key = keyed(docs)
+    docs = docs.select(F.col(key).alias("key"), F.col(id_).alias("id"), F.col(text).alias("text"))
+    rows = signed(docs, F.struct("key", "id"), "text", width)
     rows = rows.select("payload.*", "n", "n_shingles", "sig", "bands", "sketch")
     best = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("n").alias("n"))
     # Equal sets are one class: copies are linked here, however many, and meet others once.
@@ -266,20 +267,20 @@ def near_dedup(docs: DataFrame, payload: Column | None = None, id_: str = "doc_i
         F.min(best).alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("key").alias("key")
     )
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
-    labels = link(docs, classes, text, width, percent)
+    labels = link(docs, classes, width, percent)
     named = classes.select("sig", "cid", "best").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     named = stored(named.select("sig", "comp", "best"))
     bests = named.groupBy("comp").agg(F.min("best").alias("best"))
     per_class = named.select("sig", "comp").join(bests, "comp").select("sig", F.col("best").alias("top"))
-    own = rows.select("payload", "id", "n", "n_shingles", "sig")
+    own = rows.select("key", "id", "n", "n_shingles", "sig")
     linked = own.where("sig IS NOT NULL").join(per_class, "sig")
     alone = own.where("sig IS NULL").withColumn("top", best)
-    out = linked.select("payload", "id", "n_shingles", "n", "top").unionByName(alone.select("payload", "id", "n_shingles", "n", "top"))
-    return out.select("payload", "id", "n_shingles", F.col("top.id").alias("component_id"), (F.col("n") == F.col("top.n")).alias("kept"))
+    out = linked.select("key", "id", "n_shingles", "n", "top").unionByName(alone.select("key", "id", "n_shingles", "n", "top"))
+    return out.select("key", "id", "n_shingles", F.col("top.id").alias("component_id"), (F.col("n") == F.col("top.n")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with the columns it came with."""
-    docs = keyed(docs)
-    kept = near_dedup(docs, None, id_, text, width, percent).where("kept").select(F.col("payload").alias("_key"))
-    return decided(docs, kept, "leftsemi")
+    docs, key = keyed(docs)
+    kept = near_dedup(docs, id_, text, width, percent, key).where("kept").select(F.col("key").alias(key))
+    return docs.join(kept, key, "leftsemi").drop(key)

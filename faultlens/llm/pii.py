@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import decided, keyed, let, stored, words
+from faultlens.llm.common import fresh, keyed, let, stored, words
 
 
 @dataclass(frozen=True)
@@ -187,11 +187,11 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with protected data generalised to their kind, other columns as they were."""
-    docs = keyed(docs)
-    found = scan(docs, F.col("_key"), text, **options).select(F.col("payload").alias("_key"), F.concat("base", "added").alias("_spans"))
-    own = [c for c in docs.columns if c != "_key"]
-    clear = F.when(F.size("_spans") > 0, sanitised(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    return decided(docs, found).withColumn(text, clear).select(*[F.col(f"`{c}`") for c in own])
+    docs, key = keyed(docs)
+    spans = fresh(docs, "_spans")
+    found = scan(docs, F.col(key), text, **options).select(F.col("payload").alias(key), F.concat("base", "added").alias(spans))
+    clear = F.when(F.size(spans) > 0, sanitised(F.col(text), F.col(spans))).otherwise(F.col(text))
+    return docs.join(found, key).withColumn(text, clear).drop(key, spans)
 
 
 def joined(spans: Column) -> Column:

@@ -92,36 +92,36 @@ def repeated_words(w: Column, n: Column, bits: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` plus the struct `_m` of all measures; no user function, no shuffle.
+    """(own, m): each row of `docs` as a struct, and the struct of its measures; no user function, no shuffle.
 
     NULL and empty texts have no words and zero everywhere. A ratio over no words
     or lines is 0.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     plain = words(F.translate(F.lower(F.col(text)), ".,;:", ""))
-    base = docs.withColumn("_w", words(F.col(text)))
-    base = base.withColumns({"_n": F.size("_w").cast("long"), "_bits": F.length(F.bin(F.size("_w"))).cast("int")})
-    w, n = F.col("_w"), F.col("_n")
+    base = docs.select(F.struct("*").alias("own"), t.alias("t"), plain.alias("plain"), words(F.col(text)).alias("w"))
+    base = base.withColumns({"n": F.size("w").cast("long"), "bits": F.length(F.bin(F.size("w"))).cast("int")})
+    t, plain, w, n = F.col("t"), F.col("plain"), F.col("w"), F.col("n")
     lines = F.filter(F.split(t, "\n"), lambda x: without(x, " \t\x0b\x0c\r") != "")
     stop = F.size(F.filter(plain, lambda x: x.isin(STOP_WORDS)))
-    counted = base.withColumn(
-        "_c",
+    counted = base.select(
+        "own",
         F.struct(
             n.alias("n_words"),
             F.length(without(t, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
             (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
             let(lines, lambda a: F.struct(F.size(a).cast("long").alias("all"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"))).alias("lines"),
-            repeated_words(w, n, F.col("_bits")).alias("n_repeat_words"),
+            repeated_words(w, n, F.col("bits")).alias("n_repeat_words"),
             stop.cast("long").alias("n_stop"),
-        ),
+        ).alias("c"),
     )
-    c = F.col("_c")
+    c = F.col("c")
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / F.greatest(b, F.lit(1)).cast("double"))
 
-    return counted.withColumn(
-        "_m",
+    return counted.select(
+        "own",
         F.struct(
             c["n_words"].alias("n_words"),
             c["word_chars"].alias("word_chars"),
@@ -133,11 +133,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             ratio(c["n_stop"], c["n_words"]).alias("stop_ratio"),
             ratio(c["lines"]["dup"], c["lines"]["all"]).alias("dup_line_ratio"),
             ratio(c["n_repeat_words"], c["n_words"]).alias("repeat_ratio"),
-        ),
-    ).drop("_w", "_n", "_bits", "_c")
+        ).alias("m"),
+    )
 
 
-def verdict(rules: Sequence[Rule] = RULES, measures: str = "_m") -> Column:
+def verdict(rules: Sequence[Rule] = RULES, measures: str = "m") -> Column:
     """The threshold table as one boolean column."""
 
     def holds(r: Rule) -> Column:
@@ -152,19 +152,18 @@ def verdict(rules: Sequence[Rule] = RULES, measures: str = "_m") -> Column:
     return reduce(lambda a, b: a & b, [holds(r) for r in rules], F.lit(True))
 
 
-def base_failed(measures: str = "_m") -> Column:
+def base_failed(measures: str = "m") -> Column:
     n, rep = F.col(f"{measures}.n_words"), F.col(f"{measures}.n_repeat_words")
     return (n < 50) | (100 * rep > 50 * n)
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """`docs` plus `_m` (measures), `_base_failed` and `_kept`.
+    """(own, m, base_failed, kept) for each row of `docs`, with the row itself in `own`.
 
     Every row gets a verdict on its own, so repeated rows and ties agree, an empty
     table stays empty, and columns of any other name pass through.
     """
-    out = measured(docs, text)
-    return out.withColumns({"_base_failed": base_failed(), "_kept": ~base_failed() & verdict(rules)})
+    return measured(docs, text).withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -173,6 +172,5 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES
     The running number keeps the optimizer from putting the measures into the filter,
     where each rule would count them again.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    judged = judge(docs, text, rules).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("_kept") & (F.col("_row") >= 0)).select(*own)
+    judged = judge(docs, text, rules).withColumn("row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("row") >= 0)).select("own.*")

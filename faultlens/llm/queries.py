@@ -30,7 +30,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *[f"_m.{n}" for n in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged.select("own.doc_id", *[f"m.{n}" for n in names], "base_failed", "kept")
 
 
 @query("op3_source_mixing")
@@ -78,7 +78,7 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = near_dedup.near_dedup(table(spark, sf_dir, "documents"), F.lit(0), width=4)
+    rows = near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
