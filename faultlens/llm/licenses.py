@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import keyed, stored
+from faultlens.llm.common import keyed, let, stored
 
 # Short notices by which licenses are declared, by SPDX identifier.
 TEMPLATES = (
@@ -45,53 +47,81 @@ def vocabulary() -> list[str]:
     return sorted({t for _, notice in TEMPLATES for t in re.findall(TERM, notice.lower())})
 
 
-def weights(files: DataFrame, text: str) -> DataFrame:
-    """(term, idf) of the templates' terms over all files; as many rows as the templates have terms.
+def rarity(files: DataFrame, text: str) -> tuple[dict[str, float], float]:
+    """idf of the templates' terms over all files, and that of a term that no file has.
 
-    idf = ln((1 + files) / (1 + files with the term)) + 1.
+    idf = ln((1 + files) / (1 + files with the term)) + 1. Only one number per term of
+    the templates comes to the driver.
     """
-    spark = files.sparkSession
-    names = vocabulary()
-    listed = F.array(*[F.lit(t) for t in names])
-    present = F.array_intersect(F.array_distinct(terms(F.coalesce(F.col(text), F.lit("")))), listed)
-    counted = files.select(F.explode(present).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = files.agg(F.count(F.lit(1)).alias("files"))
-    every = spark.range(1).select(F.explode(listed).alias("term"))
-    known = every.join(counted, "term", "left").join(F.broadcast(total), F.lit(True))
-    return known.select("term", (F.log((1 + F.col("files")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-
-
-def template_vectors(idf: DataFrame) -> DataFrame:
-    """(template, license, term, weight) with unit length; bounded by TEMPLATES."""
-    spark = idf.sparkSession
-    listed = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(notice).alias("notice")) for i, (name, notice) in enumerate(TEMPLATES)])
-    rows = spark.range(1).select(F.inline(listed))
-    tf = rows.select("template", "license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(F.broadcast(norms), "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def notices(files: DataFrame, text: str, least: float) -> DataFrame:
-    """(_n, license, cosine, line_words) of the best line of each file that matches a template.
+    listed = F.array(*[F.lit(t) for t in vocabulary()])
+    present = F.array_intersect(terms(F.coalesce(F.col(text), F.lit(""))), listed)
+    counted = files.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = {r["term"]: r["df"] for r in counted.collect()}
+    total = df.get("", 0)
+    return {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary()}, math.log(1 + total) + 1
 
+
+def template_vectors(idf: dict[str, float]) -> list[dict[str, float]]:
+    """TF-IDF vectors of unit length, one per template."""
+    out = []
+    for _, notice in TEMPLATES:
+        tf = Counter(re.findall(TERM, notice.lower()))
+        norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in tf.items()))
+        out.append({t: k * idf[t] / norm for t, k in tf.items()})
+    return out
+
+
+def best_template(found: Column, idf: dict[str, float], rare: float) -> Column:
+    """struct<less, license>: minus the best cosine of an array of terms to a template, and its license.
+
+    The terms are sorted and folded by runs, so each distinct one adds its weight once.
     Terms that no template has weigh as much as one that no file has, so the more a
-    line says besides, the less it matches. Ties go to the first line, then to the
-    license that comes first by name.
+    line says besides, the less it matches. Ties go to the license first by name.
     """
-    idf = stored(weights(files, text))
-    templates = F.broadcast(template_vectors(idf))
-    rare = files.agg((F.log(F.count(F.lit(1)) + 1.0) + 1).alias("rare"))
-    lines = files.select("_n", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "said")).where(F.lower("said").rlike(SIGNS))
-    lines = stored(lines.select("_n", "line", terms(F.col("said")).alias("terms")))
-    tf = lines.select("_n", "line", F.explode("terms").alias("term")).groupBy("_n", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "term", "left").join(F.broadcast(rare), F.lit(True)).withColumn("w", F.col("tf") * F.coalesce("idf", "rare"))
-    norms = weighed.groupBy("_n", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(templates, "term").groupBy("_n", "line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["_n", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "line", "license")).alias("b")
-    named = scored.groupBy("_n").agg(best).select("_n", "b.line", "b.license", (-F.col("b.c")).alias("cosine"))
-    return named.join(lines.select("_n", "line", F.size("terms").alias("line_words")), ["_n", "line"]).select("_n", "license", "cosine", "line_words")
+    vectors = template_vectors(idf)
+    entries = [(t, F.struct(F.lit(w).alias("idf"), F.array(*[F.lit(v.get(t, 0.0)) for v in vectors]).alias("w"))) for t, w in idf.items()]
+    known = F.create_map(*[x for t, e in entries for x in (F.lit(t), e)])
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+
+    def closed(s: Column) -> Column:
+        def add(entry: Column) -> Column:
+            v = s["run"] * F.coalesce(entry["idf"], F.lit(rare))
+            dots = F.when(entry.isNull(), s["dots"]).otherwise(F.zip_with(s["dots"], entry["w"], lambda a, b: a + v * b))
+            return F.struct((s["square"] + v * v).alias("square"), dots.alias("dots"))
+
+        return let(F.try_element_at(known, s["term"]), add)
+
+    def step(s: Column, x: Column) -> Column:
+        def opened(c: Column) -> Column:
+            return F.struct(x.alias("term"), F.lit(1).alias("run"), c["square"].alias("square"), c["dots"].alias("dots"))
+
+        same = F.struct(s["term"].alias("term"), (s["run"] + 1).alias("run"), s["square"].alias("square"), s["dots"].alias("dots"))
+        return F.when(s["term"] == x, same).otherwise(let(closed(s), opened))
+
+    def finish(s: Column) -> Column:
+        def score(c: Column) -> Column:
+            cosines = F.transform(c["dots"], lambda d, i: F.struct((-F.round(d / F.sqrt(c["square"]), 6)).alias("less"), F.get(names, i).alias("license")))
+            return F.array_min(cosines)
+
+        return let(closed(s), score)
+
+    start = F.struct(F.lit("").alias("term"), F.lit(0).alias("run"), F.lit(0.0).alias("square"), F.array(*[F.lit(0.0) for _ in vectors]).alias("dots"))
+    return F.aggregate(F.sort_array(found), start, step, finish)
+
+
+def notice(text: Column, idf: dict[str, float], rare: float, least: float) -> Column:
+    """struct<less, line, license, line_words> of the best line of a text, the first of equals; NULL below `least`."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("said")))
+    signed = F.filter(lines, lambda x: F.lower(x["said"]).rlike(SIGNS))
+
+    def judge(x: Column) -> Column:
+        def named(found: Column) -> Column:
+            best = best_template(found, idf, rare)
+            return let(best, lambda b: F.struct(b["less"].alias("less"), x["line"].alias("line"), b["license"].alias("license"), F.size(found).alias("line_words")))
+
+        return let(terms(x["said"]), named)
+
+    return F.array_min(F.filter(F.transform(signed, judge), lambda x: x["less"] <= -least))
 
 
 def scan(files: DataFrame, path: Column, payload: Column, text: str = "text", least: float = LEAST_COSINE, other_words: int = MOST_OTHER_WORDS) -> DataFrame:
@@ -103,12 +133,14 @@ def scan(files: DataFrame, path: Column, payload: Column, text: str = "text", le
     then the first license by name. from_dir is that directory, NULL for an own notice
     or none. NULL texts and paths have no license; an empty table gives an empty result.
     """
-    rows, key = keyed(files)
-    rows = rows.select(payload.alias("payload"), path.alias("path"), F.col(key).alias("_n"), F.col(text).alias("text"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = files.select(payload.alias("payload"), path.alias("path"), t.alias("text"))
     rows = rows.withColumn("_dir", F.regexp_extract(F.coalesce("path", F.lit("")), "^(.*)/[^/]*$", 1))
-    found = stored(notices(rows, "text", least))
-    said = rows.select("_n", "payload", "path", "_dir", F.size(terms(F.coalesce("text", F.lit("")))).alias("n_terms")).join(found, "_n", "left")
-    said = stored(said)
+    idf, rare = rarity(rows, "text")
+    best = notice(F.col("text"), idf, rare, least)
+    whole = let(best, lambda b: F.when(b.isNotNull(), F.struct(b.alias("b"), F.size(terms(F.col("text"))).alias("n_terms"))))
+    judged = rows.select("payload", "path", "_dir", whole.alias("x")).select("payload", "path", "_dir", "x.n_terms", "x.b.*")
+    said = stored(judged.select("payload", "path", "_dir", "n_terms", "line_words", "license", (-F.col("less")).alias("cosine")))
 
     own = said.where("license IS NOT NULL AND path IS NOT NULL").where(F.col("n_terms") - F.col("line_words") <= other_words)
     given = stored(own.groupBy("_dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("g")).select(F.col("_dir").alias("above"), F.col("g.license").alias("given")))

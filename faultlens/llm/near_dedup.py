@@ -164,15 +164,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def common_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, own): how many shingles of each class no other one has. No partner can share those."""
+
+    def start() -> Callable:
+        def read(batch: list[str]) -> tuple[None, dict]:
+            return None, {"shingles": [shingles(t, width).view("<i8") for t in batch]}
+
+        return read
+
+    every = map_texts(texts, F.col("cid"), F.col("text"), "shingles array<long>", start).select(F.col("payload").alias("cid"), F.explode("shingles").alias("x"))
+    single = every.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("cid")).where("k = 1")
+    return single.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+
+
 def close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of `pairs` whose sizes and odd sketches allow the wanted similarity."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    """The (a, b) of `pairs` whose sizes, own shingles and odd sketches allow the wanted similarity."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("common").alias(f"c_{x}"), F.col("sketch").alias(f"s_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.where(_may_match(percent)).select("a", "b")
 
 
 def _may_match(percent: int) -> Column:
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    most = F.least("c_a", "c_b")
+    sizes = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     different = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return sizes & (different <= MOST_DIFFERENT_BITS)
 
@@ -186,17 +201,20 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataF
 
     Members of a band's bucket first meet its hub only, one pair each, in a few
     rounds with other hubs; documents of one group so become one component in linear
-    work. What is left are buckets with several components: there every pair of
-    members of different components that the sketches allow is confirmed, so no link
-    between components is lost, whatever the size of a bucket.
+    work. What is left are buckets with several components. Members whose own shingles
+    rule out a link with anyone there leave; every pair of the others that lies in
+    different components and that the sketches allow is confirmed, so no link between
+    components is lost, whatever the size of a bucket.
     """
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last").drop("last")
     shared = stored(members.join(hubs, "bucket"))
     narrow = classes.select("cid", "n_shingles", "sketch", "key")
     concerned = shared.select("cid").distinct()
-    known = stored(narrow.join(concerned, "cid"))
-    texts = stored(docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(known.select("cid", "key"), "key").select("cid", "text"))
+    met = stored(narrow.join(concerned, "cid"))
+    texts = stored(docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(met.select("cid", "key"), "key").select("cid", "text"))
+    known = met.join(common_shingles(texts, width), "cid", "left").select("cid", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    known = stored(known)
 
     first = close(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), known, percent)
     tested = stored(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -237,11 +255,16 @@ def _all_open(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     The bucket's largest component stands on one side only.
     """
-    sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-    rows = open_.join(known.select("cid", "n_shingles", "sketch"), "cid").join(main, "bucket")
-    left = rows.where("comp <> main").select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = rows.select("bucket", F.col("cid").alias("y"), F.col("comp").alias("cy"), "main", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
+    rows = open_.join(known, "cid")
+    least = rows.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    # A partner has at least `least` shingles, and `percent` of one's own.
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))
+    able = rows.join(least, "bucket").where(100 * F.col("common") >= percent * (F.col("n_shingles") + partner - F.col("common"))).drop("least")
+    sizes = able.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = able.join(main.select("bucket", F.col("m.comp").alias("main")), "bucket")
+    left = rows.where("comp <> main").select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"), F.col("sketch").alias("s_a"))
+    right = rows.select("bucket", F.col("cid").alias("y"), F.col("comp").alias("cy"), "main", F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"), F.col("sketch").alias("s_b"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
     found = left.join(right, "bucket").where(apart & _may_match(percent))
     return found.select(*ordered(F.col("x"), F.col("y"))).distinct()
