@@ -144,3 +144,13 @@ def iso_text(ts: str | Column) -> Column:
 
 def epoch_millis(ts: str | Column) -> Column:
     return F.unix_millis(instant(ts))
+
+
+def one_json_object(text: str | Column) -> Column:
+    """`text` if it is exactly one JSON object with nothing behind it, else NULL.
+
+    Inside brackets anything after the object is a syntax error or a second element.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    return F.when(F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1) & F.json_object_keys(text).isNotNull(), text)

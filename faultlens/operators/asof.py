@@ -25,8 +25,10 @@ def asof_join(
 
     Both sides are stacked and the right row is carried forward along the key's
     series: one shuffle on the key, linear work, no range comparison of pairs.
-    Among right rows of one instant the largest id wins.
+    Among right rows of one instant the largest id wins. A NULL key matches nothing.
     """
+    keyless = left.where(F.col(key).isNull())
+    left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
     right_side, left_side = (0, 1) if allow_equal else (1, 0)
     match = F.struct(*[F.col(c) for c in columns])
     stacked = left.select(
@@ -43,4 +45,6 @@ def asof_join(
     )
     laid = lay_out(stacked, key, (ts, "_side", "_id"), target_rows)
     found = laid.fill(["_match"]).rows.where(F.col("_side") == left_side)
-    return found.select(key, ts, "_left.*", "_match.*")
+    unmatched = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns]
+    others = [c for c in left.columns if c not in (key, ts)]
+    return found.select(key, ts, "_left.*", "_match.*").union(keyless.select(key, ts, *others, *unmatched))

@@ -1,8 +1,8 @@
 """Metrics of binary fault scores, exact in definition and built from native aggregates.
 
-Score curves need a running sum over scores in descending order. Scores are rounded
-to six decimals first, so after grouping there are at most 1,000,001 of them, however
-many rows were scored; only that table is sorted.
+Score curves need a running sum over scores in descending order. Rows are counted per
+distinct score first. If those are few, one window sums them; else they are dealt to
+tasks by range of score, and a task starts from the totals of the ranges above its own.
 """
 
 from __future__ import annotations
@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.plans.quantiles import exact_percentiles
+from faultlens.plans.bounded import small
+from faultlens.plans.quantiles import BUFFER_ROWS, exact_percentiles
+from faultlens.plans.series import join_on
+from faultlens.session import cut
 
-SCORE_DIGITS = 6
+# Distinct scores that one task sums up.
+RANGE_ROWS = 250_000
 GATE_F1 = 0.75
 
 
@@ -96,25 +100,50 @@ def f1_gate(df: DataFrame, y: str = "y", pred: str = "pred", gate: float = GATE_
 
 
 def score_groups(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """True and false counts per distinct (rounded) score."""
+    """True and false counts per distinct score."""
     return (
         df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*by, F.round(score, SCORE_DIGITS).alias("threshold"))
+        .groupBy(*by, F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(F.col(y) == 1).alias("tp_here"), F.count_if(F.col(y) != 1).alias("fp_here"))
     )
 
 
-def score_curve(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+def score_curve(
+    df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (), range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Per distinct cut-off (score >= threshold): cumulative counts, precision, recall."""
-    part = list(by) or [F.lit(0)]
-    down = W.partitionBy(*part).orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    groups = score_groups(df, y, score, by)
+    # The counted table is stored: its ranges must not be drawn anew, and it is read several times.
+    groups = cut(groups)
+    n = groups.count()
+    ranges = -(-n // range_rows)
+    if ranges > 1:
+        groups = cut(groups.repartitionByRange(ranges, F.desc("threshold")).withColumn("_range", F.spark_partition_id()))
+    else:
+        groups = groups.withColumn("_range", F.lit(0))
+    part = list(by)
+    sums = [F.sum("tp_here").alias("tp"), F.sum("fp_here").alias("fp")]
+    above = W.partitionBy(*part).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*part)
-    curve = score_groups(df, y, score, by).select(
-        "*",
-        F.sum("tp_here").over(down).alias("cum_tp"),
-        F.sum("fp_here").over(down).alias("cum_fp"),
-        F.sum("tp_here").over(whole).alias("positives"),
-        F.sum("fp_here").over(whole).alias("negatives"),
+    zero = F.lit(0).cast("bigint")
+    totals = groups.groupBy(*part, "_range").agg(*sums).select(
+        *part,
+        "_range",
+        F.coalesce(F.sum("tp").over(above), zero).alias("_tp"),
+        F.coalesce(F.sum("fp").over(above), zero).alias("_fp"),
+        F.sum("tp").over(whole).alias("positives"),
+        F.sum("fp").over(whole).alias("negatives"),
+    )
+    down = W.partitionBy(*part, "_range").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    curve = join_on(groups, small(totals), [*part, "_range"], "inner").select(
+        *part,
+        "threshold",
+        "tp_here",
+        "fp_here",
+        (F.sum("tp_here").over(down) + F.col("_tp")).alias("cum_tp"),
+        (F.sum("fp_here").over(down) + F.col("_fp")).alias("cum_fp"),
+        "positives",
+        "negatives",
     )
     tp, fp = F.col("cum_tp"), F.col("cum_fp")
     return curve.withColumns(
@@ -128,12 +157,25 @@ def pr_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """Exact area with tied scores averaged; NULL when one class is absent."""
+def _area() -> Column:
+    """Area under the curve with tied scores averaged; NULL when one class is absent."""
     area = F.sum(F.col("fp_here") * (F.col("cum_tp") - F.col("tp_here") / 2))
     pairs = F.max("positives") * F.max("negatives").cast("double")
+    return F.try_divide(area, F.nullif(pairs, F.lit(0.0)))
+
+
+def _best_point(beta: float) -> Column:
+    """The point of the highest F-beta, among equals that of the lowest cut-off; NULL without positives."""
+    p, r, b2 = F.col("precision"), F.col("recall"), beta * beta
+    f = F.when(F.col("positives") > 0, F.round((1 + b2) * p * r / (b2 * p + r + 1e-9), 9))
+    point = F.struct("threshold", "precision", "recall", f.alias("fbeta"), "cum_tp", "cum_fp")
+    return F.max_by(F.when(f.isNotNull(), point), F.struct(f.alias("f"), (-F.col("threshold")).alias("low")))
+
+
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """Exact area with tied scores averaged; NULL when one class is absent."""
     return score_curve(df, y, score, by).groupBy(*by).agg(
-        F.try_divide(area, F.nullif(pairs, F.lit(0.0))).alias("auc"),
+        _area().alias("auc"),
         F.coalesce(F.max("positives"), F.lit(0)).alias("positives"),
         F.coalesce(F.max("negatives"), F.lit(0)).alias("negatives"),
     )
@@ -146,13 +188,8 @@ def fbeta_threshold(
 
     Without positives no cut-off is meaningful and the threshold is NULL.
     """
-    p, r, b2 = F.col("precision"), F.col("recall"), beta * beta
-    f = (1 + b2) * p * r / (b2 * p + r + 1e-9)
-    best = F.struct(F.col("fbeta"), (-F.col("threshold")).alias("low"))
-    point = F.struct("threshold", "precision", "recall", "fbeta")
-    chosen = F.max_by(F.when(F.col("fbeta").isNotNull(), point), best)
-    curve = score_curve(df, y, score, by).withColumn("fbeta", F.when(F.col("positives") > 0, F.round(f, 9)))
-    return curve.groupBy(*by).agg(chosen.alias("best")).select(*by, "best.*")
+    best = score_curve(df, y, score, by).groupBy(*by).agg(_best_point(beta).alias("best"))
+    return best.select(*by, *[f"best.{c}" for c in ("threshold", "precision", "recall", "fbeta")])
 
 
 def cv_summary(folds: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -171,9 +208,11 @@ def cv_summary(folds: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return folds.agg(cells.alias("m")).select(F.inline("m"))
 
 
-def error_threshold(df: DataFrame, error: str = "error", y: str = "y", percentile: float = 99.0) -> float:
+def error_threshold(
+    df: DataFrame, error: str = "error", y: str = "y", percentile: float = 99.0, target_rows: int = BUFFER_ROWS
+) -> float:
     """Percentile of the error over healthy windows; without any it is undefined."""
-    value = exact_percentiles(df.where(F.col(y) == 0), [error], [percentile / 100])[error][0]
+    value = exact_percentiles(df.where(F.col(y) == 0), [error], [percentile / 100], target_rows)[error][0]
     if value is None:
         raise ValueError("no healthy windows to set the threshold on")
     return value
@@ -229,33 +268,35 @@ def parity(a: DataFrame, b: DataFrame, on: Sequence[str], columns: Sequence[str]
 def fold_metrics(df: DataFrame, fold: str = "fold", y: str = "y", score: str = "score", cut: float = 0.5) -> DataFrame:
     """One row per fold: sizes, class weight, F1 at `cut`, AUC, F2 cut-off, tuned F1.
 
-    `df` holds each row once, with the fold it is validated in.
+    `df` holds each row once, with the fold it is validated in; it is read once, and
+    all figures follow from the counts per fold and score. Rows without a score or
+    label count in no figure. A NULL fold is a fold.
     """
-    rounded = F.round(score, SCORE_DIGITS)
-    base = (
-        df.withColumn("_pred", (F.col(score) >= cut).cast("int"))
-        .groupBy(fold)
-        .agg(*outcome_counts(y, "_pred"))
-        .withColumns({"n_val": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), "pos": F.col("tp") + F.col("fn")})
+    curve = score_curve(df, y, score, [fold])
+    hit = F.col("threshold") >= cut
+
+    def f1(tp: Column, fp: Column) -> Column:
+        return _ratio(2.0 * tp, tp + fp + F.col("pos"))
+
+    per_fold = curve.groupBy(fold).agg(
+        F.max("positives").alias("pos"),
+        (F.max("positives") + F.max("negatives")).alias("n_val"),
+        F.coalesce(F.max(F.when(hit, F.col("cum_tp"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.max(F.when(hit, F.col("cum_fp"))), F.lit(0)).alias("fp"),
+        _area().alias("auc"),
+        _best_point(2.0).alias("best"),
     )
     everything = W.partitionBy(F.lit(0))  # one row per fold
     train = F.sum("n_val").over(everything) - F.col("n_val")
     train_pos = F.sum("pos").over(everything) - F.col("pos")
-    base = base.select(
+    zero = F.lit(0)
+    return per_fold.select(
         fold,
         train.alias("n_train"),
         "n_val",
         F.round((train - train_pos) / F.greatest(F.lit(1), train_pos), 4).alias("pos_weight"),
-        F.round(f1_of_counts(), 4).alias("f1_default"),
-    )
-    auc = roc_auc(df, y, score, [fold]).select(fold, F.round("auc", 4).alias("roc_auc"))
-    best = fbeta_threshold(df, y, score, 2.0, [fold]).select(fold, F.col("threshold").alias("_thr"))
-    tuned = (
-        df.join(F.broadcast(best), fold)  # one row per fold
-        .withColumn("_pred", F.coalesce((rounded >= F.col("_thr")).cast("int"), F.lit(0)))
-        .groupBy(fold)
-        .agg(*outcome_counts(y, "_pred"))
-        .select(fold, F.round(f1_of_counts(), 4).alias("f1_tuned"))
+        F.round(f1(F.col("tp"), F.col("fp")), 4).alias("f1_default"),
+        F.round("auc", 4).alias("roc_auc"),
+        F.round("best.threshold", 4).alias("threshold_f2"),
+        F.round(f1(F.coalesce("best.cum_tp", zero), F.coalesce("best.cum_fp", zero)), 4).alias("f1_tuned"),
     )
-    best = best.select(fold, F.round("_thr", 4).alias("threshold_f2"))
-    return base.join(auc, fold, "left").join(best, fold, "left").join(tuned, fold, "left")

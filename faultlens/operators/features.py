@@ -251,7 +251,7 @@ def warm_flag(
     df: DataFrame,
     key: str | Sequence[str] = "asset_id",
     order: Sequence[str] = ("ts", "event_id"),
-    warm: int = 15,
+    warm: int = 16,
     target_rows: int | None = None,
 ) -> DataFrame:
     """True once the series has shown `warm` readings."""

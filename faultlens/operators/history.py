@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.functions.scalar import ALERT, CRITICAL, NORMAL, day_label, severity_rank
+from faultlens.functions.scalar import ALERT, CRITICAL, NORMAL, day_label, one_json_object, severity_rank
 from faultlens.plans.bounded import small
 from faultlens.plans.positions import with_position
 from faultlens.plans.series import lay_out
@@ -199,7 +199,7 @@ def valid_entries(df: DataFrame, column: str = "entry") -> DataFrame:
         column, ", ".join(f"`{n}` string" for n in [*kinds, "riskLevel"]), {"mode": "PERMISSIVE"}
     )
     # Variant keeps the JSON type, so a quoted number is told from a number.
-    raw = F.try_parse_json(column)
+    raw = F.try_parse_json(one_json_object(column))
     number = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
     ok = F.lit(True)
     for name, kind in kinds.items():

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.plans.quantiles import exact_percentiles
+from faultlens.plans.quantiles import BUFFER_ROWS, exact_percentiles
 
 
 def _long(row: DataFrame, columns: Sequence[str], name: str = "column") -> DataFrame:
@@ -17,9 +17,9 @@ def _long(row: DataFrame, columns: Sequence[str], name: str = "column") -> DataF
     ).select(name, "s.*")
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str], target_rows: int = BUFFER_ROWS) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles per column."""
-    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75])
+    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75], target_rows)
 
     def summary(c: str) -> Column:
         q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[c])
@@ -178,10 +178,10 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 60) -> DataFram
     )
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5, target_rows: int = BUFFER_ROWS) -> DataFrame:
     """Quartiles, fences and the number of rows strictly outside, per column."""
     fences = {}
-    for c, (q1, q3) in exact_percentiles(df, columns, [0.25, 0.75]).items():
+    for c, (q1, q3) in exact_percentiles(df, columns, [0.25, 0.75], target_rows).items():
         if q1 is not None:
             fences[c] = (q1, q3, q1 - reach * (q3 - q1), q3 + reach * (q3 - q1))
     aggs = [

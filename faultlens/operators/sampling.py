@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.operators.knn import nearest
 from faultlens.plans.ranking import flag_lowest, rank_in_class, seeded_hash, seeded_unit
+from faultlens.session import cut
 
 # Names of the oversampling strategies and the setting that picks one.
 STRATEGIES = ("auto", "minority", "not minority", "not majority", "all")
@@ -162,8 +164,11 @@ def smote(
         F.lit(None).cast("bigint").alias("neighbour"),
         F.lit(None).cast("int").alias("copy"),
     )
-    for value, n in synthetic_counts(_class_sizes(df, label), strategy).items():
+    sizes = _class_sizes(df, label)
+    for value, n in synthetic_counts(sizes, strategy).items():
         if n > 0:
+            if sizes[value] <= k:
+                raise ValueError(f"class {value!r} has {sizes[value]} rows; {k} neighbours need {k + 1}")
             made = synthetic_rows(df, vector, label, ids, value, n, k, seed, borderline, m, target_rows)
             out = out.unionByName(made)
     return out
@@ -187,7 +192,10 @@ def synthetic_rows(
     pairs = nearest(minority, minority, ids, vector, k, target_rows=target_rows)
     if borderline:
         seeds = borderline_seeds(df, vector, label, ids, value, m, target_rows)
-        pairs = pairs.join(seeds.select(F.col(ids).alias("id")), "id", "left_semi")
+        seeds = cut(seeds.select(F.col(ids).alias("id")))
+        if seeds.isEmpty():
+            warnings.warn(f"no row of class {value!r} lies at the border; it gets no synthetic rows", stacklevel=3)
+        pairs = pairs.join(seeds, "id", "left_semi")
     neighbours = pairs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "neighbour"))).alias("_near"))
     seeds = neighbours.withColumn("_one", F.lit(0))
     ranked = rank_in_class(seeds, "_one", "id", seed, target_rows=target_rows)

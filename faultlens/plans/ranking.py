@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from faultlens.plans.bounded import BROADCAST_ROWS
 from faultlens.plans.series import cell_rows
 
+# All hex digits of an md5.
+MAX_DIGITS = 32
+
 
 def seeded_hash(seed: int | str, *ids: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") if isinstance(i, str) else i.cast("string") for i in ids]))
@@ -54,7 +57,7 @@ def rank_in_class(
             }
         ).drop("_h")
     digits = 1
-    while largest > target_rows * 16**digits and digits < 5:
+    while largest > target_rows * 16**digits and digits < MAX_DIGITS:
         digits += 1
     # 16^digits buckets per class: about rows / target_rows of them.
     hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
@@ -62,8 +65,8 @@ def rank_in_class(
     whole = W.partitionBy(by)
     before = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(
-        by,
-        "_b",
+        F.col(by).alias("_c"),
+        F.col("_b").alias("_cb"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
         F.sum("_rows").over(whole).alias(total),
     )
@@ -71,9 +74,9 @@ def rank_in_class(
         starts = F.broadcast(starts)
     inside = W.partitionBy(by, "_b").orderBy("_h", ids)
     return (
-        hashed.join(starts, [by, "_b"])
+        hashed.join(starts, F.col(by).eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_cb")))
         .withColumn(rank, (F.row_number().over(inside) - 1 + F.col("_start")).cast("bigint"))
-        .drop("_h", "_b", "_start")
+        .drop("_h", "_b", "_c", "_cb", "_start")
     )
 
 
@@ -98,7 +101,7 @@ def flag_lowest(
     shape = sizes.agg(F.max("_n").alias("largest"), F.count("*").alias("classes"), F.sum("_n").alias("all")).first()
     rows_each = cell_rows(shape["all"] or 0, target_rows)
     digits = 0
-    while (shape["largest"] or 0) > rows_each * 16**digits and digits < 5:
+    while (shape["largest"] or 0) > rows_each * 16**digits and digits < MAX_DIGITS:
         digits += 1
     narrow = narrow.withColumn("_b", F.substring("_h", 1, digits))
     whole = W.partitionBy("_class")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -68,11 +68,11 @@ class Series:
         return W.partitionBy(*self.key, *cell).orderBy(*self.order)
 
     def _per_cell(self, table: DataFrame) -> DataFrame:
-        """A table of at most one row per cell, broadcast if the cells are few enough."""
-        return F.broadcast(table) if self.n_cells <= BROADCAST_ROWS else table
+        """A table of at most one row per cell, broadcast if it is measured to be small."""
+        return small(table) if self.n_cells <= BROADCAST_ROWS else table
 
     def _on_cells(self, table: DataFrame) -> DataFrame:
-        return self.df.join(self._per_cell(table), [*self.key, _CELL], "left")
+        return join_on(self.df, self._per_cell(table), [*self.key, _CELL], "left")
 
     def roll(
         self,
@@ -117,7 +117,7 @@ class Series:
             .drop("_back")
         )
         return (
-            tail.join(self._per_cell(targets), [*self.key, _CELL])
+            join_on(tail, self._per_cell(targets), [*self.key, _CELL], "inner")
             .withColumn(_CELL, F.explode("_to"))
             .drop("_to")
         )
@@ -197,6 +197,14 @@ class Series:
         return replace(self, df=rows.withColumn(name, merge(here, F.col("_before"))).drop("_before"))
 
 
+def join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, where NULL equals NULL: a series may have no key."""
+    own = {c: f"_right_{i}" for i, c in enumerate(names)}
+    renamed = right.withColumnsRenamed(own)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(r)) for c, r in own.items()])
+    return left.join(renamed, same, how).drop(*own.values())
+
+
 def cell_rows(total: int, wanted: int | None = None) -> int:
     """Rows per cell for a table of `total` rows, unless the caller wants a given size."""
     return wanted or max(MIN_CELL_ROWS, -(-total // MAX_CELLS))
@@ -290,5 +298,5 @@ def _cut_again(
     step = F.floor((at.cast("double") - F.col("_lo")) / F.col("_width"))
     path = F.when(F.col("_axis").isNotNull(), F.concat(_CELL, F.array(step))).otherwise(F.col(_CELL))
     return (
-        rows.join(small(grid), [*key, _CELL], "left").withColumn(_CELL, path).drop("_axis", "_lo", "_width")
+        join_on(rows, small(grid), [*key, _CELL], "left").withColumn(_CELL, path).drop("_axis", "_lo", "_width")
     )

@@ -9,16 +9,17 @@ from faultlens.plans.ranking import rank_in_class
 from faultlens.queries.registry import L_SQL, R_SQL, labelled, query, r6, readings, table
 
 T_SQL = R_SQL + """,
-t AS (SELECT event_id, asset_id, CAST(event_type = 'error' AS INTEGER) AS y, score,
-      CAST(score >= 0.1 AS INTEGER) AS pred FROM r)"""
+t AS (SELECT event_id, asset_id, CAST(event_type = 'error' AS INTEGER) AS y, value / 3 AS score,
+      CAST(r.score >= 0.1 AS INTEGER) AS pred FROM r)"""
 
 
 def scored(spark, sf):
+    """Raw scores, outside of [0, 1] too, and a prediction."""
     return readings(spark, sf).select(
         "event_id",
         "asset_id",
         (F.col("event_type") == "error").cast("int").alias("y"),
-        "score",
+        (F.col("value") / 3).alias("score"),
         (F.col("score") >= 0.1).cast("int").alias("pred"),
     )
 
@@ -112,10 +113,17 @@ def cv_summary(spark, sf):
     return E.cv_summary(folds, ["a", "b"])
 
 
-@query(
-    "error_percentile",
-    f"WITH {L_SQL} SELECT round(quantile_cont(TP2, 0.99), 6) AS threshold FROM l WHERE anomaly = 0",
-)
+PERCENTILE_SQL = f"WITH {L_SQL} SELECT round(quantile_cont(TP2, 0.99), 6) AS threshold FROM l WHERE anomaly = 0"
+
+
+@query("error_percentile_narrowed", PERCENTILE_SQL)
+def error_percentile_narrowed(spark, sf):
+    """The path of columns too long for one buffer."""
+    value = E.error_threshold(labelled(spark, sf), "TP2", "anomaly", target_rows=100)
+    return spark.createDataFrame([(value,)], "threshold double").select(r6("threshold").alias("threshold"))
+
+
+@query("error_percentile", PERCENTILE_SQL)
 def error_percentile(spark, sf):
     value = E.error_threshold(labelled(spark, sf), "TP2", "anomaly")
     return spark.createDataFrame([(value,)], "threshold double").select(r6("threshold").alias("threshold"))
@@ -179,9 +187,9 @@ FOLD_SQL = T_SQL + """,
 o AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || event_id), event_id) - 1) % 5 AS INTEGER)
       AS fold FROM t),
 n AS (SELECT fold, count(*) AS n_val, sum(y) AS pos,
-        coalesce(2.0 * count(*) FILTER (y = 1 AND score >= 0.1) /
-          nullif(2 * count(*) FILTER (y = 1 AND score >= 0.1) + count(*) FILTER (y = 0 AND score >= 0.1)
-            + count(*) FILTER (y = 1 AND score < 0.1), 0), 0) AS f1 FROM o GROUP BY fold),
+        coalesce(2.0 * count(*) FILTER (y = 1 AND score >= 20) /
+          nullif(2 * count(*) FILTER (y = 1 AND score >= 20) + count(*) FILTER (y = 0 AND score >= 20)
+            + count(*) FILTER (y = 1 AND score < 20), 0), 0) AS f1 FROM o GROUP BY fold),
 g AS (SELECT fold, score AS thr, sum(y) AS tp, sum(1 - y) AS fp FROM o GROUP BY fold, score),
 v AS (SELECT *, sum(tp) OVER w AS ctp, sum(fp) OVER w AS cfp, sum(tp) OVER (PARTITION BY fold) AS p,
         sum(fp) OVER (PARTITION BY fold) AS q
@@ -196,8 +204,14 @@ SELECT fold, CAST(sum(n_val) OVER () - n_val AS BIGINT) AS n_train, n_val,
 FROM n JOIN a USING (fold) JOIN b USING (fold)"""
 
 
+@query("pr_curve_by_ranges", f"""WITH {CURVE_SQL} SELECT threshold, cum_tp, cum_fp FROM c""")
+def pr_curve_by_ranges(spark, sf):
+    """The path of more distinct scores than one task sums up."""
+    return E.score_curve(scored(spark, sf), range_rows=300).select("threshold", "cum_tp", "cum_fp")
+
+
 @query("fold_metrics", f"WITH {FOLD_SQL}")
 def fold_metrics(spark, sf):
     ranked = rank_in_class(scored(spark, sf), "y", "event_id")
     folds = ranked.withColumn("fold", (F.col("rank") % 5).cast("int"))
-    return E.fold_metrics(folds, cut=0.1)
+    return E.fold_metrics(folds, cut=20.0)

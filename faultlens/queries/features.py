@@ -233,7 +233,7 @@ def drop_consecutive_repeats(spark, sf):
 
 @query(
     "warm_flag",
-    f"WITH {R_SQL} SELECT event_id, row_number() {over()} >= 15 AS is_warm FROM r",
+    f"WITH {R_SQL} SELECT event_id, row_number() {over()} >= 16 AS is_warm FROM r",
 )
 def warm_flag(spark, sf):
     rows = readings(spark, sf).select("event_id", "ts", "asset_id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from faultlens.functions.scalar import risk_level
 from faultlens.operators import fleet as G
 from faultlens.queries.registry import L_SQL, R_SQL, RISK_SQL, labelled, query, r6, readings, table
+from faultlens.schema import SENSORS
 
 LATEST_SQL = R_SQL + f""",
 latest AS (SELECT asset_id, event_id, ts, score AS probability, {RISK_SQL} AS risk FROM r
@@ -66,12 +67,12 @@ def alert_rows(spark, sf):
 
 @query(
     "healthy_profile",
-    f"""WITH {L_SQL} SELECT unnest(['TP2', 'TP3', 'H1']) AS sensor,
-    round(unnest([quantile_cont(TP2, 0.5), quantile_cont(TP3, 0.5), quantile_cont(H1, 0.5)]), 6) AS median
+    f"""WITH {L_SQL} SELECT unnest([{", ".join(f"'{c}'" for c in SENSORS)}]) AS sensor,
+    round(unnest([{", ".join(f"quantile_cont({c}, 0.5)" for c in SENSORS)}]), 6) AS median
     FROM l WHERE anomaly = 0""",
 )
 def healthy_profile(spark, sf):
-    out = G.healthy_profile(labelled(spark, sf), ["TP2", "TP3", "H1"])
+    out = G.healthy_profile(labelled(spark, sf), SENSORS)
     return out.select("sensor", r6("median").alias("median"))
 
 

@@ -188,13 +188,13 @@ def open_alerts(spark, sf):
 @query(
     "valid_entries",
     f"""WITH {R_SQL} SELECT event_id, 'p' || event_id AS id, {RISK_SQL} AS "riskLevel"
-    FROM r WHERE event_id % 6 = 5""",
+    FROM r WHERE event_id % 8 > 6""",
 )
 def valid_entries(spark, sf):
-    """Five of six stored entries break one rule each: type, enum, field, syntax, quoting."""
+    """Seven of eight stored entries break one rule each: type, enum, field, syntax, quoting, text or an object behind."""
     from faultlens.functions.scalar import risk_level
 
-    e = F.col("event_id") % 6
+    e = F.col("event_id") % 8
     name = F.concat(F.lit("p"), F.col("event_id").cast("string"))
     p = F.col("score")
 
@@ -216,6 +216,8 @@ def valid_entries(spark, sf):
         .when(e == 2, entry(F.when(F.lit(False), p), risk_level("score")))
         .when(e == 3, F.concat(F.lit("{"), good))
         .when(e == 4, F.lit("[]"))
+        .when(e == 5, F.concat(good, F.lit(" junk")))
+        .when(e == 6, F.concat(good, F.lit(","), good))
         .otherwise(good)
     )
     stored = readings(spark, sf).select("event_id", text.alias("entry"))

@@ -135,7 +135,7 @@ def event_csv_rows(spark, sf):
 
 
 def lines(spark, sf):
-    """Feed lines per asset: valid, cut short, one field missing, or not an event."""
+    """Feed lines per asset: valid, cut short, one field missing, not an event, or with more behind the object."""
     e = F.col("event_id") % 10
     s = sensors(spark, sf)
     whole = F.to_json(F.struct(F.col("ts").cast("string").alias("timestamp"), *SENSORS))
@@ -144,13 +144,15 @@ def lines(spark, sf):
         F.when(e == 0, F.concat(F.lit("data: "), F.substring(whole, 1, 20)))
         .when(e == 1, F.concat(F.lit("data: "), partial))
         .when(e == 2, F.lit("event: sensor_reading"))
+        .when(e == 3, F.concat(F.lit("data: "), whole, F.lit(" junk")))
+        .when(e == 4, F.concat(F.lit("data: "), whole, F.lit(","), whole))
         .otherwise(D.to_lines(s, whole))
     )
     return s.select(F.col("asset_id").alias("client_id"), text.alias("line"))
 
 
-QUALITY_SQL = """q AS (SELECT user_id AS client_id, count(*) FILTER (event_id % 10 > 2) AS events,
-  count(*) FILTER (event_id % 10 = 0) AS malformed, count(*) FILTER (event_id % 10 = 1) AS incomplete
+QUALITY_SQL = """q AS (SELECT user_id AS client_id, count(*) FILTER (event_id % 10 > 4) AS events,
+  count(*) FILTER (event_id % 10 IN (0, 3, 4)) AS malformed, count(*) FILTER (event_id % 10 = 1) AS incomplete
   FROM events WHERE event_id % 10 <> 2 GROUP BY user_id)"""
 
 

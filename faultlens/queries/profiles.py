@@ -14,16 +14,25 @@ def stack_sql(columns, body: str, source: str = "l") -> str:
     return "\nUNION ALL ".join(f"SELECT '{c}' AS {{name}}, {body.replace('{c}', c)} FROM {source}" for c in columns)
 
 
-@query(
-    "describe_numeric",
+DESCRIBE_SQL = (
     f"WITH {L_SQL} "
     + stack_sql(
         ANALOGUE,
         """count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min,
         round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
         round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max""",
-    ).replace("{name}", '"column"'),
+    ).replace("{name}", '"column"')
 )
+
+
+@query("describe_numeric_narrowed", DESCRIBE_SQL)
+def describe_numeric_narrowed(spark, sf):
+    """The path of columns too long for one buffer."""
+    out = P.describe_numeric(labelled(spark, sf), ANALOGUE, target_rows=100)
+    return out.withColumns({c: r6(c) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+@query("describe_numeric", DESCRIBE_SQL)
 def describe_numeric(spark, sf):
     out = P.describe_numeric(labelled(spark, sf), ANALOGUE)
     return out.withColumns({c: r6(c) for c in ("mean", "std", "q25", "q50", "q75")})
@@ -132,11 +141,11 @@ def histogram_60(spark, sf):
     return P.histogram(labelled(spark, sf), ANALOGUE)
 
 
+# The sensors whose outliers are reported.
 KEY_SENSORS = ["TP2", "TP3", "H1", "DV_pressure", "Motor_current"]
 
 
-@query(
-    "iqr_outliers",
+IQR_SQL = (
     f"WITH {L_SQL}, q AS ("
     + stack_sql(
         KEY_SENSORS, "quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b"
@@ -147,8 +156,17 @@ KEY_SENSORS = ["TP2", "TP3", "H1", "DV_pressure", "Motor_current"]
       round(any_value(a - 1.5 * (b - a)), 4) AS lower_fence, round(any_value(b + 1.5 * (b - a)), 4) AS upper_fence,
       count(*) FILTER (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) AS n_outliers,
       round(100.0 * count(*) FILTER (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) / count(*), 4) AS pct
-    FROM u JOIN q USING (sensor) GROUP BY sensor""",
+    FROM u JOIN q USING (sensor) GROUP BY sensor"""
 )
+
+
+@query("iqr_outliers_narrowed", IQR_SQL)
+def iqr_outliers_narrowed(spark, sf):
+    """The path of columns too long for one buffer."""
+    return P.iqr_outliers(labelled(spark, sf), KEY_SENSORS, target_rows=100)
+
+
+@query("iqr_outliers", IQR_SQL)
 def iqr_outliers(spark, sf):
     return P.iqr_outliers(labelled(spark, sf), KEY_SENSORS)
 

@@ -6,6 +6,7 @@ from faultlens.operators import sampling as A
 from faultlens.operators import windows as V
 from faultlens.operators.knn import nearest
 from faultlens.queries.registry import L_SQL, R_SQL, labelled, query, r6, readings, table
+from faultlens.schema import SENSORS
 
 T_SQL = R_SQL + """,
 t AS (SELECT event_id, value, CAST(event_type = 'error' AS INTEGER) AS y FROM r),
@@ -71,13 +72,13 @@ def class_weights(spark, sf):
 
 @query(
     "scaler_stats",
-    f"""WITH {L_SQL} SELECT unnest(['TP2', 'TP3', 'H1']) AS channel,
-      round(unnest([avg(TP2), avg(TP3), avg(H1)]), 6) AS mean,
-      round(unnest([stddev_pop(TP2), stddev_pop(TP3), stddev_pop(H1)]), 6) AS std, count(*) AS n
+    f"""WITH {L_SQL} SELECT unnest([{", ".join(f"'{c}'" for c in SENSORS)}]) AS channel,
+      round(unnest([{", ".join(f"avg({c})" for c in SENSORS)}]), 6) AS mean,
+      round(unnest([{", ".join(f"stddev_pop({c})" for c in SENSORS)}]), 6) AS std, count(*) AS n
     FROM l WHERE anomaly = 0""",
 )
 def scaler_stats(spark, sf):
-    out = V.scaler_stats(labelled(spark, sf).where("anomaly = 0"), ["TP2", "TP3", "H1"])
+    out = V.scaler_stats(labelled(spark, sf).where("anomaly = 0"), SENSORS)
     return out.withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
@@ -86,13 +87,12 @@ def scaler_stats(spark, sf):
     f"""WITH {L_SQL},
     i AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM l),
     w AS (SELECT unnest(range(0, (SELECT count(*) FROM l) - 59, 10)) AS lo),
-    m AS (SELECT TP2, TP3 FROM w JOIN i ON rn BETWEEN lo AND lo + 59)
-    SELECT CAST(0 AS INTEGER) AS channel, round(avg(TP2), 6) AS mean, round(stddev_pop(TP2), 6) AS std FROM m
-    UNION ALL SELECT 1, round(avg(TP3), 6), round(stddev_pop(TP3), 6) FROM m""",
+    m AS (SELECT i.* FROM w JOIN i ON rn BETWEEN lo AND lo + 59)
+    {" UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS channel, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std FROM m" for k, c in enumerate(SENSORS))}""",
 )
 def window_scaler(spark, sf):
     """Rows shared by overlapping windows count once per window."""
-    mean, std = V.window_scaler(V.sliding_windows(labelled(spark, sf), ["TP2", "TP3"]), 2)
+    mean, std = V.window_scaler(V.sliding_windows(labelled(spark, sf), SENSORS), len(SENSORS))
     rows = [(c, m, s) for c, (m, s) in enumerate(zip(mean, std))]
     out = spark.createDataFrame(rows, "channel int, mean double, std double")
     return out.withColumns({"mean": r6("mean"), "std": r6("std")})
@@ -161,15 +161,13 @@ x AS (SELECT parent, copy, neighbour, m.v AS a,
 @query(
     "smote",
     SMOTE_SQL
-    + """ SELECT parent, copy, neighbour, round(x.a[1] + u * (b.v[1] - x.a[1]), 6) AS v1,
-      round(x.a[64] + u * (b.v[64] - x.a[64]), 6) AS v64 FROM x JOIN e b ON b.vec_id = neighbour
-    UNION ALL SELECT NULL, NULL, NULL, round(v[1], 6), round(v[64], 6) FROM e""",
+    + """ SELECT parent, copy, neighbour, list_transform(range(1, 65), lambda i: round(x.a[i] + u * (b.v[i] - x.a[i]), 6)) AS v
+      FROM x JOIN e b ON b.vec_id = neighbour
+    UNION ALL SELECT NULL, NULL, NULL, list_transform(v, lambda z: round(z, 6)) FROM e""",
 )
 def smote(spark, sf):
     out = A.smote(binary(spark, sf), "v", "y", "vec_id")
-    return out.select(
-        "parent", "copy", "neighbour", r6(F.element_at("v", 1)).alias("v1"), r6(F.element_at("v", 64)).alias("v64")
-    )
+    return out.select("parent", "copy", "neighbour", F.transform("v", r6).alias("v"))
 
 
 @query(
@@ -193,35 +191,57 @@ def borderline_seeds(spark, sf):
     return A.borderline_seeds(rows, "v", "label", "vec_id", 3)
 
 
-@query("borderline_smote")
+# Oversampling in general: e has id, y and v; y = 1 is the smaller class. `keep` picks the seeds.
+OVERSAMPLE_SQL = """d AS (SELECT a.id, b.id AS neighbour, b.y AS other, round(list_distance(a.v, b.v), 6) AS distance
+      FROM e a JOIN e b ON a.id <> b.id WHERE a.y = 1),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS place FROM d),
+own AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS place FROM d WHERE other = 1),
+seeds AS (SELECT id FROM near WHERE place <= 10 GROUP BY id HAVING {keep}),
+c AS (SELECT count(*) FILTER (y = 0) - count(*) FILTER (y = 1) AS total, (SELECT count(*) FROM seeds) AS n FROM e),
+z AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS rank FROM seeds),
+m AS (SELECT id AS parent, CAST(unnest(range(0, total // n + CASE WHEN rank < total % n THEN 1 ELSE 0 END)) AS INTEGER) AS copy
+      FROM z, c),
+x AS (SELECT parent, copy, neighbour, a.v AS a, b.v AS b,
+        ('0x' || substr(md5('42:' || parent || ':' || copy), 1, 15))::BIGINT / 1152921504606846976.0 AS u
+      FROM m JOIN own ON own.id = parent AND own.place = copy % 5 + 1 JOIN e a ON a.id = parent JOIN e b ON b.id = neighbour)"""
+MIXED_SQL = "list_transform(range(1, len(a) + 1), lambda i: round(a[i] + u * (b[i] - a[i]), 6))"
+
+
+@query(
+    "borderline_smote",
+    f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v,
+        CAST(embedding[1] + embedding[2] / 2 > 0.15 AS INTEGER) AS y FROM embeddings),
+    {OVERSAMPLE_SQL.format(keep="count(*) FILTER (other = 0) * 2 >= count(*) AND count(*) FILTER (other = 0) < count(*)")}
+    SELECT parent, copy, neighbour, CAST(1 AS INTEGER) AS y, {MIXED_SQL} AS v FROM x
+    UNION ALL SELECT NULL, NULL, NULL, y, list_transform(v, lambda z: round(z, 6)) FROM e""",
+)
 def borderline_smote(spark, sf):
     """Seeds only near the class boundary; the labels are made to overlap there."""
     rows = table(spark, sf, "embeddings").select(
         "vec_id",
-        F.slice("embedding", 1, 4).alias("v"),
+        F.col("embedding").alias("v"),
         (F.element_at("embedding", 1) + F.element_at("embedding", 2) / 2 > 0.15).cast("int").alias("y"),
     )
     out = A.smote(rows, "v", "y", "vec_id", borderline=True)
-    return out.groupBy("y", "is_synthetic").agg(F.count("*").alias("n"))
+    return out.select("parent", "copy", "neighbour", "y", F.transform("v", r6).alias("v"))
 
 
-@query("window_smote")
+@query(
+    "window_smote",
+    f"""WITH {L_SQL},
+    i AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM l),
+    w AS (SELECT unnest(range(0, (SELECT count(*) FROM l) - 59, 10)) AS lo),
+    e AS (SELECT CAST(lo // 10 AS BIGINT) AS id, max(anomaly) AS y,
+            flatten(list([{", ".join(SENSORS)}] ORDER BY rn)) AS v
+          FROM w JOIN i ON rn BETWEEN lo AND lo + 59 GROUP BY lo),
+    {OVERSAMPLE_SQL.format(keep="true")}
+    SELECT CAST(NULL AS BIGINT) AS wid, CAST(1 AS INTEGER) AS y, parent, copy, {MIXED_SQL} AS v FROM x
+    UNION ALL SELECT id, y, NULL, NULL, list_transform(v, lambda z: round(z, 6)) FROM e""",
+)
 def window_smote(spark, sf):
-    """Oversampling of flattened windows, folded back to tensors."""
-    w = V.sliding_windows(labelled(spark, sf), ["TP2", "TP3"], label="anomaly")
+    """Oversampling of flattened windows of all channels, folded to tensors and flattened again."""
+    w = V.sliding_windows(labelled(spark, sf), SENSORS, label="anomaly")
     flat = w.select("wid", V.flatten_window("x").alias("v"), "y")
     out = A.smote(flat, "v", "y", "wid")
-    return out.select("wid", "y", "parent", "copy", V.unflatten_window("v", 2).alias("x"))
-
-
-@query(
-    "split_leak_check",
-    f"""WITH {T_SQL}, s AS (SELECT *, rank < floor(n * 0.2 + 0.5) AS is_test FROM h)
-    SELECT count(*) AS n_leaked FROM s a WHERE is_test AND EXISTS (
-      SELECT 1 FROM s b WHERE NOT b.is_test AND a.value = b.value AND a.y = b.y)""",
-)
-def split_leak_check(spark, sf):
-    """Test rows whose (value, class) also occurs in training; ids would never repeat."""
-    split = A.stratified_split(truth(spark, sf), "y", "event_id")
-    leaked = A.leaked_rows(split.where("NOT is_test"), split.where("is_test"), ["value", "y"])
-    return leaked.agg(F.count("*").alias("n_leaked"))
+    tensor = out.withColumn("x", V.unflatten_window("v", len(SENSORS)))
+    return tensor.select("wid", "y", "parent", "copy", F.transform(V.flatten_window("x"), r6).alias("v"))

@@ -82,15 +82,22 @@ def stream_scored(spark, sf):
     return live(spark, sf).results(spark).select("event_id", "asset_id", "probability")
 
 
+def mean_of_hundred(df):
+    return df.withColumn("probability", F.least(F.lit(1.0), F.round(F.col("TP2_ma_5") / 100, 6)))
+
+
 @query(
     "stream_alerts",
     f"""WITH {R_SQL}, p AS (SELECT *, row_number() {over()} AS n, avg(value) {over('4 PRECEDING')} AS ma FROM r),
-    q AS (SELECT asset_id, ts, least(1.0, round(CASE WHEN n >= 16 THEN ma ELSE value END / 500, 6)) AS probability FROM p)
-    SELECT md5(asset_id || '|' || epoch_us(ts)) AS message_id, CAST(asset_id AS VARCHAR) AS sensor_id, probability
+    q AS (SELECT asset_id, ts, least(1.0, round(CASE WHEN n >= 16 THEN ma ELSE value END / 100, 6)) AS probability FROM p)
+    SELECT 'alert' AS type, md5(asset_id || '|' || epoch_us(ts)) AS message_id,
+      strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, CAST(asset_id AS VARCHAR) AS sensor_id, probability,
+      CAST(probability >= 0.5 AS INTEGER) AS predicted_class, true AS triggered
     FROM q WHERE probability > 0.7""",
 )
 def stream_alerts(spark, sf):
-    return live(spark, sf).results(spark, "alerts").select("message_id", "sensor_id", "probability")
+    out = live(spark, sf, mean_of_hundred).results(spark, "alerts")
+    return out.select("type", "message_id", "timestamp", "sensor_id", "probability", "predicted_class", "triggered")
 
 
 @query(

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from faultlens.operators import windows as V
 from faultlens.operators.labels import healthy_faulty_split
 from faultlens.operators.sampling import group_folds
-from faultlens.queries.registry import INTERVALS, L_SQL, labelled, query, r6, sensors
+from faultlens.queries.registry import INTERVALS, L_SQL, S_SQL, labelled, query, r6, sensors
+from faultlens.schema import SENSORS
 
-PAIR = ["TP2", "TP3"]
+CHANNELS_SQL = ", ".join(SENSORS)
 # i: rows by position; w: window starts; m: window members in order.
 WINDOWS_SQL = L_SQL + """,
 i AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM l),
@@ -15,27 +16,29 @@ w AS (SELECT unnest(range(0, (SELECT count(*) FROM l) - 59, 10)) AS lo),
 m AS (SELECT CAST(lo // 10 AS BIGINT) AS wid, rn - lo AS t, i.* FROM w JOIN i ON rn BETWEEN lo AND lo + 59)"""
 
 
-def windows(spark, sf, columns=PAIR):
+def windows(spark, sf, columns=SENSORS):
     return V.sliding_windows(labelled(spark, sf), columns, label="anomaly")
 
 
 @query(
     "sliding_windows",
     f"""WITH {WINDOWS_SQL} SELECT wid, max(anomaly) AS y, count(*) AS n_rows,
-    round(sum(TP2), 6) AS sum_tp2, round(sum(TP2 * (t + 1)), 4) AS weighted_tp2,
+    [{", ".join(f"round(sum({c}), 6)" for c in SENSORS)}] AS sums,
+    [{", ".join(f"round(sum({c} * (t + 1)), 4)" for c in SENSORS)}] AS weighted,
     min(ts) AS first_ts, max(ts) AS last_ts FROM m GROUP BY wid""",
 )
 def sliding_windows(spark, sf):
     """The position-weighted sum is wrong unless each tensor is whole and in order."""
-    first = F.transform("x", lambda row: row[0])
-    weighted = F.transform(first, lambda v, i: v * (i + 1))
+    channels = F.sequence(F.lit(0), F.lit(len(SENSORS) - 1))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    sums = F.transform(channels, lambda c: r6(total(F.transform("x", lambda row: F.get(row, c)))))
+    weighted = F.transform(channels, lambda c: F.round(total(F.transform("x", lambda row, i: F.get(row, c) * (i + 1))), 4))
     return windows(spark, sf).select(
         "wid",
         "y",
         F.size("x").cast("bigint").alias("n_rows"),
-        r6(total(first)).alias("sum_tp2"),
-        F.round(total(weighted), 4).alias("weighted_tp2"),
+        sums.alias("sums"),
+        weighted.alias("weighted"),
         "first_ts",
         "last_ts",
     )
@@ -75,23 +78,22 @@ def window_left_pad(spark, sf):
 
 @query(
     "window_patches",
-    f"""WITH {WINDOWS_SQL}, c AS (SELECT wid, list(TP2 ORDER BY t) AS a, list(TP3 ORDER BY t) AS b FROM m GROUP BY wid),
-    p AS (SELECT wid, CAST(unnest(range(0, 9)) AS INTEGER) AS patch, a, b FROM c)
-    SELECT wid, patch, list_concat(a[patch * 6 + 1 : patch * 6 + 12], b[patch * 6 + 1 : patch * 6 + 12]) AS token
-    FROM p""",
+    f"""WITH {WINDOWS_SQL}, c AS (SELECT wid, [{", ".join(f"list({c} ORDER BY t)" for c in SENSORS)}] AS a FROM m GROUP BY wid),
+    p AS (SELECT wid, CAST(unnest(range(0, 9)) AS INTEGER) AS patch, a FROM c)
+    SELECT wid, patch, flatten(list_transform(a, lambda x: x[patch * 6 + 1 : patch * 6 + 12])) AS token FROM p""",
 )
 def window_patches(spark, sf):
     w = windows(spark, sf)
-    return w.select("wid", F.posexplode(V.patches("x", 2)).alias("patch", "token"))
+    return w.select("wid", F.posexplode(V.patches("x", len(SENSORS))).alias("patch", "token"))
 
 
 @query(
     "window_flatten",
-    f"""WITH {WINDOWS_SQL} SELECT wid, flatten(list([TP2, TP3] ORDER BY t)) AS flat FROM m GROUP BY wid""",
+    f"""WITH {WINDOWS_SQL} SELECT wid, flatten(list([{CHANNELS_SQL}] ORDER BY t)) AS flat FROM m GROUP BY wid""",
 )
 def window_flatten(spark, sf):
     flat = V.flatten_window("x")
-    return windows(spark, sf).select("wid", V.flatten_window(V.unflatten_window(flat, 2)).alias("flat"))
+    return windows(spark, sf).select("wid", V.flatten_window(V.unflatten_window(flat, len(SENSORS))).alias("flat"))
 
 
 @query(
@@ -105,7 +107,7 @@ def window_day_group(spark, sf):
     """Window -> day of its first row -> fold of that day."""
     rows = labelled(spark, sf)
     folds = rows.select(F.to_date("ts").alias("day")).distinct().withColumn("fold", F.dayofmonth("day") % 5)
-    w = V.windows_by_day(windows(spark, sf, ["TP2"]), drop_cross_day=False)
+    w = V.windows_by_day(windows(spark, sf), drop_cross_day=False)
     return (
         V.fold_of_window(w, folds)
         .groupBy("fold")
@@ -120,10 +122,22 @@ def window_day_group(spark, sf):
     ) GROUP BY day""",
 )
 def windows_within_day(spark, sf):
-    return V.windows_by_day(windows(spark, sf, ["TP2"])).groupBy("day").agg(F.count("*").alias("n"))
+    return V.windows_by_day(windows(spark, sf)).groupBy("day").agg(F.count("*").alias("n"))
 
 
-@query("group_folds_by_day")
+@query(
+    "group_folds_by_day",
+    f"""WITH RECURSIVE {S_SQL},
+    d AS (SELECT *, row_number() OVER (ORDER BY n DESC, day) AS i
+          FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM s GROUP BY 1)),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS DATE) AS day,
+            CAST(NULL AS INTEGER) AS fold, CAST(NULL AS BIGINT) AS n
+          UNION ALL
+          SELECT d.i, list_transform(load, lambda x, k: x + CASE WHEN k = list_position(load, list_min(load)) THEN d.n ELSE 0 END),
+            d.day, CAST(list_position(load, list_min(load)) - 1 AS INTEGER), d.n
+          FROM g JOIN d ON d.i = g.i + 1)
+    SELECT day, fold, n FROM g WHERE i > 0""",
+)
 def group_folds_by_day(spark, sf):
     days = sensors(spark, sf).select(F.to_date("ts").alias("day"))
     return group_folds(days, "day")
@@ -135,14 +149,13 @@ def group_folds_by_day(spark, sf):
     a AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM l WHERE anomaly = 0),
     b AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS j, count(*) OVER () AS n FROM l WHERE anomaly = 1)
     SELECT a.event_id, CAST(i + 1 AS BIGINT) AS step, round(least((i + 1) / 300.0, 1.0), 6) AS drift,
-      round(a.TP2 + least((i + 1) / 300.0, 1.0) * (b.TP2 - a.TP2), 6) + 0.0 AS TP2,
-      round(a.TP3 + least((i + 1) / 300.0, 1.0) * (b.TP3 - a.TP3), 6) + 0.0 AS TP3
+      {", ".join(f"round(a.{c} + least((i + 1) / 300.0, 1.0) * (b.{c} - a.{c}), 6) + 0.0 AS {c}" for c in SENSORS)}
     FROM a JOIN b ON i % b.n = j""",
 )
 def circular_zip_blend(spark, sf):
     healthy, faulty = healthy_faulty_split(sensors(spark, sf), INTERVALS)
-    out = V.circular_blend(healthy, faulty, PAIR)
-    return out.select("event_id", "step", r6("drift").alias("drift"), *[r6(c).alias(c) for c in PAIR])
+    out = V.circular_blend(healthy, faulty, SENSORS)
+    return out.select("event_id", "step", r6("drift").alias("drift"), *[r6(c).alias(c) for c in SENSORS])
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,12 +30,13 @@ def session(app: str = "faultlens", master: str | None = None, **extra: str) ->
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by `spark.checkpoint.dir`.
 
-    Only a local-mode session may fall back to a temporary folder: on a cluster
+    A folder set by `setCheckpointDir` serves where the setting is missing. Only a
+    session inside one process may fall back to a temporary folder: on a cluster
     the executors would each write to their own disk and lose it with the node.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", folder)

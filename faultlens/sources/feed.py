@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions.scalar import epoch_millis, iso_text
+from faultlens.functions.scalar import epoch_millis, iso_text, one_json_object
 from faultlens.schema import SENSORS
 
 # The fields every event must carry, and the line prefix of an event.
@@ -36,7 +36,7 @@ def classify(lines: DataFrame, required: Sequence[str] = REQUIRED, line: str = "
     """Add `status`: valid, malformed or incomplete; lines that carry no event are dropped."""
     body = F.substring(line, len(PREFIX) + 1, 2**31 - 1)
     # Each document is parsed once; the status only looks at the key list.
-    events = lines.where(F.col(line).startswith(PREFIX)).withColumn("_keys", F.json_object_keys(body))
+    events = lines.where(F.col(line).startswith(PREFIX)).withColumn("_keys", F.json_object_keys(one_json_object(body)))
     absent = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("_keys"))
     status = (
         F.when(F.col("_keys").isNull(), "malformed").when(F.size(absent) > 0, "incomplete").otherwise("valid")

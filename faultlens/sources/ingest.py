@@ -19,13 +19,16 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
     """The contract columns of a CSV with header, typed without inference.
 
     Columns are matched by name: only the header line is read to learn the order,
-    and columns beyond the contract are parsed as text and dropped by the scan.
+    and columns beyond the contract are parsed as text and dropped by the scan. A file
+    whose header has another order is refused rather than read into wrong columns, and
+    a cell that is no number or time fails the read rather than become NULL.
     """
     header = spark.read.option("header", True).csv(path)
     require_columns(header, schema.fieldNames())
     kinds = {f.name: f.dataType for f in schema.fields}
     layout = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header.columns])
-    return spark.read.schema(layout).option("header", True).csv(path).select(*schema.fieldNames())
+    strict = spark.read.schema(layout).options(header=True, enforceSchema=False, mode="FAILFAST")
+    return strict.csv(path).select(*schema.fieldNames())
 
 
 def scan(spark: SparkSession, path: str, optional: Sequence[str] = ("timestamp", "anomaly")) -> DataFrame:

@@ -9,7 +9,7 @@ from faultlens.operators.labels import day_key
 
 # Header of the event-log export; the first name carries the UTF-8 BOM.
 EXPORT = {
-    "event_id": "﻿ID",
+    "event_id": "\ufeffID",
     "ts": "Timestamp",
     "equipment": "Equipamento",
     "type": "Tipo",

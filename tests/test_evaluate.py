@@ -100,3 +100,19 @@ def test_last_bin_is_closed(spark):
     df = spark.createDataFrame([(float(i),) for i in range(61)] + [(None,)], "x double")
     got = {r["bin"]: r["n"] for r in histogram(df, ["x"]).collect()}
     assert sum(got.values()) == 61 and got[59] == 2
+
+
+def test_scores_are_not_rounded(spark):
+    df = frame(spark, [(1, 0.5000001), (0, 0.5000002), (1, 0.5000003), (0, 0.49999999)])
+    assert E.roc_auc(df).first()["auc"] == 0.75
+
+
+def test_curve_by_ranges_equals_one_window(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(2), rnd.gauss(0, 1e6), rnd.choice(["a", "b", None])) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (1, None, "a"), (0, 3.0, "c")], "y int, score double, fold string")
+    whole = E.score_curve(df, by=["fold"]).toPandas()
+    cut_ = E.score_curve(df, by=["fold"], range_rows=30).toPandas()
+    key = ["fold", "threshold"]
+    assert whole.sort_values(key).reset_index(drop=True).equals(cut_.sort_values(key).reset_index(drop=True))
+    assert len(whole) == 401

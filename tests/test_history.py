@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,13 @@ def test_a_replayed_batch_replaces_itself(spark, seven, tmp_path):
         K.write_batch(seven.limit(n), path, 0, "ts")
     K.write_batch(seven.limit(2), path, 1, "ts")
     assert K.read_batches(spark, path).count() == 6
+
+
+@pytest.mark.parametrize("target", [None, 3])
+def test_asof_without_key_matches_nothing(spark, target):
+    schema = "event_id int, k int, ts timestamp_ntz, v int"
+    at = lambda *r: [(i, k, datetime(2024, 1, 1, 0, m), v) for i, k, m, v in r]
+    left = spark.createDataFrame(at((1, None, 5, 0), (2, 1, 5, 0), (3, None, 9, 0), (4, 2, 1, 0)), schema).drop("v")
+    right = spark.createDataFrame(at((1, None, 1, 7), (2, 1, 1, 8), (3, None, 2, 9)), schema)
+    out = asof_join(left, right, "k", ["v"], target_rows=target)
+    assert sorted((r["event_id"], r["v"]) for r in out.collect()) == [(1, None), (2, 8), (3, None), (4, None)]

@@ -106,3 +106,14 @@ def test_a_missing_label_is_a_class_of_its_own(imbalanced):
     df = imbalanced.withColumn("fault", F.when(F.col("fault") == 0, 0))
     out = A.stratified_split(df, "fault", "id")
     assert {r["fault"]: r["n"] for r in out.where("is_test").groupBy("fault").agg(F.count("*").alias("n")).collect()} == {0: 100, None: 10}
+
+
+@pytest.mark.parametrize("target", [None, 40])
+def test_folds_keep_rows_without_label(imbalanced, target):
+    """Small and cut classes give the same folds, and no row without a label is lost."""
+    from faultlens.plans.ranking import rank_in_class
+
+    df = imbalanced.withColumn("fault", F.when(F.col("fault") == 0, 0))
+    got = rank_in_class(df, "fault", "id", target_rows=target).select("id", "fault", "rank", "class_rows")
+    want = rank_in_class(df, "fault", "id").select("id", "fault", "rank", "class_rows")
+    assert got.count() == df.count() and got.exceptAll(want).isEmpty()

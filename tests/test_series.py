@@ -12,10 +12,10 @@ K = 15
 
 @pytest.fixture(scope="module")
 def skewed(events):
-    """One asset with half of all rows, bursts at one instant, and long null runs."""
+    """One asset, of no name, with half of all rows, bursts at one instant, and long null runs."""
     return events.select(
         "event_id",
-        F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id") % 7 + 1).alias("asset_id"),
+        F.when(F.col("event_id") % 2 == 1, F.col("user_id") % 7 + 1).alias("asset_id"),
         F.when(F.col("event_id").between(200, 500), F.lit("2024-01-10").cast("timestamp_ntz"))
         .otherwise(F.col("ts"))
         .alias("ts"),
