@@ -17,12 +17,13 @@ WIDTH = 5
 PERCENT = 80
 # 32 bands of 4: a pair of similarity 0.8 shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
-# A pair of similarity 0.8 differs in 51 of 256 (sample, value) elements on average, 48 bits
-# of the sketch; 100 bits stand for a similarity of about 0.57, more than five deviations off.
-MOST_DIFFERENT_BITS = 100
-# Rounds in which each document meets one hub per component, before all open pairs are looked at.
+# The first BANDS * ROWS samples make the bands, all of them the sketch.
+SAMPLES = 256
+SKETCH_BITS = 2048
+# A pair of similarity 0.8 differs in 51 of the 256 samples on average, with deviation 6.4. Each
+# flips two bits: 84 samples, five deviations off, make 155 different bits, chance meetings aside.
+MOST_DIFFERENT_BITS = 160
+# Rounds in which each document meets one hub, before all open pairs are looked at.
 HUB_ROUNDS = 2
 KNOWN_WORDS = 1_000_000
 
@@ -84,7 +85,7 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
 
 def band_keys(m: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; the band's number is part of it."""
-    m = m.reshape(-1, BANDS, ROWS)
+    m = m[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
     x = np.broadcast_to(np.arange(BANDS, dtype="u8"), m.shape[:2])
     for i in range(ROWS):
         x = mixed(x * np.uint64(0x100000001B3) + m[:, :, i])
@@ -199,55 +200,75 @@ def ordered(a: Column, b: Column) -> list[Column]:
 def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(cid, comp) of all classes that are linked to another one; `docs` has key and text.
 
-    Members of a band's bucket first meet its hub only, one pair each, in a few
-    rounds with other hubs; documents of one group so become one component in linear
-    work. What is left are buckets with several components. Members whose own shingles
-    rule out a link with anyone there leave; every pair of the others that lies in
-    different components and that the sketches allow is confirmed, so no link between
-    components is lost, whatever the size of a bucket.
+    Members of a band's bucket first meet its hub only, one pair each: the member with
+    the least share of shingles of its own, then the most others have too, that is the
+    one closest to the rest. A
+    second round does so with a hub outside the largest component. Documents of one
+    group so become one component in linear work. What is left are buckets with
+    several components. Members whose own shingles rule out a link with anyone there
+    have left; every pair of the others that lies in different components and that
+    the sketches allow is confirmed, so no link between components is lost, whatever
+    the size of a bucket.
     """
     members = classes.select("cid", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last").drop("last")
-    shared = stored(members.join(hubs, "bucket"))
-    narrow = classes.select("cid", "n_shingles", "sketch", "key")
-    concerned = shared.select("cid").distinct()
-    met = stored(narrow.join(concerned, "cid"))
+    several = members.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
+    shared = stored(members.join(several, "bucket").select("bucket", "cid"))
+    met = stored(classes.select("cid", "n_shingles", "sketch", "key").join(shared.select("cid").distinct(), "cid"))
     texts = stored(docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(met.select("cid", "key"), "key").select("cid", "text"))
-    known = met.join(common_shingles(texts, width), "cid", "left").select("cid", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    own = F.coalesce("own", F.lit(0))
+    known = met.join(common_shingles(texts, width), "cid", "left").select(
+        "cid", "n_shingles", "sketch", (F.col("n_shingles") - own).alias("common"), (own / F.col("n_shingles")).alias("own_share")
+    )
     known = stored(known)
 
-    first = close(shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), known, percent)
-    tested = stored(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    edges = stored(similar(tested, texts, width, percent))
-    for round_ in range(HUB_ROUNDS):
-        labels = components(edges)
-        open_ = stored(_open(shared, labels))
+    labels, tested, edges = None, None, None
+    for round_ in range(HUB_ROUNDS + 1):
+        open_ = stored(_open(shared, labels, known, percent))
         if open_.isEmpty():
-            return labels
-        last = round_ == HUB_ROUNDS - 1
-        pairs = _all_open(open_, known, percent) if last else _to_hubs(open_, known, percent, round_)
-        fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+            break
+        pairs = _to_hubs(open_, known, percent, round_) if round_ < HUB_ROUNDS else _all_open(open_, known, percent)
+        fresh = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = stored(similar(fresh, texts, width, percent))
-        tested, edges = tested.unionByName(fresh), edges.unionByName(found)
-        if last and found.isEmpty():
-            return labels
-    return components(edges)
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        edges = found if edges is None else edges.unionByName(found)
+        if labels is None or not found.isEmpty():
+            labels = components(edges)
+    return labels if labels is not None else shared.select("cid", F.col("cid").alias("comp")).limit(0)
 
 
-def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, cid, comp) of the buckets that hold more than one component."""
-    named = shared.select("bucket", "cid").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return named.join(several, "bucket")
+def _open(shared: DataFrame, labels: DataFrame | None, known: DataFrame, percent: int) -> DataFrame:
+    """(bucket, cid, comp, n_shingles, common, own_share) of buckets with several components.
+
+    Left out are members that cannot reach `percent` with anyone there: a partner has at
+    least as many shingles as the bucket's smallest member, and `percent` of one's own,
+    and shares none of one's own shingles.
+    """
+    named = shared.withColumn("comp", F.col("cid"))
+    if labels is not None:
+        named = shared.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rows = named.join(known.drop("sketch"), "cid")
+    least = rows.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))
+    able = rows.join(least, "bucket").where(100 * F.col("common") >= percent * (F.col("n_shingles") + partner - F.col("common"))).drop("least")
+    several = able.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return able.join(several, "bucket")
+
+
+def _main(open_: DataFrame) -> DataFrame:
+    """(bucket, main): the largest component of each bucket."""
+    sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    return sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"))
 
 
 def _to_hubs(open_: DataFrame, known: DataFrame, percent: int, round_: int) -> DataFrame:
-    """Each member with one hub of another component, hubs drawn anew by round."""
-    drawn = F.struct(F.xxhash64("cid", F.lit(round_)).alias("h"), F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
-    hubs = open_.groupBy("bucket").agg(F.min(drawn).alias("x")).select("bucket", "x.hub", "x.hub_comp")
-    pairs = open_.join(hubs, "bucket").where("comp <> hub_comp").select("cid", *ordered(F.col("cid"), F.col("hub"))).distinct()
+    """Each member with the best hub of another component that sizes and sketches allow."""
+    outside = open_ if round_ == 0 else open_.join(_main(open_), "bucket").where("comp <> main")
+    hub = F.min(F.struct("own_share", (-F.col("common")).alias("less"), "cid", "comp"))
+    hubs = outside.groupBy("bucket").agg(hub.alias("x")).select("bucket", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.own_share").alias("hub_share"))
+    met = open_.join(hubs, "bucket").where("comp <> hub_comp").select("cid", "hub", "hub_share").distinct()
+    pairs = met.select("cid", "hub_share", *ordered(F.col("cid"), F.col("hub")))
     fit = close(pairs.select("a", "b").distinct(), known, percent)
-    return pairs.join(fit, ["a", "b"]).groupBy("cid").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    return pairs.join(fit, ["a", "b"]).groupBy("cid").agg(F.min(F.struct("hub_share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _all_open(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -255,14 +276,7 @@ def _all_open(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     The bucket's largest component stands on one side only.
     """
-    rows = open_.join(known, "cid")
-    least = rows.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
-    # A partner has at least `least` shingles, and `percent` of one's own.
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * percent / 100))
-    able = rows.join(least, "bucket").where(100 * F.col("common") >= percent * (F.col("n_shingles") + partner - F.col("common"))).drop("least")
-    sizes = able.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    rows = able.join(main.select("bucket", F.col("m.comp").alias("main")), "bucket")
+    rows = open_.join(known.select("cid", "sketch"), "cid").join(_main(open_), "bucket")
     left = rows.where("comp <> main").select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"), F.col("sketch").alias("s_a"))
     right = rows.select("bucket", F.col("cid").alias("y"), F.col("comp").alias("cy"), "main", F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"), F.col("sketch").alias("s_b"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
