@@ -274,13 +274,16 @@ def _to_hubs(open_: DataFrame, known: DataFrame, percent: int, round_: int) -> D
 def _all_open(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of one bucket but different components that sizes and sketches allow.
 
-    The bucket's largest component stands on one side only.
+    The bucket's largest component stands on one side only. A pair that meets in several
+    buckets comes from the first of them.
     """
-    rows = open_.join(known.select("cid", "sketch"), "cid").join(_main(open_), "bucket")
-    left = rows.where("comp <> main").select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"), F.col("sketch").alias("s_a"))
-    right = rows.select("bucket", F.col("cid").alias("y"), F.col("comp").alias("cy"), "main", F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"), F.col("sketch").alias("s_b"))
+    buckets = open_.groupBy("cid").agg(F.collect_list("bucket").alias("buckets"))
+    rows = open_.join(known.select("cid", "sketch"), "cid").join(buckets, "cid").join(_main(open_), "bucket")
+    left = rows.where("comp <> main").select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"), F.col("sketch").alias("s_a"), F.col("buckets").alias("b_a"))
+    right = rows.select("bucket", F.col("cid").alias("y"), F.col("comp").alias("cy"), "main", F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"), F.col("sketch").alias("s_b"), F.col("buckets").alias("b_b"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    found = left.join(right, "bucket").where(apart & _may_match(percent))
+    first = F.array_min(F.array_intersect("b_a", "b_b")) == F.col("bucket")
+    found = left.join(right, "bucket").where(apart & _may_match(percent) & first)
     return found.select(*ordered(F.col("x"), F.col("y"))).distinct()
 
 
