@@ -24,7 +24,7 @@ FULL = 0.98
 # Steps of the search below an incumbent that misses the bound; then the incumbent stands.
 NODES = 1_000
 # Words whose ids a worker remembers, in each of two generations.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 GAP = re.compile(r"[\x20\x09-\x0D]+")
 LATIN_END = "\u0250"
 # How byte-level vocabularies write bytes: visible ones as themselves, the others from U+0100 on.
