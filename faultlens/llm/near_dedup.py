@@ -25,7 +25,7 @@ SKETCH_BITS = 2048
 MOST_DIFFERENT_BITS = 160
 # Rounds in which each document meets one hub, before all open pairs are looked at.
 HUB_ROUNDS = 2
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 100_000
 
 
 class WordHashes(dict):
