@@ -89,6 +89,7 @@ def test_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
         out = stage(spark, docs, SMALL)
-        assert out.count() > 0
+        # The odd rows repeat themselves or are short; no rule keeps one.
+        assert (out.count() > 0) == (name != "quality_rules")
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
