@@ -117,3 +117,22 @@ def test_folds_keep_rows_without_label(imbalanced, target):
     got = rank_in_class(df, "fault", "id", target_rows=target).select("id", "fault", "rank", "class_rows")
     want = rank_in_class(df, "fault", "id").select("id", "fault", "rank", "class_rows")
     assert got.count() == df.count() and got.exceptAll(want).isEmpty()
+
+
+def test_split_leak_check_covers_the_whole_table(spark, events):
+    """The registered query counts what plain Python finds in all events."""
+    from hashlib import md5
+
+    from __spark_entry__ import oracle_sql, queries
+    from conftest import SMALL
+
+    assert "split_leak_check" in oracle_sql()
+    classes = {0: [], 1: []}
+    for r in events.select("event_id", "event_type", "value").collect():
+        classes[int(r["event_type"] == "error")].append((md5(f"42:{r['event_id']}".encode()).hexdigest(), r["event_id"], r["value"]))
+    want = 0
+    for part in classes.values():
+        n_test = int(len(part) * 0.2 + 0.5)
+        values = [v for *_, v in sorted(part)]
+        want += sum(v in set(values[n_test:]) for v in values[:n_test])
+    assert [r["n_leaked"] for r in queries()["split_leak_check"](spark, SMALL).collect()] == [want]
