@@ -15,8 +15,6 @@ from faultlens.schema import SENSORS
 from faultlens.session import cut
 
 KEEP = ["event_id", "y"]
-# Folds and candidates of the searches are fitted on a seeded sample of so many labelled rows.
-SEARCH_SAMPLE = 1_000
 
 # A fault needs a high product of two sensors; no single column tells it.
 FAULT_SQL = R_SQL + """,
@@ -66,7 +64,7 @@ def forest_scores(spark, sf):
 )
 def forest_grid_search(spark, sf):
     """The whole grid over folds; the training side of each fold is balanced by synthetic rows."""
-    rows = M.search_sample(modelled(spark, sf).where("NOT is_test"), "event_id", SEARCH_SAMPLE)
+    rows = modelled(spark, sf).where("NOT is_test")
     names = feature_names(False)
 
     def unpack(df):
@@ -91,7 +89,8 @@ def forest_grid_search(spark, sf):
 
 @query("boosted_scores", TEST_SQL)
 def boosted_scores(spark, sf):
-    """Seeded candidates compared over folds on a sample; the best one is fitted on all training rows."""
+    """Seeded candidates compared over folds, fitted on a sample of their training sides and measured on all
+    rows held out; the best one is fitted on all training rows."""
     names = feature_names(False)
     train, test = split(spark, sf)
 
@@ -100,8 +99,7 @@ def boosted_scores(spark, sf):
         return M.train_boosted(rows, names, validation="is_validation", **params)
 
     candidates = [{**p, "maxIter": 20} for p in M.random_candidates(3)]
-    sample = M.search_sample(train, "event_id", SEARCH_SAMPLE)
-    best = M.search(sample, fit, candidates, "y", "event_id", folds=3)[0]
+    best = M.search(train, fit, candidates, "y", "event_id", folds=3, rows=M.SEARCH_ROWS)[0]
     return gated(M.score(fit(train, best.params), test, KEEP))
 
 

@@ -119,3 +119,42 @@ def test_champion_promotion_and_cards(spark, tmp_path):
     assert status == {"m": (True, True), "x": (False, False)}
     with pytest.raises(ValueError):
         R.switch_model("zzz", ["m"])
+
+
+def test_search_measures_all_held_out_rows_and_keeps_rare_classes(data):
+    """A sample bounds only the training sides, with the class shares of the whole."""
+    sides, checked = [], []
+
+    class Model:
+        def transform(self, rows):
+            checked.append(rows.count())
+            return rows.withColumn("prediction", F.col("y").cast("double"))
+
+    def fit(rows, params):
+        sides.append({r["y"]: r["count"] for r in rows.groupBy("y").count().collect()})
+        return Model()
+
+    rows = data.drop("is_test")
+    M.search(rows, fit, [{}], "y", "id", folds=2, rows=46)
+    assert sum(checked) == 460 and sides == [{0: 40, 1: 6}] * 2
+
+
+def test_registered_searches_see_the_whole_training_set(spark, monkeypatch):
+    from faultlens.queries import models
+
+    table = spark.range(3000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 60 == 0).cast("int").alias("y"), (F.col("id") % 5 == 0).alias("is_test"),
+        *[F.lit(0.0).alias(c) for c in models.feature_names(False)],
+    )
+    monkeypatch.setattr(models, "modelled", lambda *a, **k: table)
+    seen = []
+
+    def search(df, *args, rows=None, **kwargs):
+        seen.append((df.count(), rows))
+        raise InterruptedError
+
+    monkeypatch.setattr(models.M, "search", search)
+    for run in (models.forest_grid_search, models.boosted_scores):
+        with pytest.raises(InterruptedError):
+            run(spark, "")
+    assert seen == [(2400, None), (2400, M.SEARCH_ROWS)]
