@@ -19,11 +19,14 @@ KINDS = ("assign", "access", "hex", "random")
 
 # A random base64 string has about 1.5 characters per token, prose 3 to 5.
 MOST_RATIO = 2.1
+# For letters of one case: random ones have about 1.65, and 1 % of long invented words up to 2.0.
+MOST_RATIO_ONE_CASE = 1.95
 LEAST_CHARS = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}")
 DIGEST_CHARS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NAME_PARTS = re.compile(r"[_/=+-]+")
+PATH_PART = re.compile(r"[^/=]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -35,16 +38,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(s: str) -> bool:
-    """Whether a string is a digest or an identifier, so that it may look random and tell nothing.
+    """Whether a string is a digest, a UUID or made of plain numbers, so that it may look random and tell nothing.
 
-    Digests are hexadecimal of a usual digest length; identifiers are UUIDs, plain
-    numbers, words of one case, and names made of such parts.
+    Digests are hexadecimal of a usual digest length.
     """
     if UUID.fullmatch(s):
         return True
     if len(s) in DIGEST_CHARS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return True
-    return all(not part or part.isdigit() or part.isalpha() and (part.islower() or part.isupper() or part.istitle()) for part in NAME_PARTS.split(s))
+    return all(not part or part.isdigit() for part in NAME_PARTS.split(s))
+
+
+def name_words(s: str) -> list[str] | None:
+    """The words of a name, whose parts are numbers and words of one case; None for other strings."""
+    parts = [p for p in NAME_PARTS.split(s) if p and not p.isdigit()]
+    return parts if all(p.isalpha() and (p.islower() or p.isupper() or p.istitle()) for p in parts) else None
 
 
 class Efficiency:
@@ -61,15 +69,64 @@ class Efficiency:
         return len(s) / len(self.encoding.encode_ordinary(s))
 
 
+def is_random(s: str, ratio: Efficiency, most: float) -> bool:
+    """Whether a string is long enough, not known and needs more than one token per `most` characters.
+
+    Names are held to the stricter limit, without their numbers.
+    """
+    if len(s) < LEAST_CHARS or is_known(s):
+        return False
+    words = name_words(s)
+    if words is None:
+        return ratio(s) <= most
+    return sum(map(len, words)) >= LEAST_CHARS and ratio("-".join(words)) <= min(most, MOST_RATIO_ONE_CASE)
+
+
+def random_parts(s: str, ratio: Efficiency, most: float) -> list[tuple[int, int]]:
+    """The random stretches of a run: all of it, or neighbouring parts between / and = that are dense in tokens."""
+    parts = [(m.start(), m.end()) for m in PATH_PART.finditer(s)]
+    if is_random(s, ratio, most):
+        # Names of a path around it are not part of the secret.
+        plain = [name_words(s[a:b]) is not None and ratio(s[a:b]) > most for a, b in parts]
+        if any(plain) and not all(plain):
+            first, last = plain.index(False), len(plain) - 1 - plain[::-1].index(False)
+            a, b = parts[first][0] if first else 0, parts[last][1] if last < len(parts) - 1 else len(s)
+            if is_random(s[a:b], ratio, most):
+                return [(a, b)]
+        return [(0, len(s))]
+    if len(parts) < 2:
+        # A part alone, perhaps with slashes around it, has been looked at as a whole.
+        return [(a, b) for a, b in parts if b - a < len(s) and is_random(s[a:b], ratio, most)]
+    groups, last = [], False
+    for a, b in parts:
+        dense = ratio(s[a:b]) <= most
+        if dense and last:
+            groups[-1] = (groups[-1][0], b)
+        elif dense:
+            groups.append((a, b))
+        last = dense
+    out = []
+    for a, b in groups:
+        if is_random(s[a:b], ratio, most):
+            out.append((a, b))
+        else:
+            # Numbers or names beside a random part may hide it.
+            out += [(x, y) for x, y in parts if a <= x and y <= b and is_random(s[x:y], ratio, most)]
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], ratio: Efficiency, most: float) -> list[tuple[int, int, int]]:
-    """Candidates outside `taken` that need more than one token per `most` characters and are not known."""
+    """Random stretches of the candidates, and of what `taken` leaves of them."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in taken) or is_known(s):
-            continue
-        if ratio(s) <= most:
-            out.append((m.start(), 3, m.end()))
+        free, at = [], m.start()
+        for a, _, b in taken:
+            if a < m.end() and at < b:
+                free.append((at, a))
+                at = b
+        for start, end in [*free, (at, m.end())]:
+            if end - start >= LEAST_CHARS:
+                out += [(start + a, 3, start + b) for a, b in random_parts(text[start:end], ratio, most)]
     return out
 
 

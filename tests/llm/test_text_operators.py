@@ -258,6 +258,22 @@ def test_secrets_of_documents(spark):
         assert r.base_sha256 == hashlib.sha256(secrets_by_hand(text[r.doc_id]).encode()).hexdigest()
 
 
+def test_secrets_of_one_case_in_paths_and_beside_base_spans():
+    ratio = secrets.Efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    def found(text):
+        return [text[a:b] for a, _, b in secrets.random_spans(text, secrets.base_spans(text), ratio, secrets.MOST_RATIO)]
+
+    low, app, key, aws = "xqjvkzwpfbtgmhdyrcnuqxzj", "qzvx-jwkp-bfxq-mzgt", "q7Zt9Lx2Vb8Kp4Wn6Rd3Hs5J", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQhTLpNvGd"
+    assert found(f"see {low} and {low.upper()}") == [low, low.upper()]
+    assert found(f"the app {app}, or {app.replace('-', '_')}") == [app, app.replace("-", "_")]
+    assert found(f"/download/archive/release/attachment/{key}") == [key] and found(f"sig_of_the_attachment_value={key}") == [key]
+    assert found(aws) == [aws]
+    assert found(f"{key}/{'0123456789abcdef' * 2}/{key}") == [f"{key}/", f"/{key}"]
+    for plain in ("internationalisation", "kubernetes-dashboard-metrics-scraper", "THREAD_POOL_EXECUTOR_SHUTDOWN", "/usr/share/2024/01/15/release-notes", "order-4197319851690246"):
+        assert found(plain) == [], plain
+
+
 # Pages
 
 
