@@ -402,6 +402,25 @@ def test_licenses(spark):
     assert named.count() == len(rows) and named.columns[-1] == "license"
 
 
+def test_license_files_of_full_texts_and_wrapped_notices(spark):
+    full = {f.name: f.read_text() for f in licenses.FULL_TEXTS.iterdir()}
+    rows = [(f"/{name}/about.txt", "Copyright (c) 2020 Somebody\n" + text) for name, text in full.items()] + [(f"/{name}/src/a.txt", "some code") for name in full]
+    rows += [("/AGPL-3.0/about.txt", full["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1)), ("/AGPL-3.0/a", "x")]
+    rows += [
+        ("/w/LICENSE.txt", "Words of another kind " * 20 + "\n# Licensed under the Apache\n# License, Version 2.0.\n"),
+        ("/w/b.txt", None),
+        ("/p/notes.txt", "you need a license and the permission of the owner to drive in this part of the town " * 20),
+        ("/p/c.txt", "y"),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.own_license, r.license, r.from_dir) for r in licenses.scan(files, F.col("path"), F.col("path")).collect()}
+    for name in full:
+        assert got[f"/{name}/about.txt"] == (name, name, None) and got[f"/{name}/src/a.txt"] == (None, name, f"/{name}")
+    assert got["/AGPL-3.0/a"] == (None, "AGPL-3.0", "/AGPL-3.0")
+    assert got["/w/LICENSE.txt"][0] == "Apache-2.0" and got["/w/b.txt"] == (None, "Apache-2.0", "/w")
+    assert got["/p/notes.txt"][1] is None and got["/p/c.txt"][1] is None
+
+
 def test_licenses_of_documents(spark):
     said = {r.doc_id for r in documents(spark).collect() if re.search(r"(?m)^(Licensed|Released|This work is licensed) under ", r.text or "")}
     assert {r.doc_id for r in QUERIES["op7_license_scans"](spark, SMALL).collect() if r.own_license} == said
