@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, html, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql
+from faultlens.llm import alignment, exact_dedup, html, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,4 +99,12 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("payload").alias("doc_id"), "path", "own_license", "cosine", "license", "from_dir")
 
 
+@query("op13_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = alignment.align(table(spark, sf_dir, "documents"), F.col("doc_id"), ranks, public_tokenizers.PATTERN, model, digest=True)
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return rows.select(F.col("payload").alias("doc_id"), *numbers, F.col("groups").alias("groups_sha256"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
