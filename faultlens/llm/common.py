@@ -36,18 +36,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder, deleted when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read back.
 
-    The copy survives lost executors, has no lineage and a known size. It is
-    deleted when the driver's JVM ends.
+    The copy survives lost executors, has no lineage and a known size.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid4().hex}"
+    path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """`rows` joined with the one row of `groups` per key, no task getting more than its share of a key.
+
+    `size` is how many of `rows` a group has. Groups with over a thousandth of all grouped
+    rows are fewer than a thousand: they are broadcast. The rest is shuffled.
+    """
+    limit = (groups.agg(F.sum(size)).first()[0] or 0) / 1000
+    hot, rest = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    names = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    is_hot = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
+    cold = rows.join(F.broadcast(names), is_hot, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
 
 
 def fresh(df: DataFrame, name: str) -> str:
