@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import alignment, exact_dedup, html, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql, warc
+from faultlens.llm import alignment, collocations, exact_dedup, html, licenses, line_dedup, mixing, near_dedup, packing, pii, quality, secrets, sql, warc
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,11 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("payload").alias("doc_id"), "path", "own_license", "cosine", "license", "from_dir")
 
 
+@query("op11_phrase_collocations", sql.COLLOCATIONS)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @query("op12_warc", sql.WARC)
 def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive(table(spark, sf_dir, "pages"))

@@ -64,3 +64,34 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   CASE WHEN place > 1 THEN first_id END AS refers_to
 FROM p
 """
+
+COLLOCATIONS = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, (len(w) - k + 2)::BIGINT), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 5) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 30 AND k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+    JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, a AS longer, unnest(list_transform(range(1, (k - s + 2)::BIGINT), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+  FROM c, range(2, 4) t(s) WHERE s < k),
+held AS (SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN held USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
