@@ -54,13 +54,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, parts: int = 1000) -> DataFrame:
     """`rows` joined with the one row of `groups` per key, no task getting more than its share of a key.
 
-    `size` is how many of `rows` a group has. Groups with over a thousandth of all grouped
-    rows are fewer than a thousand: they are broadcast. The rest is shuffled.
+    `size` is how many of `rows` a group has. Groups with over one in `parts` of all
+    grouped rows are fewer than `parts`: they are broadcast. The rest is shuffled.
     """
-    limit = (groups.agg(F.sum(size)).first()[0] or 0) / 1000
+    limit = (groups.agg(F.sum(size)).first()[0] or 0) / parts
     hot, rest = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
     names = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     is_hot = [F.col(k) == F.col(f"_hot_{k}") for k in keys]

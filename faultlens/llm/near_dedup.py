@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import keyed, map_texts, stored
+from faultlens.llm.common import join_groups, keyed, map_texts, stored
 
 WIDTH = 5
 PERCENT = 80
@@ -23,7 +23,7 @@ SKETCH_BITS = 2048
 # A pair of similarity 0.8 differs in 51 of the 256 samples on average, with deviation 6.4. Each
 # flips two bits: 84 samples, five deviations off, make 155 different bits, chance meetings aside.
 MOST_DIFFERENT_BITS = 160
-# Rounds in which each document meets one hub, before all open pairs are looked at.
+# Rounds at least in which each document meets one hub, before the pairs left are looked for.
 HUB_ROUNDS = 2
 KNOWN_WORDS = 100_000
 
@@ -204,11 +204,11 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataF
     the least share of shingles of its own, then the most others have too, that is the
     one closest to the rest. A
     second round does so with a hub outside the largest component. Documents of one
-    group so become one component in linear work. What is left are buckets with
-    several components. Members whose own shingles rule out a link with anyone there
-    have left; every pair of the others that lies in different components and that
-    the sketches allow is confirmed, so no link between components is lost, whatever
-    the size of a bucket.
+    group so become one component in linear work, and rounds go on while they still
+    merge many. What is left are buckets with several components. Members whose own
+    shingles rule out a link with anyone there have left; the others are paired by
+    what they differ in from the hub (`_by_deltas`), which loses no link between
+    components and does not look at all pairs of a bucket.
     """
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
@@ -221,18 +221,28 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataF
     )
     known = stored(known)
 
-    labels, tested, edges = None, None, None
-    for round_ in range(HUB_ROUNDS + 1):
+    labels, tested, edges, round_ = None, None, None, 0
+    while True:
         open_ = stored(_open(shared, labels, known, percent))
         if open_.isEmpty():
             break
-        pairs = _to_hubs(open_, known, percent, round_) if round_ < HUB_ROUNDS else _all_open(open_, known, percent)
+        pairs = _to_hubs(open_, known, percent, round_)
         fresh = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = stored(similar(fresh, texts, width, percent))
         tested = fresh if tested is None else tested.unionByName(fresh)
         edges = found if edges is None else edges.unionByName(found)
-        if labels is None or not found.isEmpty():
+        merged = found.count()
+        if labels is None or merged:
             labels = components(edges)
+        round_ += 1
+        # Rounds that still merge many members are cheaper than what follows.
+        if round_ >= HUB_ROUNDS and merged * 50 < open_.select("cid").distinct().count():
+            open_ = stored(_open(shared, labels, known, percent))
+            if not open_.isEmpty():
+                to_hubs, pairs = _by_deltas(open_, texts, width, percent)
+                fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+                labels = components(edges.unionByName(to_hubs).unionByName(similar(fresh, texts, width, percent)))
+            break
     return labels if labels is not None else shared.select("cid", F.col("cid").alias("comp")).limit(0)
 
 
@@ -263,28 +273,83 @@ def _main(open_: DataFrame) -> DataFrame:
 def _to_hubs(open_: DataFrame, known: DataFrame, percent: int, round_: int) -> DataFrame:
     """Each member with the best hub of another component that sizes and sketches allow."""
     outside = open_ if round_ == 0 else open_.join(_main(open_), "bucket").where("comp <> main")
-    hub = F.min(F.struct("own_share", (-F.col("common")).alias("less"), "cid", "comp"))
-    hubs = outside.groupBy("bucket").agg(hub.alias("x")).select("bucket", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.own_share").alias("hub_share"))
+    hubs = outside.groupBy("bucket").agg(_hub().alias("x")).select("bucket", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.own_share").alias("hub_share"))
     met = open_.join(hubs, "bucket").where("comp <> hub_comp").select("cid", "hub", "hub_share").distinct()
     pairs = met.select("cid", "hub_share", *ordered(F.col("cid"), F.col("hub")))
     fit = close(pairs.select("a", "b").distinct(), known, percent)
     return pairs.join(fit, ["a", "b"]).groupBy("cid").agg(F.min(F.struct("hub_share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _all_open(open_: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of one bucket but different components that sizes and sketches allow.
+def _hub() -> Column:
+    """The member of a bucket that is closest to the rest."""
+    return F.min(F.struct("own_share", (-F.col("common")).alias("less"), "cid", "comp"))
+
 
-    The bucket's largest component stands on one side only. A pair that meets in several
-    buckets comes from the first of them.
+def deltas(met: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(hub, cid, n_hub, n, delta) for rows (hub, cid): the shingles that one of both has and the other has not."""
+    sizes = stored(met.groupBy("hub").agg(F.count(F.lit(1)).alias("k")))
+    hubs = sizes.join(texts.select(F.col("cid").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    both = join_groups(met.join(texts, "cid"), hubs, ["hub"], "k", 100).select("hub", "cid", "hub_text", "text")
+
+    def differ(batches):
+        last, own = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, out = batch.slice(at, 512), []
+                for hub, cid, hub_text, text in zip(*(part.column(i).to_pylist() for i in range(4))):
+                    if hub != last:
+                        last, own = hub, shingles(hub_text, width)
+                    other = shingles(text, width)
+                    delta = np.setxor1d(own, other, assume_unique=True).view("<i8")
+                    out.append((hub, cid, len(own), len(other), delta))
+                names = ["hub", "cid", "n_hub", "n", "delta"]
+                yield pa.RecordBatch.from_pydict({c: pa.array(list(v), t) for c, v, t in zip(names, zip(*out), [pa.int64()] * 4 + [pa.list_(pa.int64())])})
+
+    return both.mapInArrow(differ, "hub long, cid long, n_hub long, n long, delta array<long>")
+
+
+def _by_deltas(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members to the hubs of their buckets, and all other pairs (a, b) that may be links between components.
+
+    Members of a bucket are told from one another by what they differ in from its hub:
+    x and y differ in exactly those shingles that are in one of their deltas only. With p percent and
+    q = (100 - p) / (100 + p), they are linked if they differ in at most q (|x| + |y|).
+    A member that is not linked to the hub has a delta over q (|x| + |hub|), so by the
+    triangle inequality it shares at least one shingle of its delta with any member it is linked to, and
+
+        2 |dx & dy| >= |dx| + |dy| - q (|x| + |y|).
+
+    Deltas are sorted by how many deltas of the hub hold a shingle, rarest first. Two that share
+    c shingles share one of the first |d| - c + 1 of each, and the first one they share leaves
+    at least c from there on in both. So members that vary their hub each in their own way never
+    meet, however many they are, and no link is lost.
     """
-    buckets = open_.groupBy("cid").agg(F.collect_list("bucket").alias("buckets"))
-    rows = open_.join(known.select("cid", "sketch"), "cid").join(buckets, "cid").join(_main(open_), "bucket")
-    left = rows.where("comp <> main").select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("n_a"), F.col("common").alias("c_a"), F.col("sketch").alias("s_a"), F.col("buckets").alias("b_a"))
-    right = rows.select("bucket", F.col("cid").alias("y"), F.col("comp").alias("cy"), "main", F.col("n_shingles").alias("n_b"), F.col("common").alias("c_b"), F.col("sketch").alias("s_b"), F.col("buckets").alias("b_b"))
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    first = F.array_min(F.array_intersect("b_a", "b_b")) == F.col("bucket")
-    found = left.join(right, "bucket").where(apart & _may_match(percent) & first)
-    return found.select(*ordered(F.col("x"), F.col("y"))).distinct()
+    hubs = open_.groupBy("bucket").agg(_hub().alias("h")).select("bucket", F.col("h.cid").alias("hub"))
+    met = stored(open_.join(hubs, "bucket").where("cid <> hub").select("hub", "cid", "comp").distinct())
+    found = stored(deltas(met.select("hub", "cid"), texts, width))
+    more, less = 100 + percent, 100 - percent
+    d = F.size("delta").cast("long")
+    rows = found.withColumns({"d": d, "linked": more * d <= less * (F.col("n") + F.col("n_hub"))})
+    to_hubs = rows.where("linked").select(*ordered(F.col("hub"), F.col("cid")))
+
+    each = rows.select("hub", "cid", F.explode("delta").alias("e"))
+    frequency = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"))
+    sorted_ = each.join(frequency.where("f > 1"), ["hub", "e"]).groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("shared"))
+    # At least so many shingles of a delta are shared: by a link with one side not linked to the hub; by a link of such a member with one that is.
+    half = F.greatest(F.lit(1), F.floor((more * F.col("d") - less * (F.col("n") - F.col("n_hub"))) / F.lit(2 * more)).cast("long") + 1)
+    far = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * less / F.lit(percent)).cast("long"))
+    placed = rows.drop("delta").join(sorted_, ["hub", "cid"]).join(met, ["hub", "cid"])
+    # Shingles of one delta only come first and take part in no pair.
+    placed = placed.withColumns({"alone": F.col("d") - F.size("shared"), "short": F.col("d") - half, "long": F.col("d") - far})
+    placed = placed.select("hub", "cid", "comp", "n", "d", "linked", "alone", "short", "long", F.posexplode("shared").alias("i", "s"))
+    placed = stored(placed.withColumn("at", F.col("alone") + F.col("i")).where(F.col("at") <= F.greatest("short", F.when(~F.col("linked"), F.col("long")).otherwise(F.lit(0)))).select("hub", F.col("s.e").alias("e"), "cid", "comp", "n", "d", "linked", "at", "short", "long"))
+    side = lambda x: placed.select("hub", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "comp", "n", "d", "linked", "at", "short", "long")])
+    x, y = side("x").where("NOT linked_x"), side("y").where("at_y <= short_y")
+    apart = (F.col("comp_x") != F.col("comp_y")) & (F.when(F.col("linked_y"), F.col("at_x") <= F.col("long_x")).otherwise((F.col("at_x") <= F.col("short_x")) & (F.col("cid_x") < F.col("cid_y"))))
+    left = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
+    enough = 2 * more * left >= more * (F.col("d_x") + F.col("d_y")) - less * (F.col("n_x") + F.col("n_y"))
+    pairs = x.join(y, ["hub", "e"]).where(apart & enough).select(*ordered(F.col("cid_x"), F.col("cid_y"))).distinct()
+    return to_hubs, pairs
 
 
 def near_dedup(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, key: str | None = None) -> DataFrame:

@@ -118,6 +118,43 @@ def test_near_dedup(spark, width):
     assert sum(r.kept for r in got) == groups
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_large_groups_that_no_hub_joins(spark, rounds, monkeypatch):
+    """Families around several centres, members at the edge of the threshold, and chains between them."""
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", rounds)
+    rng = random.Random(9)
+    texts = variants(250, 100, 9, 11)
+    for f in range(4):
+        centre = [f"b11w{i}" for i in range(100)]
+        for i in rng.sample(range(100), 6):
+            centre[i] = f"f{f}"
+        for k in range(60):
+            w = list(centre)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(100)] = rng.choice([f"k{k}", "new", f"f{f}x{rng.randrange(3)}"])
+            texts.append(" ".join(w))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = near_dedup.near_dedup(frame(spark, rows, parts=6), width=4).collect()
+    want, groups = near_by_hand([r[:2] for r in rows], 4)
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    assert 1 < groups < len(rows) and sum(r.kept for r in got) == groups
+
+
+def test_deltas_find_all_links(spark, monkeypatch):
+    """Every linked pair of a bucket in different components is a link to the hub or found by its deltas."""
+    texts = variants(120, 60, 9, 5) + variants(60, 60, 3, 5)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cid long, text string")
+    open_ = rows.select(F.lit(1).alias("bucket"), "cid", F.col("cid").alias("comp"), F.lit(10).alias("common"), F.when(F.col("cid") == 3, 0.0).otherwise(1.0).alias("own_share"))
+    to_hubs, pairs = near_dedup._by_deltas(open_, rows, 4, 80)
+    found = {tuple(r) for r in to_hubs.unionByName(pairs).collect()}
+    sets = [set(near_dedup.shingles(t, 4).tolist()) for t in texts]
+    similar = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    by_hub = {i for i in range(len(texts)) if i == 3 or (min(i, 3), max(i, 3)) in similar}
+    assert {(a, b) for a, b in similar if 3 in (a, b)} == {tuple(r) for r in to_hubs.collect()}
+    assert {(a, b) for a, b in similar if not (a in by_hub and b in by_hub)} <= found
+    assert len(found) < len(similar) + 2 * len(texts)
+
+
 def test_near_dedup_stage(spark, tmp_path):
     docs = parquet(with_clashes(frame(spark, odd_rows())), tmp_path / "d")
     kept = near_dedup.keep_one(docs)
