@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import count_words, fresh, keyed, stored
+from faultlens.llm.common import count_words, fresh, join_groups, keyed, stored
+from faultlens.plans.series import lay_out
 
 MOST_COPIES = 3
 BLOCK = 512
@@ -43,19 +44,19 @@ def _meet(state: Column, x: Column, seed: int) -> Column:
     a = state["open"]
     room_a, room_b = a["size"] - a["mass"], x["size"] - x["mass"]
     up, down = F.least(room_a, x["mass"]), F.least(a["mass"], room_b)
-    draw = F.pmod(F.xxhash64(a["n"], x["n"], F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    draw = F.pmod(F.xxhash64(a["lot"], x["lot"], F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
     rises = draw * (up + down).cast("double") < down.cast("double")
     moved = F.when(rises, up).otherwise(-down)
 
     def with_mass(d: Column, mass: Column) -> Column:
-        return F.struct(d["n"].alias("n"), d["size"].alias("size"), mass.alias("mass"))
+        return F.struct(d["n"].alias("n"), d["size"].alias("size"), mass.alias("mass"), d["lot"].alias("lot"))
 
     def over(d: Column) -> Column:
         return (d["mass"] == 0) | (d["mass"] == d["size"])
 
     def settle(pair: Column) -> Column:
         one, two = pair["a"], pair["b"]
-        none = F.lit(None).cast("struct<n:bigint,size:bigint,mass:bigint>")
+        none = F.lit(None).cast("struct<n:bigint,size:bigint,mass:bigint,lot:bigint>")
         is_open = F.when(~over(one), one).when(~over(two), two).otherwise(none)
         ended = F.filter(F.array(one, two), over)
         return F.struct(is_open.alias("open"), F.concat(state["done"], F.transform(ended, _outcome)).alias("done"))
@@ -71,7 +72,9 @@ def _outcome(d: Column) -> Column:
 
 
 def round_copies(fractions: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """(n, up) for rows (source, n, size, mass) with 0 < mass < size; `up` gives one more copy.
+    """(n, up) for rows (source, n, lot, size, mass) with 0 < mass < size; `up` gives one more copy.
+
+    Blocks, order and draws follow the lots alone; n only names the row.
 
     Blocks of about `block` documents of a source are settled in parallel, larger
     documents first, so that what stays open tends to be small, and pass on at most
@@ -82,17 +85,17 @@ def round_copies(fractions: DataFrame, seed: int = 0, block: int = BLOCK) -> Dat
     sizes = fractions.groupBy("source").agg(F.count(F.lit(1)).alias("k"))
     blocks = sizes.select(F.col("source").alias("b_source"), F.ceil(F.col("k") / block).cast("long").alias("blocks"))
     most = blocks.agg(F.max("blocks")).first()[0]
-    doc = F.struct("n", "size", "mass")
+    doc = F.struct("n", "size", "mass", "lot")
     empty = F.struct(
-        F.lit(None).cast("struct<n:bigint,size:bigint,mass:bigint>").alias("open"),
+        F.lit(None).cast("struct<n:bigint,size:bigint,mass:bigint,lot:bigint>").alias("open"),
         F.array().cast("array<struct<n:bigint,up:boolean>>").alias("done"),
     )
     level = fractions.join(blocks, F.col("source").eqNullSafe(F.col("b_source"))).select(
-        "source", F.pmod(F.xxhash64("n"), F.col("blocks")).alias("b"), doc.alias("d")
+        "source", F.pmod(F.xxhash64("lot"), F.col("blocks")).alias("b"), doc.alias("d")
     )
     outcomes, depth, left = [], 0, most or 1
     while True:
-        order = F.array_sort(F.collect_list(F.struct((-F.col("d.size")).alias("s"), F.xxhash64("d.n").alias("h"), "d")))
+        order = F.array_sort(F.collect_list(F.struct((-F.col("d.size")).alias("s"), F.col("d.lot").alias("h"), "d")))
         docs = F.transform(order, lambda x: x["d"])
         state = F.aggregate(docs, empty, lambda s, x: _meet(s, x, seed + depth))
         settled = stored(level.groupBy("source", "b").agg(state.alias("s")))
@@ -110,6 +113,27 @@ def round_copies(fractions: DataFrame, seed: int = 0, block: int = BLOCK) -> Dat
     return out
 
 
+def content(docs: DataFrame) -> list[Column]:
+    """The columns of `docs` that Spark can hash: all but maps and variants."""
+    return [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
+def with_lots(rows: DataFrame) -> DataFrame:
+    """`rows` (n, h1, h2) with `lot`, a hash of the row's content and, among repeated rows, of its place.
+
+    Repeated rows are like one another, so it does not matter which of them comes first.
+    Their places are counted in cells (`lay_out`), so one row may be repeated any number of times.
+    """
+    groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    groups = stored(groups)
+    if groups.isEmpty():
+        return rows.withColumn("lot", F.xxhash64("h1", "h2", F.lit(1).cast("long")))
+    again = join_groups(rows.select("h1", "h2", "n"), groups, ["h1", "h2"], "k")
+    places = lay_out(again, ("h1", "h2"), ("n",)).index("place").rows.select("n", "place")
+    placed = rows.join(places, "n", "left").withColumn("place", F.coalesce("place", F.lit(1)).cast("long"))
+    return placed.withColumn("lot", F.xxhash64("h1", "h2", "place")).drop("place")
+
+
 def mix(
     docs: DataFrame,
     payload: Column,
@@ -119,16 +143,20 @@ def mix(
     most: int = MOST_COPIES,
     seed: int = 0,
     block: int = BLOCK,
+    identity: list[Column] | None = None,
 ) -> DataFrame:
     """One row per document: payload, size, source_size, target and copies (0 to `most`).
 
     A document's expected copies are target / source size; the whole part is given,
     the rest rounded so that a source's total words miss its target by less than one
     document. Documents without words get the whole part. Same rows, same seed, same
-    result. NULL is a source of its own; an empty table gives an empty result.
+    result, however the rows are split into files and tasks: draws follow a hash of the row's
+    content, the columns `identity` (all that can be hashed). NULL is a source of its own; an empty table gives an empty result.
     """
-    narrow = docs.select(payload.alias("payload"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"))
-    rows = stored(narrow.withColumn("n", F.monotonically_increasing_id()))
+    identity = content(docs) if identity is None else identity
+    own = [F.xxhash64(F.lit(x), *identity).alias(h) for x, h in enumerate(("h1", "h2"))]
+    narrow = docs.select(payload.alias("payload"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), *own)
+    rows = stored(with_lots(stored(narrow.withColumn("n", F.monotonically_increasing_id()))).drop("h1", "h2"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = stored(weigh_sources(sources, weights, most).drop("n"))
     t = targets.withColumnRenamed("source", "t_source")
@@ -138,7 +166,7 @@ def mix(
     joined = joined.withColumn("whole", F.floor("rate").cast("long"))
     units = F.col("size") * UNIT
     mass = F.round((F.col("rate") - F.col("whole")) * units).cast("long")
-    parts = joined.select("source", "n", units.alias("size"), mass.alias("mass")).where("mass > 0 AND mass < size")
+    parts = joined.select("source", "n", "lot", units.alias("size"), mass.alias("mass")).where("mass > 0 AND mass < size")
     ups = round_copies(parts, seed, block)
     all_up = (F.col("size") > 0) & (mass >= units)
     up = F.when(F.coalesce(F.col("up"), F.lit(False)) | all_up, 1).otherwise(0)
@@ -147,8 +175,9 @@ def mix(
 
 def take_mix(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed documents: each row as often as it was taken, with the columns it came with."""
+    identity = content(docs)
     docs, key = keyed(docs)
     copies = fresh(docs, "_copies")
-    taken = mix(docs, F.col(key), text, source, **options).where("copies > 0")
+    taken = mix(docs, F.col(key), text, source, identity=identity, **options).where("copies > 0")
     taken = taken.select(F.col("payload").alias(key), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(copies))
     return docs.join(taken, key).withColumn(copies, F.explode(copies)).drop(key, copies)

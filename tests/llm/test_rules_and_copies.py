@@ -1,6 +1,7 @@
 """Quality rules, exact dedup and mixing against plain Python, on awkward and on given rows."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -143,3 +144,14 @@ def test_mix_stage(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty, F.col("doc_id")).count() == 0 and mixing.take_mix(empty).count() == 0
     assert mixing.mix(frame(spark, [(1, None, "", "a", 0), (2, " ", "", "a", 0)]), F.col("doc_id")).agg(F.sum("copies")).first()[0] == 0
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_mix_does_not_follow_files_and_tasks(spark, tmp_path, block):
+    """One table in one file, in many, and shuffled: each row gets as many copies."""
+    rows = odd_rows() * 3 + [(100 + i, f"some words {'of a text ' * (i % 9)}", "en", "abc"[i % 3], i) for i in range(300)] + [(7, "again and again", "en", "a", 1)] * 40
+    frames = [frame(spark, rows, parts=1), parquet(frame(spark, rows[::-1], parts=9), tmp_path / "many"), frame(spark, random.Random(3).sample(rows, len(rows)), parts=4)]
+    mixes = [sorted(map(tuple, mixing.mix(f, F.col("doc_id"), block=block).collect()), key=repr) for f in frames]
+    assert mixes[0] == mixes[1] == mixes[2]
+    taken = [sorted(map(tuple, mixing.take_mix(f, block=block).collect()), key=repr) for f in frames]
+    assert taken[0] == taken[1] == taken[2]
