@@ -28,6 +28,8 @@ MOST_PHRASES = 4_000_000
 BLOCK = 1 << 20
 HELD_POSITIONS = 4 << 20
 HELD_WORDS = 500_000
+# States whose counts are summed together.
+RANGE = 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Where pieces end. No UTF-8 text holds the byte that stands for them.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -253,7 +255,11 @@ def candidates(blocks: DataFrame, shared, length: int, least: int, buckets: int)
 
 
 def count_states(blocks: DataFrame, shared, longest: int) -> DataFrame:
-    """(state, f): how many positions reach each state with 2 to `longest` words; every task counts into one array."""
+    """(state, f): how many positions reach each state with 2 to `longest` words.
+
+    Every task counts into one array and hands on what it has met, in ranges of
+    states; the arrays of a range are summed together.
+    """
 
     def run(batches):
         trie = Trie.of(*shared.value)
@@ -265,11 +271,21 @@ def count_states(blocks: DataFrame, shared, longest: int) -> DataFrame:
                 total += np.bincount(at, minlength=len(total))
         total[0] = 0
         some = np.flatnonzero(total)
-        for i in range(0, len(some), 100_000):
-            part = some[i : i + 100_000]
-            yield pa.RecordBatch.from_pydict({"state": pa.array(part, pa.int32()), "f": pa.array(total[part], pa.int64())})
+        ends = np.searchsorted(some, np.arange(0, len(total) + RANGE, RANGE))
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            own = some[ends[i] : ends[i + 1]]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "states": [own.astype("<i4").tobytes()], "counts": [total[own].tobytes()]})
+
+    def add_up(group: pd.DataFrame) -> pd.DataFrame:
+        first = int(group["part"].iloc[0]) * RANGE
+        total = np.zeros(RANGE, "i8")
+        for states, counts in zip(group["states"], group["counts"]):
+            total[np.frombuffer(states, "<i4") - first] += np.frombuffer(counts, "<i8")
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"state": (some + first).astype("i4"), "f": total[some]})
 
-    return blocks.mapInArrow(run, "state int, f long").groupBy("state").agg(F.sum("f").alias("f"))
+    shards = blocks.mapInArrow(run, "part int, states binary, counts binary")
+    return shards.groupBy("part").applyInPandas(add_up, "state int, f long")
 
 
 def count_by_tries(rows: DataFrame, frequent: DataFrame, words: int, least: int, longest: int) -> DataFrame | None:
