@@ -16,6 +16,7 @@ from faultlens.session import cut
 # Names of the oversampling strategies and the setting that picks one.
 STRATEGIES = ("auto", "minority", "not minority", "not majority", "all")
 STRATEGY_SETTING = "SMOTE_SAMPLING_STRATEGY"
+COPIES_PER_TASK = 10_000
 
 
 def sampling_strategy(raw: str | None = None) -> str | float:
@@ -206,7 +207,11 @@ def synthetic_rows(
     copies = (
         ranked.withColumn("_share", share.cast("int"))
         .where(F.col("_share") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_share") - 1)))
+        # A seed of many copies is dealt to several tasks before they are made.
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_share") - 1) / COPIES_PER_TASK))))
+        .repartition("id", "_block")
+        .withColumn("copy", F.explode(_copies_of_block(F.col("_block"), F.col("_share"))))
+        .drop("_block")
     )
     near = F.element_at("_near", F.pmod(F.col("copy"), F.size("_near")) + 1)["neighbour"]
     plan = copies.select(
@@ -231,6 +236,11 @@ def synthetic_rows(
     )
 
 
+def _copies_of_block(block: Column, share: Column) -> Column:
+    first = (block * COPIES_PER_TASK).cast("int")
+    return F.sequence(first, F.least(first + COPIES_PER_TASK, share) - 1)
+
+
 def borderline_seeds(
     df: DataFrame,
     vector: str,
