@@ -61,6 +61,32 @@ def daily_alerts(stream: DataFrame, severity: str = "severity", ts: str = "ts",
     )
 
 
+def daily_alerts_so_far(stream: DataFrame, severity: str = "severity", ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
+    """Critical and alert counts per day, for update mode: a batch emits the days it has changed, open ones too.
+
+    The watermark bounds the days whose counts are kept in the state; `UpsertByBatch` keeps what was emitted.
+    """
+    return daily_alerts(stream, severity, ts, lateness)
+
+
+class UpsertByBatch:
+    """Keeps update-mode rows by (key, batch); the newest batch holds the value of a key."""
+
+    def __init__(self, path: str, keys: list[str]):
+        self.path, self.keys = path, keys
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """The newest row of each key."""
+        whole = T.StructType(list(schema.fields)).add("batch", "long")
+        every = spark.read.schema(whole).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        values = [f.name for f in schema.fields if f.name not in self.keys]
+        newest = every.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+        return newest.select(*self.keys, "_v.*")
+
+
 def latest_states(stream: DataFrame, columns: list[str], key: str = "asset_id", ts: str = "ts") -> DataFrame:
     """Newest state per asset, for update mode; state is one struct per asset."""
     newest = F.max_by(F.struct(ts, *columns), F.col(ts))

@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,8 +12,9 @@ from conftest import SMALL
 from faultlens.operators.features import add_features, feature_names
 from faultlens.queries.registry import sensors
 from faultlens.schema import SENSORS
+from faultlens.sources.sinks import write_batch
 from faultlens.streaming.live import LivePath, active_model_scorer
-from faultlens.streaming.readings import file_stream, run_once
+from faultlens.streaming.readings import UpsertByBatch, daily_alerts_so_far, file_stream, run_once
 from faultlens.streaming.stateful import with_buffer
 
 COLUMNS = ["asset_id", "ts", "event_id", *SENSORS]
@@ -90,6 +92,62 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert got == [(i, i >= 15) for i in range(40)]
 
 
+def test_a_failed_history_write_is_retried_alone(spark, tmp_path):
+    """The history write fails once: alerts and quarantine go out all the same, and once only; the replay ends the batch."""
+    source, calls = str(tmp_path / "in"), {"predictions": 0, "alerts": 0}
+    rows = batch_of(spark, [(1, i, 60 + i) for i in range(20)])
+    rows.withColumn("COMP", F.when(F.col("event_id") == 5, 9.0).otherwise(F.col("COMP"))).coalesce(1).write.parquet(source)
+
+    def history(df, batch_id):
+        calls["predictions"] += 1
+        if calls["predictions"] == 1:
+            raise OSError("the history is not reachable")
+        write_batch(df, line.path("predictions"), batch_id, "ts")
+
+    def alerts(df, batch_id):
+        calls["alerts"] += 1
+        write_batch(df, line.path("alerts"), batch_id)
+
+    line = LivePath(str(tmp_path / "live"), score, sinks={"predictions": history, "alerts": alerts})
+    stream = file_stream(spark, source, rows.schema)
+    with pytest.raises(StreamingQueryException):
+        run_once(stream, str(tmp_path / "cp"), each=line)
+    assert line.results(spark, "alerts").count() == 9 and line.results(spark, "quarantine").count() == 1
+    run_once(stream, str(tmp_path / "cp"), each=line)
+    assert calls == {"predictions": 2, "alerts": 1}
+    assert sorted(r["event_id"] for r in line.results(spark).collect()) == [i for i in range(20) if i != 5]
+    assert line.results(spark, "alerts").count() == 9
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    """Cost follows the arrivals: buffers of assets without a reading stay where they are, and old ones go."""
+    line = LivePath(str(tmp_path), buckets=16)
+    line(batch_of(spark, [(a, a, 1) for a in range(40)]), 0)
+    for b in range(1, 5):
+        line(batch_of(spark, [(7, 100 + b, b)]), b)
+    state = tmp_path / "state"
+    folders = {b: sorted(x.name for x in (state / f"batch={b}").glob("bucket=*")) for b in range(5)}
+    assert len(folders[0]) > 8 and all(len(folders[b]) <= 1 for b in range(1, 5))
+    assert not folders[1] and not folders[2] and folders[3] == folders[4] and folders[4][0] not in folders[0]
+    kept = spark.read.parquet(*[str(p) for p in state.glob("batch=*/bucket=*")])
+    assert kept.select("asset_id").distinct().count() == 40
+    line(batch_of(spark, [(7, 200, 5), (8, 201, 5)]), 5)
+    got = line.results(spark)
+    assert got.count() == 46
+
+
+def test_open_days_are_counted_as_they_stand(spark, tmp_path):
+    source = str(tmp_path / "in")
+    days = UpsertByBatch(str(tmp_path / "out"), ["day"])
+    seen = []
+    for part in (["2024-01-01 10:00", "2024-01-01 11:00"], ["2024-01-01 12:00", "2024-01-02 00:01"], ["2024-01-02 09:00"]):
+        spark.createDataFrame([(t, "ALERTA") for t in part], "t string, severity string").select(F.col("t").cast("timestamp").alias("ts"), "severity").coalesce(1).write.mode("append").parquet(source)
+        counts = daily_alerts_so_far(file_stream(spark, source, T.StructType.fromDDL("ts timestamp, severity string")))
+        run_once(counts, str(tmp_path / "cp"), each=days, mode="update")
+        seen.append(sorted((r["day"].day, r["critical"], r["alert"]) for r in days.rows(spark, counts.schema).collect()))
+    assert seen == [[(1, 0, 2)], [(1, 0, 3), (2, 0, 1)], [(1, 0, 3), (2, 0, 2)]]
+
+
 def test_the_active_model_can_change_between_batches(spark, tmp_path):
     table = str(tmp_path / "active")
     models = {"low": lambda df: df.withColumn("probability", F.lit(0.1)), "high": lambda df: df.withColumn("probability", F.lit(0.9))}
