@@ -273,18 +273,14 @@ def _main(open_: DataFrame) -> DataFrame:
 def _to_hubs(open_: DataFrame, known: DataFrame, percent: int, round_: int) -> DataFrame:
     """Each member with the best hub of another component that sizes and sketches allow."""
     outside = open_ if round_ == 0 else open_.join(_main(open_), "bucket").where("comp <> main")
-    hubs = outside.groupBy("bucket").agg(_hub().alias("x")).select("bucket", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.own_share").alias("hub_share"))
+    hub = F.min(F.struct("own_share", (-F.col("common")).alias("less"), "cid", "comp"))
+    hubs = outside.groupBy("bucket").agg(hub.alias("x")).select("bucket", F.col("x.cid").alias("hub"), F.col("x.comp").alias("hub_comp"), F.col("x.own_share").alias("hub_share"))
     met = open_.join(hubs, "bucket").where("comp <> hub_comp").select("cid", "hub", "hub_share").distinct()
     pairs = met.select("cid", "hub_share", *ordered(F.col("cid"), F.col("hub")))
     fit = close(pairs.select("a", "b").distinct(), known, percent)
     return pairs.join(fit, ["a", "b"]).groupBy("cid").agg(F.min(F.struct("hub_share", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _hub() -> Column:
-    """The member of a bucket that is closest to the rest."""
-    return F.min(F.struct("own_share", (-F.col("common")).alias("less"), "cid", "comp"))
-
-
 def deltas(met: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(hub, cid, n_hub, n, delta) for rows (hub, cid): the shingles that one of both has and the other has not."""
     sizes = stored(met.groupBy("hub").agg(F.count(F.lit(1)).alias("k")))
@@ -302,20 +298,22 @@ def deltas(met: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     other = shingles(text, width)
                     delta = np.setxor1d(own, other, assume_unique=True).view("<i8")
                     out.append((hub, cid, len(own), len(other), delta))
-                names = ["hub", "cid", "n_hub", "n", "delta"]
-                yield pa.RecordBatch.from_pydict({c: pa.array(list(v), t) for c, v, t in zip(names, zip(*out), [pa.int64()] * 4 + [pa.list_(pa.int64())])})
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out), kinds)], names=names)
 
+    names = ["hub", "cid", "n_hub", "n", "delta"]
     return both.mapInArrow(differ, "hub long, cid long, n_hub long, n long, delta array<long>")
 
 
 def _by_deltas(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of members to the hubs of their buckets, and all other pairs (a, b) that may be links between components.
 
-    Members of a bucket are told from one another by what they differ in from its hub:
-    x and y differ in exactly those shingles that are in one of their deltas only. With p percent and
-    q = (100 - p) / (100 + p), they are linked if they differ in at most q (|x| + |y|).
-    A member that is not linked to the hub has a delta over q (|x| + |hub|), so by the
-    triangle inequality it shares at least one shingle of its delta with any member it is linked to, and
+    The hub of a bucket is the member that meets most others. Members are told from one
+    another by what they differ in from it: x and y differ in exactly those shingles that are
+    in one of their deltas only. With p percent and q = (100 - p) / (100 + p), they are linked if they
+    differ in at most q (|x| + |y|). A member that is not linked to the hub has a delta over
+    q (|x| + |hub|), so by the triangle inequality it shares at least one shingle of its delta
+    with any member it is linked to, and
 
         2 |dx & dy| >= |dx| + |dy| - q (|x| + |y|).
 
@@ -324,25 +322,33 @@ def _by_deltas(open_: DataFrame, texts: DataFrame, width: int, percent: int) ->
     at least c from there on in both. So members that vary their hub each in their own way never
     meet, however many they are, and no link is lost.
     """
-    hubs = open_.groupBy("bucket").agg(_hub().alias("h")).select("bucket", F.col("h.cid").alias("hub"))
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    central = open_.join(sizes, "bucket").groupBy("cid").agg(F.sum("k").alias("met"))
+    hub = F.min(F.struct((-F.col("met")).alias("less"), "cid"))["cid"].alias("hub")
+    hubs = open_.select("bucket", "cid").join(central, "cid").groupBy("bucket").agg(hub)
     met = stored(open_.join(hubs, "bucket").where("cid <> hub").select("hub", "cid", "comp").distinct())
-    found = stored(deltas(met.select("hub", "cid"), texts, width))
     more, less = 100 + percent, 100 - percent
     d = F.size("delta").cast("long")
-    rows = found.withColumns({"d": d, "linked": more * d <= less * (F.col("n") + F.col("n_hub"))})
+    rows = deltas(met.select("hub", "cid"), texts, width).join(met, ["hub", "cid"])
+    rows = stored(rows.withColumns({"d": d, "linked": more * d <= less * (F.col("n") + F.col("n_hub"))}))
     to_hubs = rows.where("linked").select(*ordered(F.col("hub"), F.col("cid")))
+    # A hub whose other members are all linked to it, or of one component, leaves no pair.
+    left = rows.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("linked").alias("all")).where("lo < hi AND NOT all").select("hub")
+    rows = rows.join(left, "hub", "leftsemi")
 
-    each = rows.select("hub", "cid", F.explode("delta").alias("e"))
+    each = stored(rows.select("hub", "cid", F.explode("delta").alias("e")))
     frequency = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"))
     sorted_ = each.join(frequency.where("f > 1"), ["hub", "e"]).groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("shared"))
     # At least so many shingles of a delta are shared: by a link with one side not linked to the hub; by a link of such a member with one that is.
     half = F.greatest(F.lit(1), F.floor((more * F.col("d") - less * (F.col("n") - F.col("n_hub"))) / F.lit(2 * more)).cast("long") + 1)
     far = F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * less / F.lit(percent)).cast("long"))
-    placed = rows.drop("delta").join(sorted_, ["hub", "cid"]).join(met, ["hub", "cid"])
+    placed = rows.drop("delta").join(sorted_, ["hub", "cid"])
     # Shingles of one delta only come first and take part in no pair.
     placed = placed.withColumns({"alone": F.col("d") - F.size("shared"), "short": F.col("d") - half, "long": F.col("d") - far})
-    placed = placed.select("hub", "cid", "comp", "n", "d", "linked", "alone", "short", "long", F.posexplode("shared").alias("i", "s"))
-    placed = stored(placed.withColumn("at", F.col("alone") + F.col("i")).where(F.col("at") <= F.greatest("short", F.when(~F.col("linked"), F.col("long")).otherwise(F.lit(0)))).select("hub", F.col("s.e").alias("e"), "cid", "comp", "n", "d", "linked", "at", "short", "long"))
+    furthest = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))
+    first = F.slice("shared", 1, F.greatest(F.lit(0), furthest - F.col("alone") + 1).cast("int"))
+    placed = placed.select("hub", "cid", "comp", "n", "d", "linked", "alone", "short", "long", F.posexplode(first).alias("i", "s"))
+    placed = stored(placed.select("hub", F.col("s.e").alias("e"), "cid", "comp", "n", "d", "linked", (F.col("alone") + F.col("i")).alias("at"), "short", "long"))
     side = lambda x: placed.select("hub", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "comp", "n", "d", "linked", "at", "short", "long")])
     x, y = side("x").where("NOT linked_x"), side("y").where("at_y <= short_y")
     apart = (F.col("comp_x") != F.col("comp_y")) & (F.when(F.col("linked_y"), F.col("at_x") <= F.col("long_x")).otherwise((F.col("at_x") <= F.col("short_x")) & (F.col("cid_x") < F.col("cid_y"))))

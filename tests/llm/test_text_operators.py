@@ -144,7 +144,8 @@ def test_deltas_find_all_links(spark, monkeypatch):
     """Every linked pair of a bucket in different components is a link to the hub or found by its deltas."""
     texts = variants(120, 60, 9, 5) + variants(60, 60, 3, 5)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cid long, text string")
-    open_ = rows.select(F.lit(1).alias("bucket"), "cid", F.col("cid").alias("comp"), F.lit(10).alias("common"), F.when(F.col("cid") == 3, 0.0).otherwise(1.0).alias("own_share"))
+    # Member 3 is in a second bucket, so it is the hub.
+    open_ = rows.select(F.lit(1).alias("bucket"), "cid", F.col("cid").alias("comp")).unionByName(rows.where("cid IN (3, 4)").select(F.lit(2).alias("bucket"), "cid", F.col("cid").alias("comp")))
     to_hubs, pairs = near_dedup._by_deltas(open_, rows, 4, 80)
     found = {tuple(r) for r in to_hubs.unionByName(pairs).collect()}
     sets = [set(near_dedup.shingles(t, 4).tolist()) for t in texts]
