@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.scalar import ALERT, CRITICAL, NORMAL, day_label, one_json_object, severity_rank
 from faultlens.plans.bounded import small
-from faultlens.plans.positions import with_position
-from faultlens.plans.series import lay_out
+from faultlens.plans.positions import SortKey, rows_at, rows_before, sort_keys
 
 MAX_PAGE = 100
-# Pages that start deeper than this are found by row position, not by a top-n sort.
+# Pages that start deeper than this are found by counts of key ranges, not by a top-n sort.
 DEEP_PAGE_ROWS = 100_000
 
 
@@ -31,22 +30,19 @@ def newest_page(
     page: int = 1,
     size: int = 20,
     order: Sequence[str] = ("ts", "event_id"),
-    target_rows: int | None = None,
     deep: int = DEEP_PAGE_ROWS,
 ) -> DataFrame:
     """One page, newest first; past the end it is empty.
 
     Near pages are a distributed top-n. A top-n of depth page * size would gather
-    that many rows in one task, so deep pages filter on the row position instead.
+    that many rows in one task, so for deep pages ranges of the key are counted first
+    and only the rows of the one or two that hold the page are sorted.
     """
     check_page(page, size)
-    newest = [F.desc(c) for c in order]
     skip = (page - 1) * size
     if skip + size <= deep:
-        return df.orderBy(*newest).offset(skip).limit(size)
-    top = df.count() - skip
-    indexed = lay_out(df, (), order, target_rows).index("_rn").rows
-    return indexed.where(F.col("_rn").between(top - size + 1, top)).drop("_rn").orderBy(*newest)
+        return df.orderBy(*[F.desc(c) for c in order]).offset(skip).limit(size)
+    return rows_at(df, sort_keys(order, descending=True), skip, size, deep)
 
 
 def page_summary(df: DataFrame, page: int, size: int) -> DataFrame:
@@ -64,11 +60,11 @@ def newest_then_forward(df: DataFrame, n: int, order: Sequence[str] = ("ts", "ev
     return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
-def head_rows(df: DataFrame, n: int, order: Sequence[str] = ("ts", "event_id"), target_rows: int | None = None, deep: int = DEEP_PAGE_ROWS) -> DataFrame:
-    """The first `n` rows in time order; large heads filter on the row position."""
+def head_rows(df: DataFrame, n: int, order: Sequence[str] = ("ts", "event_id"), deep: int = DEEP_PAGE_ROWS) -> DataFrame:
+    """The first `n` rows in time order; a large head is a filter on the key of its last row."""
     if n <= deep:
         return df.orderBy(*order).limit(n)
-    return lay_out(df, (), order, target_rows).index("_rn").rows.where(F.col("_rn") <= n).drop("_rn")
+    return rows_before(df, sort_keys(order), n, deep)
 
 
 def last_n(df: DataFrame, n: int, key: str = "asset_id", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
@@ -146,8 +142,7 @@ def event_page(
         # Near the end: the last rows by the reversed order, then the page among them.
         rows = df.orderBy(*backward).limit(total - start).orderBy(*forward).limit(size)
     else:
-        placed = with_position(df, *forward)
-        rows = placed.where(F.col("position").between(start, start + size - 1)).drop("position")
+        rows = rows_at(df, [SortKey(by, descending), SortKey(F.col(tiebreak))], start, size, deep)
     return rows.select(
         "*",
         F.lit(start + 1 if total else 0).cast("bigint").alias("shown_from"),

@@ -24,8 +24,8 @@ def prediction_page(spark, sf):
 
 @query("prediction_deep_page", f"WITH {R_SQL} {HISTORY} {NEWEST} LIMIT 100 OFFSET 4900")
 def prediction_deep_page(spark, sf):
-    """A page found by row position instead of a top-n sort."""
-    return H.newest_page(history(spark, sf), page=50, size=100, deep=0, target_rows=2000).drop("ts")
+    """A page found by counts of key ranges instead of a top-n sort."""
+    return H.newest_page(history(spark, sf), page=50, size=100, deep=0).drop("ts")
 
 
 @query(
@@ -153,6 +153,27 @@ def event_last_page(spark, sf):
     return out.select("event_id", "shown_from", "shown_to", "shown_of")
 
 
+@query(
+    "event_middle_page",
+    f"""WITH {LOG_SQL}, o AS (SELECT *, CASE severity WHEN 'NORMAL' THEN 0 WHEN 'ALERTA' THEN 1 ELSE 2 END AS rank FROM log),
+    n AS (SELECT count(*) AS n, (count(*) // 20) * 10 AS start FROM log)
+    SELECT event_id, CAST(start + 1 AS BIGINT) AS shown_from, CAST(start + 10 AS BIGINT) AS shown_to, n AS shown_of
+    FROM (SELECT *, row_number() OVER (ORDER BY rank DESC, event_id) AS rn FROM o), n WHERE rn > start AND rn <= start + 10""",
+)
+def event_middle_page(spark, sf):
+    """The page in the middle of the log by severity, where no top-n from either end is short."""
+    log = event_log(spark, sf)
+    out = H.event_page(log, "severity", True, page=log.count() // 20 + 1, deep=100)
+    return out.select("event_id", "shown_from", "shown_to", "shown_of")
+
+
+@query("head_by_range", f"WITH {R_SQL} SELECT event_id, value FROM r ORDER BY ts, event_id LIMIT (SELECT count(*) // 2 FROM events)")
+def head_by_range(spark, sf):
+    """A head too large for a top-n: a filter on the key of its last row."""
+    rows = history(spark, sf)
+    return H.head_rows(rows, rows.count() // 2, deep=100).select("event_id", "value")
+
+
 DAILY_SQL = LOG_SQL + """,
 spine AS (SELECT CAST(unnest(generate_series(DATE '2024-01-17', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day),
 daily AS (SELECT s.day, strftime(s.day, '%d/%m') AS label,

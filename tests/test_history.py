@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultlens.operators import history as H
 from faultlens.operators.asof import asof_join
+from faultlens.plans.positions import SortKey, rows_at, rows_before
 from faultlens.sources import sinks as K
 
 
@@ -18,7 +19,7 @@ def seven(spark):
 
 @pytest.mark.parametrize("deep", [100_000, 0])
 def test_pages_are_disjoint_newest_first_and_cover_the_table(seven, deep):
-    pages = [[r["event_id"] for r in H.newest_page(seven, p, 3, deep=deep, target_rows=2).collect()] for p in (1, 2, 3, 4)]
+    pages = [[r["event_id"] for r in H.newest_page(seven, p, 3, deep=deep).collect()] for p in (1, 2, 3, 4)]
     assert pages == [[6, 5, 4], [3, 2, 1], [0], []]
     s = H.page_summary(seven, 4, 3).first()
     assert (s["total"], s["pages"]) == (7, 3)
@@ -33,7 +34,7 @@ def test_page_bounds(seven, page, size):
 
 def test_head_by_position(seven):
     for deep in (0, 100):
-        assert sorted(r["event_id"] for r in H.head_rows(seven, 3, deep=deep, target_rows=2).collect()) == [0, 1, 2]
+        assert sorted(r["event_id"] for r in H.head_rows(seven, 3, deep=deep).collect()) == [0, 1, 2]
 
 
 def test_log_page_is_clamped(spark, seven):
@@ -107,3 +108,30 @@ def test_asof_without_key_matches_nothing(spark, target):
     right = spark.createDataFrame(at((1, None, 1, 7), (2, 1, 1, 8), (3, None, 2, 9)), schema)
     out = asof_join(left, right, "k", ["v"], target_rows=target)
     assert sorted((r["event_id"], r["v"]) for r in out.collect()) == [(1, None), (2, 8), (3, None), (4, None)]
+
+
+def test_middle_pages_sort_only_their_ranges(spark):
+    """Neither sort nor row numbers over the whole table: what is sorted is the few rows left in the ranges."""
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.expr("timestamp_seconds(id div 7)").cast("timestamp_ntz").alias("ts"), F.expr("if(id % 11 = 0, null, id % 5)").alias("x"))
+    got = H.newest_page(df, page=1001, size=100, deep=1000)
+    assert [r["event_id"] for r in got.collect()] == list(range(n - 100_001, n - 100_101, -1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan
+    keys = [SortKey(F.col("x"), True), SortKey(F.col("event_id"))]
+    want = [r["event_id"] for r in df.orderBy(F.desc("x"), "event_id").collect()]
+    for start in (0, 77_777, n - 20_000, n - 3):
+        assert [r["event_id"] for r in rows_at(df, keys, start, 5, 10).collect()] == want[start : start + 5]
+    assert rows_at(df, keys, n, 5, 10).count() == 0
+    assert sorted(r["event_id"] for r in rows_before(df, keys, 190_000, 10).collect()) == sorted(want[:190_000])
+    assert rows_before(df.limit(5), keys, 9, 1).count() == 5
+
+
+@pytest.mark.parametrize("values", [["b", "a", None, "é", "", "a", "B"], [1.5, None, float("nan"), float("inf"), -0.0, 0.0, float("-inf")]])
+def test_slices_of_any_key(spark, values):
+    """NULL, NaN, infinities and texts come as Spark sorts them, in both directions."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"event_id long, x {'string' if isinstance(values[0], str) else 'double'}")
+    for down in (False, True):
+        keys = [SortKey(F.col("x"), down), SortKey(F.col("event_id"))]
+        want = [r["event_id"] for r in df.orderBy(*[k.order for k in keys]).collect()]
+        assert [rows_at(df, keys, i, 1, 0).first()["event_id"] for i in range(len(values))] == want
