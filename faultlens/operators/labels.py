@@ -107,8 +107,9 @@ def label_by_table(
     stacked = rows.withColumn("_side", F.lit(1)).unionByName(
         starts.withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    # Readings of one instant need no order among themselves; their hash only splits crowds.
-    laid = lay_out(stacked.withColumn("_mix", F.xxhash64("_at", *df.columns)), (), ("_at", "_side", "_mix"), target_rows)
+    # Readings of one instant need no order among themselves; the hash only splits crowds, and maps have none.
+    hashed = [f"`{f.name}`" for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    laid = lay_out(stacked.withColumn("_mix", F.xxhash64("_at", *hashed)), (), ("_at", "_side", "_mix"), target_rows)
     found = laid.fill(["_b"]).rows.where(F.col("_side") == 1)
     covered = F.coalesce(F.col("_at") <= F.col("_b"), F.lit(False))
     return found.withColumn(label, covered.cast("int").cast(kind)).select(*df.columns, label)

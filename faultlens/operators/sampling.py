@@ -8,9 +8,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultlens.operators.knn import nearest
+from faultlens.plans.bounded import small
 from faultlens.plans.ranking import flag_lowest, rank_in_class, seeded_hash, seeded_unit
+from faultlens.plans.series import lay_out
 from faultlens.session import cut
 
 # Names of the oversampling strategies and the setting that picks one.
@@ -70,25 +73,55 @@ def stratified_folds(
     return ranked.withColumn("fold", F.pmod("rank", F.lit(k)).cast("int")).drop("rank", "class_rows")
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, max_groups: int = 100_000) -> DataFrame:
+def _deal(loads: list[int], size: int, groups: int) -> list[tuple[int, list[int]]]:
+    """Where greedy dealing of `groups` groups of one size goes, as (first rank, folds in turn); adds them to `loads`.
+
+    Fold f is the lightest again and again at loads f + j * size, so the picks are the merge
+    of one such ladder per fold. Between the starts of two ladders the same folds take turns.
+    """
+    starts = sorted((load, f) for f, load in enumerate(loads))
+
+    def picks_below(load: int) -> int:
+        return sum(-(-(load - own) // size) for own in loads if own < load)
+
+    plan = []
+    for i in range(len(starts)):
+        level = starts[i][0]
+        if i + 1 < len(starts) and starts[i + 1][0] == level:
+            continue
+        first = picks_below(level)
+        if first >= groups:
+            break
+        turns = sorted((own + -(-(level - own) // size) * size, f) for own, f in starts[: i + 1])
+        plan.append((first, [f for _, f in turns]))
+    for (first, turns), end in zip(plan, [p[0] for p in plan[1:]] + [groups]):
+        for place, f in enumerate(turns):
+            loads[f] += size * len(range(first + place, min(end, groups), len(turns)))
+    return plan
+
+
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Fold of each group: largest group first, always into the lightest fold.
 
-    Needs the group sizes on the driver: one row per day, checked against a bound.
+    Groups of one size are dealt by their rank among them, in the order of the group's
+    value (of its hash where that is no number or time). The driver sees one row per size, and there
+    are at most sqrt(2 n) sizes in n rows.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    rows = sizes.orderBy(F.desc("n"), group).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; use a coarser group key")
-    if len(rows) < k:
-        raise ValueError(f"{k} folds need at least {k} groups, found {len(rows)}")
-    load = [0] * k
-    placed = []
-    for r in rows:
-        fold = load.index(min(load))
-        load[fold] += r["n"]
-        placed.append((r[group], fold, r["n"]))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int, n bigint")
+    sizes = cut(df.groupBy(group).agg(F.count("*").alias("n")))
+    classes = sizes.groupBy("n").count().orderBy(F.desc("n")).collect()
+    found = sum(c["count"] for c in classes)
+    if found < k:
+        raise ValueError(f"{k} folds need at least {k} groups, found {found}")
+    loads, rows = [0] * k, []
+    for c in classes:
+        rows.append((c["n"], [{"first": first, "turns": turns} for first, turns in _deal(loads, c["n"], c["count"])]))
+    plans = df.sparkSession.createDataFrame(rows, "n bigint, plan array<struct<first:bigint,turns:array<int>>>")
+    ordered = isinstance(sizes.schema[group].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.IntegralType))
+    named = sizes.withColumn("_order", F.col(group) if ordered else F.xxhash64(group)).withColumn("_size", F.col("n"))
+    ranked = lay_out(named, "_size", ("_order",)).index("_rank", start=0).rows
+    part = F.element_at(F.filter("plan", lambda p: p["first"] <= F.col("_rank")), -1)
+    fold = F.get(part["turns"], F.pmod(F.col("_rank") - part["first"], F.size(part["turns"])).cast("int"))
+    return ranked.join(small(plans), "n").select(group, fold.alias("fold"), "n")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -164,6 +164,10 @@ def drift_ramp(
     )
 
 
+ZIP_BLOCK = 4096
+COPIES_AT_ONCE = 10_000
+
+
 def circular_blend(
     healthy: DataFrame,
     faulty: DataFrame,
@@ -175,7 +179,8 @@ def circular_blend(
     """A series that drifts from healthy rows to faulty ones.
 
     Healthy row i meets faulty row i mod n_faulty; `step` is i + 1 and the blend
-    weight min(step / steps, 1).
+    weight min(step / steps, 1). The faulty rows are dealt out to blocks of healthy positions,
+    each block getting those it meets, so that few faulty rows make no hot key.
     """
     n_faulty = faulty.count()
     if n_faulty == 0:
@@ -183,7 +188,15 @@ def circular_blend(
     a = lay_out(healthy, (), order, target_rows).index("_i", start=0).rows
     b = lay_out(faulty, (), order, target_rows).index("_j", start=0).rows
     b = b.select("_j", *[F.col(c).alias(f"_b_{c}") for c in columns])
-    joined = a.withColumn("_j", F.pmod(F.col("_i"), F.lit(max(n_faulty, 1)))).join(b, "_j")
+    n_healthy, laps = healthy.count(), max(n_faulty, 1)
+    # Of each faulty row one copy per block: all blocks if a block holds a lap, else those its laps fall in.
+    copies = -(-n_healthy // max(ZIP_BLOCK, laps)) if n_healthy else 0
+    b = b.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(copies // COPIES_AT_ONCE)))).repartition("_j", "_c")
+    first = F.col("_c") * COPIES_AT_ONCE
+    b = b.where(first < copies).withColumn("_copy", F.explode(F.sequence(first, F.least(first + COPIES_AT_ONCE, F.lit(copies)) - 1))).drop("_c")
+    b = b.withColumn("_block", F.col("_copy").cast("long") if laps <= ZIP_BLOCK else F.floor((F.col("_j") + F.col("_copy").cast("long") * laps) / ZIP_BLOCK)).drop("_copy")
+    placed = a.withColumns({"_j": F.pmod(F.col("_i"), F.lit(laps)), "_block": F.floor(F.col("_i") / ZIP_BLOCK)})
+    joined = placed.join(b, ["_block", "_j"])
     drift = F.least((F.col("_i") + 1) / F.lit(float(steps)), F.lit(1.0))
     return joined.select(
         *order,

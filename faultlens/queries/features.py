@@ -199,6 +199,26 @@ def feature_set_select(spark, sf):
     return X.select_set(sensors(spark, sf), "raw", ["event_id"])
 
 
+def set_sql(names):
+    return f"SELECT event_id, {', '.join(names)} FROM ({full_sql()})"
+
+
+@query("feature_set_v1", set_sql(X.feature_names(False)))
+def feature_set_v1(spark, sf):
+    """The 34 columns of the first feature version."""
+    rows = sensors(spark, sf).select("event_id", "ts", "asset_id", *SENSORS)
+    out = X.select_set(X.add_features(rows, "asset_id", gaps=False), "v1", ["event_id"])
+    return out.select("event_id", *[r6(n).alias(n) for n in X.feature_names(False)])
+
+
+@query("feature_set_v2", set_sql(X.feature_names(True)))
+def feature_set_v2(spark, sf):
+    """The 80 columns of the second feature version."""
+    rows = sensors(spark, sf).select("event_id", "ts", "asset_id", *SENSORS)
+    out = X.select_set(X.add_features(rows, "asset_id", gaps=False), "v2", ["event_id"])
+    return out.select("event_id", *[r6(n).alias(n) for n in X.feature_names(True)])
+
+
 @query(
     "reading_validation",
     f"""WITH {S_SQL}, b AS (

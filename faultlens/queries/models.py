@@ -1,17 +1,18 @@
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultlens.functions.scalar import anomaly_score
+from faultlens.operators import crossval as X
 from faultlens.operators import evaluate as E
 from faultlens.operators import registry as R
 from faultlens.operators import training as M
 from faultlens.operators import windows as V
 from faultlens.operators.features import add_features, feature_names
-from faultlens.operators.sampling import smote, stratified_folds, stratified_split
+from faultlens.operators.sampling import smote, stratified_split
 from faultlens.operators.scoring import SensorFeatures, score_with
-from faultlens.queries.registry import L_SQL, R_SQL, labelled, query, readings, sensors, table
-from faultlens.schema import SENSORS
+from faultlens.queries.registry import R_SQL, query, readings, sensors, table
+from faultlens.schema import ANALOGUE, SENSORS
 from faultlens.session import cut
 
 KEEP = ["event_id", "y"]
@@ -89,8 +90,7 @@ def forest_grid_search(spark, sf):
 
 @query("boosted_scores", TEST_SQL)
 def boosted_scores(spark, sf):
-    """Seeded candidates compared over folds, fitted on a sample of their training sides and measured on all
-    rows held out; the best one is fitted on all training rows."""
+    """Twenty-seven drawn candidates halved to one while their rounds grow; the last is fitted with its drawn rounds."""
     names = feature_names(False)
     train, test = split(spark, sf)
 
@@ -98,8 +98,7 @@ def boosted_scores(spark, sf):
         rows = stratified_split(rows.drop("is_test"), "y", "event_id", 0.1).withColumnRenamed("is_test", "is_validation")
         return M.train_boosted(rows, names, validation="is_validation", **params)
 
-    candidates = [{**p, "maxIter": 20} for p in M.random_candidates(3)]
-    best = M.search(train, fit, candidates, "y", "event_id", folds=3, rows=M.SEARCH_ROWS)[0]
+    best = M.halving_search(train, fit, M.random_candidates(27), "y", "event_id", rows=M.SEARCH_ROWS)[0]
     return gated(M.score(fit(train, best.params), test, KEEP))
 
 
@@ -113,43 +112,67 @@ def mlp_scores(spark, sf):
     return gated(M.score(model, V.standardize_columns(test, stats), KEEP))
 
 
-WINDOW_TEST_SQL = f"""WITH {L_SQL},
-i AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM l),
-w AS (SELECT unnest(range(0, (SELECT count(*) FROM l) - 59, 10)) AS lo),
-m AS (SELECT CAST(lo // 10 AS BIGINT) AS wid, max(anomaly) AS y FROM w JOIN i ON rn BETWEEN lo AND lo + 59 GROUP BY lo),
-f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('42:' || wid), wid) - 1) % 5 AS fold FROM m)
-SELECT wid, y, true AS in_range FROM f"""
+# A fault raises one pressure for 120 readings; a window is faulty if it holds such a reading.
+WINDOWS_SQL = f"""{R_SQL},
+i AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, CAST((event_id // 120) % 5 = 0 AS INTEGER) AS fault FROM r),
+w AS (SELECT unnest(range(0, (SELECT count(*) FROM r) - 59, 10)) AS lo),
+m AS (SELECT CAST(lo // 10 AS BIGINT) AS wid, max(fault) AS y, CAST(min(ts) AS DATE) AS day FROM w JOIN i ON rn BETWEEN lo AND lo + 59 GROUP BY lo),
+f AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || wid), wid) - 1) % 5 AS INTEGER) AS fold FROM m)"""
+DAY_FOLDS_SQL = """d AS (SELECT *, row_number() OVER (ORDER BY n DESC, day) AS i FROM (SELECT day, count(*) AS n FROM m GROUP BY 1)),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS DATE) AS day, CAST(NULL AS INTEGER) AS fold
+      UNION ALL
+      SELECT d.i, list_transform(load, lambda x, k: x + CASE WHEN k = list_position(load, list_min(load)) THEN d.n ELSE 0 END),
+        d.day, CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM g JOIN d ON d.i = g.i + 1),
+b AS (SELECT wid, y, fold FROM m JOIN g USING (day))"""
 
 
 def tensors(spark, sf):
-    w = V.sliding_windows(labelled(spark, sf), SENSORS, label="anomaly")
-    return cut(stratified_folds(w, "y", "wid", 5))
+    fault = (F.floor(F.col("event_id") / 120) % 5 == 0).cast("int")
+    rows = sensors(spark, sf).withColumn("fault", fault).withColumn("TP2", F.col("TP2") + 3000 * F.col("fault"))
+    return cut(V.sliding_windows(rows, SENSORS, label="fault"))
 
 
-def ranged(scores):
-    return scores.select("wid", "y", F.col("score").between(0, 1).alias("in_range"))
+def gated_windows(spark, sf, fit):
+    """Every window scored by the model of its day's fold, and whether F1 over all of them passes the gate."""
+    scored = X.score_folds(cut(X.place(tensors(spark, sf), "by_day", 5, 5)), fit, 5)
+    passed = E.f1_gate(scored.withColumn("pred", (F.col("score") >= 0.5).cast("int"))).first()["passed"]
+    return scored.select("wid", "y", F.col("score").between(0, 1).alias("in_range"), F.lit(passed).alias("passed"))
 
 
-@query("window_classifier_scores", WINDOW_TEST_SQL + " WHERE fold = 0")
+WINDOW_TEST_SQL = f"WITH {WINDOWS_SQL} SELECT wid, y, true AS in_range, true AS passed FROM m"
+
+
+@query("window_classifier_scores", WINDOW_TEST_SQL)
 def window_classifier_scores(spark, sf):
-    w = tensors(spark, sf)
-    model, prepare = M.train_window_classifier(w.where("fold <> 0"), len(SENSORS), numTrees=10, maxDepth=5)
-    return ranged(M.score(model, prepare(w.where("fold = 0")), ["wid", "y"]))
+    return gated_windows(spark, sf, X.window_forest(len(SENSORS), numTrees=10, maxDepth=5))
 
 
-@query("window_patch_classifier_scores", WINDOW_TEST_SQL + " WHERE fold = 0")
+@query("window_patch_classifier_scores", WINDOW_TEST_SQL)
 def window_patch_classifier_scores(spark, sf):
-    w = tensors(spark, sf)
-    model, prepare = M.train_window_classifier(w.where("fold <> 0"), len(SENSORS), kind="patches", numTrees=10, maxDepth=5)
-    return ranged(M.score(model, prepare(w.where("fold = 0")), ["wid", "y"]))
+    return gated_windows(spark, sf, X.window_forest(len(SENSORS), kind="patches", numTrees=20, maxDepth=6))
 
 
 @query("pca_reconstruction_scores", WINDOW_TEST_SQL)
 def pca_reconstruction_scores(spark, sf):
-    w = tensors(spark, sf)
-    model = M.train_reconstruction(w.where("fold <> 0"), len(SENSORS), k=8, validation=w.where("fold = 0"))
-    errors = model.errors(w).where("error >= 0")
-    return ranged(errors.select("wid", "y", anomaly_score("error", model.threshold).alias("score")))
+    """Windows whose error is over the threshold of healthy training windows score 0.5 and more."""
+    return gated_windows(spark, sf, X.window_reconstruction(len(SENSORS), 8))
+
+
+@query(
+    "fold_evaluation",
+    f"""WITH RECURSIVE {WINDOWS_SQL}, {DAY_FOLDS_SQL},
+    near AS (SELECT DISTINCT x.wid, z.fold FROM b x JOIN b z ON z.wid BETWEEN x.wid - 5 AND x.wid + 5),
+    a AS (SELECT 'stratified' AS scheme, wid, y, fold, f.fold AS near FROM f UNION ALL SELECT 'by_day', b.wid, b.y, b.fold, near.fold FROM b JOIN near USING (wid)),
+    s AS (SELECT scheme, fold, count(DISTINCT wid) AS n_val FROM a GROUP BY ALL),
+    t AS (SELECT s.scheme, s.fold, w.wid, w.y FROM s JOIN (SELECT scheme, wid, y, list(near) AS near FROM a GROUP BY ALL) w
+          ON w.scheme = s.scheme AND NOT list_contains(w.near, s.fold))
+    SELECT s.scheme, s.fold, count(*) AS n_train, n_val, round(CAST(count(*) - sum(y) AS DOUBLE) / greatest(1, sum(y)), 4) AS pos_weight, true AS passed
+    FROM s JOIN t ON s.scheme = t.scheme AND s.fold = t.fold GROUP BY ALL""",
+)
+def fold_evaluation(spark, sf):
+    """Scaler and forest fitted per fold, stratified and by day with overlapping windows purged."""
+    folds, _ = X.evaluate(tensors(spark, sf), X.window_forest(len(SENSORS), numTrees=10, maxDepth=5))
+    return folds.select("scheme", "fold", "n_train", "n_val", "pos_weight", "passed")
 
 
 class RatioPredictor:
@@ -174,14 +197,15 @@ def plugin_scores(spark, sf):
 
 @query(
     "feature_importance",
-    f"""SELECT unnest([{", ".join(f"'{c}'" for c in SENSORS)}]) AS feature, true AS in_range, true AS shares""",
+    f"""SELECT unnest([{", ".join(f"'{c}'" for c in SENSORS)}]) AS feature, unnest([{", ".join(str(c in ANALOGUE).lower() for c in SENSORS)}]) AS leads, true AS shares""",
 )
 def feature_importance(spark, sf):
-    """A share for every feature; the shares sum to 1."""
+    """The fault follows from pressures and not from switches: the analogue sensors lead, and shares sum to 1."""
     model = M.train_forest(faulty(spark, sf), SENSORS, weighted=False, numTrees=50, maxDepth=5)
     found = M.feature_importance(model, SENSORS, spark)
     total = found.agg(F.sum("importance")).first()[0]
-    return found.select("feature", F.col("importance").between(0, 1).alias("in_range"), F.lit(abs(total - 1) < 1e-6).alias("shares"))
+    place = F.row_number().over(W.orderBy(F.desc("importance"), "feature"))  # one row per feature
+    return found.select("feature", (place <= len(ANALOGUE)).alias("leads"), F.lit(abs(total - 1) < 1e-6).alias("shares"))
 
 
 RUNS_SQL = """runs AS (SELECT event_type AS experiment, 'run-' || user_id AS run_id, round(max(value), 6) AS f1

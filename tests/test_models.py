@@ -154,7 +154,31 @@ def test_registered_searches_see_the_whole_training_set(spark, monkeypatch):
         raise InterruptedError
 
     monkeypatch.setattr(models.M, "search", search)
+    monkeypatch.setattr(models.M, "halving_search", search)
     for run in (models.forest_grid_search, models.boosted_scores):
         with pytest.raises(InterruptedError):
             run(spark, "")
     assert seen == [(2400, None), (2400, M.SEARCH_ROWS)]
+
+
+def test_halving_ends_with_the_best_of_many(spark):
+    """Candidates fall by a third a generation while their rounds grow, and none gets more than it was drawn with."""
+    rows = spark.range(300).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("y"))
+    asked = []
+
+    class Model:
+        def __init__(self, quality, rounds):
+            self.right = quality * min(rounds, 12)
+
+        def transform(self, df):
+            wrong = F.pmod(F.xxhash64("i"), F.lit(100)) >= self.right
+            return df.withColumn("prediction", F.when(wrong, 1 - F.col("y")).otherwise(F.col("y")).cast("double"))
+
+    def fit(train, params):
+        asked.append((params["q"], params["maxIter"]))
+        return Model(params["q"], params["maxIter"])
+
+    candidates = [{"q": q, "maxIter": 10 if q == 7 else 100} for q in range(1, 10)]
+    best = M.halving_search(rows, fit, candidates, "y", "i", first=4, factor=3)
+    assert [t.params["q"] for t in best] == [9, 8, 7] and best[0].params["maxIter"] == 100
+    assert sorted(set(asked)) == sorted({(q, 4) for q in range(1, 10)} | {(9, 12), (8, 12), (7, 10)})

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +93,22 @@ def test_group_folds_keep_days_whole_and_balanced(spark):
         A.group_folds(days, "day", 50)
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_group_folds_are_dealt_as_one_by_one(spark, k):
+    """Dealing whole size classes gives what the greedy loop gives, group by group, however sizes repeat."""
+    rng = random.Random(k)
+    sizes = [rng.choice([1, 1, 1, 2, 3, 7, 7, 20, 55]) for _ in range(150)]
+    rows = [(g,) for g, n in enumerate(sizes) for _ in range(n)]
+    got = {r["g"]: r["fold"] for r in A.group_folds(spark.createDataFrame(rows, "g int"), "g", k).collect()}
+    load, want = [0] * k, {}
+    for g in sorted(range(len(sizes)), key=lambda g: (-sizes[g], g)):
+        fold = load.index(min(load))
+        want[g], load[fold] = fold, load[fold] + sizes[g]
+    assert got == want
+    texts = A.group_folds(spark.createDataFrame(rows, "g int").select(F.col("g").cast("string").alias("g")), "g", k).groupBy("fold").agg(F.sum("n")).collect()
+    assert sorted(r[1] for r in texts) == sorted(load)
+
+
 def test_report(imbalanced):
     after = A.smote(imbalanced, "v", "fault", "id", strategy=0.5)
     got = {r["fault"]: tuple(r) for r in A.resampling_report(imbalanced, after, "fault").collect()}

@@ -86,3 +86,13 @@ def test_leak_check_finds_shared_content(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "id int, v double")
     b = spark.createDataFrame([(4, 2.0), (5, 3.0), (6, None)], "id int, v double")
     assert sorted(r["id"] for r in leaked_rows(a, b, ["v"]).collect()) == [4, 6]
+
+
+@pytest.mark.parametrize("n_faulty", [1, 3, 40, 250])
+def test_blend_deals_few_faulty_rows_to_blocks(spark, n_faulty, monkeypatch):
+    """Few or many faulty rows: each step meets row i mod n, and no task gets far more rows than the median."""
+    monkeypatch.setattr(V, "ZIP_BLOCK", 16)
+    monkeypatch.setattr(V, "COPIES_AT_ONCE", 5)
+    rows = lambda n, k: spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") * k).cast("double").alias("a"))
+    out = V.circular_blend(rows(200, 0), rows(n_faulty, 1), ["a"], steps=1)
+    assert sorted((r["step"], r["a"]) for r in out.collect()) == [(i + 1, float(i % n_faulty)) for i in range(200)]
