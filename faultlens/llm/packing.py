@@ -21,11 +21,13 @@ CAPACITY = 2048
 BLOCK = 4096
 # Sequences fuller than this stay as they are; the pieces of others are packed again across blocks.
 FULL = 0.98
-# Steps of the search below an incumbent that misses the bound; then the incumbent stands.
-NODES = 1_000
+# Steps of the search below an incumbent that misses the bound; then the incumbent stands. A solution
+# takes as many steps as it has sequences, so where one in GAP of them could be saved the search has
+# twice as many steps as the incumbent has sequences at least.
+NODES, GAP = 1_000, 500
 # Words whose ids a worker remembers, in each of two generations.
 KNOWN_WORDS = 300_000
-GAP = re.compile(r"[\x20\x09-\x0D]+")
+WHITE = re.compile(r"[\x20\x09-\x0D]+")
 LATIN_END = "\u0250"
 # How byte-level vocabularies write bytes: visible ones as themselves, the others from U+0100 on.
 VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -84,7 +86,7 @@ class WordEncoder(dict):
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             # str.split also parts at the four separators, which the tokenizer takes for symbols.
-            words = text.split() if not SEPARATORS.search(text) else GAP.split(text)
+            words = text.split() if not SEPARATORS.search(text) else WHITE.split(text)
             yield b"".join(map(self.__getitem__, words))
 
 
@@ -222,16 +224,24 @@ def fillings(left: Lengths, room: int) -> list[tuple[int, ...]]:
             left.count[x] += 1
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: by total length, and as a bin holds at most k lengths over capacity / (k + 1)."""
+    total = int(lengths.sum())
+    return max(-(-total // capacity), *(-(-int((lengths > capacity // (k + 1)).sum()) // k) for k in range(1, 9)))
+
+
 def complete_bins(lengths: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, ...]]:
     """Few bins for `lengths`: branch and bound on the fillings around the longest one left.
 
     The incumbent is best-fit decreasing. A branch ends when its waste leaves no room
     for one bin less than the incumbent has, and the search when the incumbent meets
-    the bound (total length, or lengths over half the capacity) or `nodes` are spent.
+    the bound (`least_bins`) or its steps are spent (`nodes`, or twice the bins where many could be saved).
     """
     best = best_fit(lengths, capacity)
     total = int(lengths.sum())
-    bound = max(-(-total // capacity), int((lengths > capacity // 2).sum()))
+    bound = least_bins(lengths, capacity)
+    if GAP * (len(best) - bound) >= len(best) > nodes // 2:
+        nodes = 2 * len(best)
     left = Lengths(lengths, capacity)
     waste = 0
     path: list[tuple[int, ...]] = []

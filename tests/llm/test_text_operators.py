@@ -245,6 +245,15 @@ def fewest(lengths, capacity):
     return best
 
 
+@pytest.mark.parametrize("low, high", [(400, 900), (450, 800), (600, 700), (700, 1000)])
+def test_a_full_block_comes_close_to_the_bound(low, high):
+    """Best-fit loses several percent on these lengths; the search reaches whole solutions of a full block."""
+    lengths = np.random.default_rng(low).integers(low, high, packing.BLOCK)
+    ways = packing.complete_bins(lengths)
+    assert sorted(x for w in ways for x in w) == sorted(lengths.tolist()) and max(map(sum, ways)) <= 2048
+    assert len(ways) <= 1.01 * packing.least_bins(lengths, 2048)
+
+
 def test_bin_completion_is_optimal_on_small_sets():
     rng = np.random.default_rng(7)
     better = 0
