@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import fresh, keyed, let, stored, words
+from faultlens.llm.common import fresh, keyed, let, stored
+from faultlens.plans.bounded import small
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,14 @@ KINDS = (
 NAMES = tuple(k.name for k in KINDS)
 BYTE_PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IP = rf"^{BYTE_PART}(?:\.{BYTE_PART}){{3}}$"
+# A word, from its first letter or digit to its last.
+TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
 # Characters on either side of protected data in which a term can tell of it.
 REACH = 60
-# A term discloses if found near protected data in so many documents at least, and if its
-# information on them reaches this share of what there is to know, -log2 P(protected).
-LEAST_DOCS, DISCLOSURE = 3, 0.9
+# A term discloses if its information on protected data reaches this share of what there is to
+# know, -log2 P(protected). P(protected | term) is taken at the lower end of its Wilson interval of so many
+# deviations, so a term seen once or twice proves nothing, and no count of documents is asked for.
+DISCLOSURE, DEVIATIONS = 0.9, 1.0
 CHUNK = 512
 
 
@@ -108,63 +112,73 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
 
 
+def terms_at(text: Column) -> Column:
+    """array<struct<term, start, end>> of the lower-cased words of a text."""
+    return F.transform(placed(text, TERM), lambda w: F.struct(F.lower(w["hit"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+
+
 def near_terms(text: Column, spans: Column) -> Column:
-    """array<struct<term, start, end>>: lower-cased words within REACH of a span, the spans' own left out.
+    """The lower-cased words within REACH of a span, the spans' own left out.
 
-    The window is drawn in to whole words at its far edges.
+    A word that the far edge of the window cuts is left out; one that ends there is not.
     """
 
     def around(s: Column) -> Column:
-        def side(first: Column, piece: Column, cut_left: bool) -> Column:
-            # Drops the word that the far edge of the window has cut.
-            whole = F.regexp_replace(piece, r"^[^\x20\x09-\x0D]+" if cut_left else r"[^\x20\x09-\x0D]+$", "")
-            offset = F.length(piece) - F.length(whole) if cut_left else F.lit(0)
-            return F.transform(
-                placed(F.when(F.lit(cut_left) & (first == 0), piece).otherwise(whole), r"[^\x20\x09-\x0D]+"),
-                lambda w: F.struct(
-                    F.lower(w["hit"]).alias("term"),
-                    (first + F.when(F.lit(cut_left) & (first == 0), 0).otherwise(offset) + w["start"]).alias("start"),
-                    (first + F.when(F.lit(cut_left) & (first == 0), 0).otherwise(offset) + w["end"]).alias("end"),
-                ),
-            )
-
-        begin = F.greatest(s["start"] - REACH, F.lit(0).cast("long"))
+        # One character more tells whether the edge cuts a word.
+        begin = F.greatest(s["start"] - (REACH + 1), F.lit(0).cast("long"))
         before = F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
-        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(REACH))
-        return F.concat(side(begin, before, True), side(s["end"], after, False))
+        before = F.when(F.length(before) > REACH, F.regexp_replace(before, r"^[^\x20\x09-\x0D]+", "")).otherwise(before)
+        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(REACH + 1))
+        after = F.when(F.length(after) > REACH, F.regexp_replace(after, r"[^\x20\x09-\x0D]+\z", "")).otherwise(after)
+        return F.concat(*[F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0)) for x in (before, after)])
 
     return F.array_distinct(F.flatten(F.transform(spans, around)))
 
 
-def scan(docs: DataFrame, payload: Column, text: str = "text", least_docs: int = LEAST_DOCS, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, rows: DataFrame, text: Column, disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """(key, term) of all words that are near protected data somewhere, wherever they stand, and the (term) that disclose it.
+
+    `docs` has key; `rows` key, base and near. Terms near protected data are few; they meet the words of the
+    corpus before these are counted, by a broadcast where they are measured to be small.
+    """
+    by_term = rows.select(F.explode("near").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near_docs"))
+    candidates = stored(by_term)
+    every = docs.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = stored(every.join(small(candidates.select("term")), "term"))
+    known = held.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).join(candidates, "term")
+    totals = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.size("base") > 0).alias("protected")).first()
+    share = totals["protected"] / totals["all"] if totals["all"] else 0.0
+    # log2(given / share) >= disclosure * -log2(share), that is given >= share ** (1 - disclosure).
+    n, p, z = F.col("docs"), F.col("near_docs") / F.col("docs"), DEVIATIONS
+    given = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return held, stored(known.where(given >= F.lit((share or 1.0) ** (1 - disclosure))).select("term"))
+
+
+def scan(docs: DataFrame, payload: Column, text: str = "text", disclosure: float = DISCLOSURE, key: str | None = None) -> DataFrame:
     """One row per document: payload, base and added spans as array<struct<start, at, end, kind>>.
 
     For each term near protected data the corpus gives P(protected near it | term) =
-    documents with the term near them / documents with the term. Its information on
-    protected data is log2 of that over P(protected). Terms that come to `disclosure`
-    of -log2 P(protected) are added as kind `term` wherever they stand near such data.
-    NULL counts as empty. An empty table gives an empty result.
+    documents with the term near them / documents with the term, at the lower end of its
+    Wilson interval. Its information on protected data is log2 of that over P(protected). Terms that
+    come to `disclosure` of -log2 P(protected) are added as kind `term` at each of their occurrences
+    in the corpus, near protected data or not. Where all documents hold such data, no term can tell
+    of it and none is added. `key` names a column that tells rows apart. NULL counts as empty; repeated rows count each. An empty table gives an empty result.
     """
+    if key is None:
+        docs, key = keyed(docs)
     t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(payload.alias("payload"), t.alias("t")).withColumn("base", base_spans(F.col("t")))
+    own = docs.select(F.col(key).alias("key"), payload.alias("payload"), t.alias("t"))
+    found = own.withColumn("base", base_spans(F.col("t")))
     terms = F.when(F.size("base") > 0, near_terms(F.col("t"), F.col("base")))
-    rows = stored(found.select("payload", "base", terms.alias("near")).withColumn("n", F.monotonically_increasing_id()))
-
-    near = rows.select("n", F.explode("near").alias("x")).select("n", "x.*")
-    by_term = near.groupBy("n", "term").agg(F.count(F.lit(1)).alias("k")).groupBy("term").agg(F.count(F.lit(1)).alias("near_docs"))
-    candidates = stored(by_term.where(F.col("near_docs") >= least_docs))
-    everywhere = docs.select(F.explode(F.array_distinct(words(F.lower(F.col(text))))).alias("term"))
-    known = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).join(candidates, "term")
-    totals = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.size("base") > 0).alias("protected")).first()
-    share = totals["protected"] / totals["all"] if totals["all"] else 0.0
-    given = F.col("near_docs") / F.col("docs")
-    # log2(given / share) >= disclosure * -log2(share)
-    disclosing = stored(known.where(F.log2(given) >= (1 - disclosure) * F.log2(F.lit(share or 1.0))).select("term"))
+    rows = stored(found.select("key", "payload", "base", terms.alias("near")))
 
-    spans = near.join(disclosing, "term").select("n", F.struct(F.col("start"), F.lit(len(KINDS)).alias("at"), F.col("end"), F.lit("term").alias("kind")).alias("s"))
-    added = spans.groupBy("n").agg(F.array_sort(F.collect_set("s")).alias("added"))
+    held, disclosing = disclosing_terms(own, rows, F.col("t"), disclosure)
+    holders = stored(held.join(small(disclosing), "term").groupBy("key").agg(F.collect_set("term").alias("terms")))
     none = F.array().cast("array<struct<start:bigint,at:int,end:bigint,kind:string>>")
-    joined = rows.select("payload", "n", "base").join(added, "n", "left").withColumn("added", F.coalesce("added", none))
+    at = F.filter(terms_at(F.col("t")), lambda w: F.array_contains("terms", w["term"]))
+    spans = F.transform(at, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("at"), w["end"].alias("end"), F.lit("term").alias("kind")))
+    added = own.select("key", "t").join(small(holders), "key").select("key", spans.alias("added"))
+    joined = rows.select("key", "payload", "base").join(added, "key", "left").withColumn("added", F.coalesce("added", none))
     # Words that hold a base span or are part of one are covered by it.
     apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
     return joined.select("payload", "base", apart.alias("added"))
@@ -189,7 +203,7 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with protected data generalised to their kind, other columns as they were."""
     docs, key = keyed(docs)
     spans = fresh(docs, "_spans")
-    found = scan(docs, F.col(key), text, **options).select(F.col("payload").alias(key), F.concat("base", "added").alias(spans))
+    found = scan(docs, F.col(key), text, key=key, **options).select(F.col("payload").alias(key), F.concat("base", "added").alias(spans))
     clear = F.when(F.size(spans) > 0, sanitised(F.col(text), F.col(spans))).otherwise(F.col(text))
     return docs.join(found, key).withColumn(text, clear).drop(key, spans)
 

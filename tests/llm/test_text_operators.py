@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -423,6 +424,55 @@ def test_pii_terms(spark):
 # Licenses
 
 
+def added_by_hand(rows, disclosure=0.9, reach=60):
+    """The added spans of each text, from the counts of words near base spans."""
+    term = regex.compile(r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?")
+    near_docs, docs, protected, bases = defaultdict(int), defaultdict(int), 0, []
+    for text in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in pii_by_hand(text).split(",") if s]
+        bases.append(base)
+        protected += bool(base)
+        near = set()
+        for start, end in base:
+            before, after = text[max(0, start - reach - 1) : start], text[end : end + reach + 1]
+            if len(before) > reach:
+                before = re.sub(r"\A[^\x20\x09-\x0D]+", "", before)
+            if len(after) > reach:
+                after = re.sub(r"[^\x20\x09-\x0D]+\Z", "", after)
+            near |= {w.lower() for piece in (before, after) for w in term.findall(piece)}
+        for w in near:
+            near_docs[w] += 1
+        for w in {w.lower() for w in term.findall(text)}:
+            docs[w] += 1
+    share, told = protected / len(rows), set()
+    for w, k in near_docs.items():
+        if n := docs[w]:
+            p = k / n
+            low = (p + 1 / (2 * n) - (p * (1 - p) / n + 1 / (4 * n * n)) ** 0.5) / (1 + 1 / n)
+            told |= {w} if low >= (share or 1.0) ** (1 - disclosure) else set()
+    spans = [[(m.start(), m.end()) for m in term.finditer(t) if m[0].lower() in told] for t in rows]
+    return [[(a, b) for a, b in own if not any(x < b and a < y for x, y in base)] for own, base in zip(spans, bases)]
+
+
+def test_terms_are_added_at_every_occurrence(spark):
+    """A name found beside addresses goes from all documents, at a text's end too; common words stay."""
+    rng = random.Random(2)
+    common = "the a of to and in is that it was for on are with as his they be at one have this".split()
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [f"{filler(30)} Wilhelmina, {filler(3)} w{i}@mail.example {filler(rng.randrange(30))}" for i in range(30)]
+    texts += [f"{filler(9)} v{i}@mail.example write to Obadiah" for i in range(25)]
+    texts += [f"{filler(4)} +49 170 1234567{i} {'x' * 57} edge{i}" for i in range(4)]
+    texts += [f"(Wilhelmina!) {filler(50)}", f"{filler(20)} obadiah"] + [filler(rng.randrange(1, 60)) for _ in range(400)] + ["", "\n"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "doc_id long, text string").repartition(4)
+    got = {r.payload: [(s.start, s.end) for s in r.added] for r in pii.scan(docs, F.col("doc_id")).collect()}
+    assert got == dict(enumerate(added_by_hand([*texts, ""])))
+    said = {texts[d][a:b].lower() for d, spans in got.items() if spans for a, b in spans}
+    assert {"wilhelmina", "obadiah"} <= said and not said & set(common)
+    assert got[59] and got[60]
+    clear = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("wilhelmina" in (t or "").lower() or "obadiah" in (t or "").lower() for t in clear.values())
+
+
 def test_licenses(spark):
     note = {name: text for name, text in licenses.TEMPLATES}
     rows = [
