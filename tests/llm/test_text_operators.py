@@ -346,6 +346,40 @@ def test_pages(spark):
     assert html.extract(with_clashes(pages), F.col("page_id")).count() == len(rows)
 
 
+def site(host, n, body):
+    """`n` pages of one host with the same frame around `body(i)`."""
+    return [(i, f"https://{host}/p{i}", f"<html><body><div>Acme daily, the paper of the bay</div>{body(i)}<div>All rights reserved by Acme</div></body></html>") for i in range(n)]
+
+
+def test_templates_decide(spark, monkeypatch):
+    """Unmarked frames go, inside an article too; a teaser does not hide the body; copies keep their text."""
+    story = lambda i: f"<p>Story {i} tells of things {i * 7} and more of them {i * 3}.</p><p>It ends {i}.</p>"
+    article = site("a.example", 12, lambda i: f"<article>{story(i)}<p>Sign up for our letter now</p></article>")
+    teaser = site("b.example", 12, lambda i: f"<article>Teaser {i}</article><div class='body'>{story(i)}{story(i + 50)}</div>")
+    copies = site("c.example", 12, lambda i: f"<article>{story(1)}</article>")
+    few = site("d.example", 3, lambda i: f"<div>{story(i)}</div>")
+    rows = [(k * 100 + i, u, h) for k, pages in enumerate((article, teaser, copies, few)) for i, u, h in pages]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.payload: r.text for r in html.extract(pages, F.col("page_id")).collect()}
+    text = lambda i: f"Story {i} tells of things {i * 7} and more of them {i * 3}.\nIt ends {i}."
+    for i in range(12):
+        assert got[i] == text(i)
+        assert got[100 + i] == f"Teaser {i}\n{text(i)}\n{text(i + 50)}"
+        assert got[200 + i] == text(1)
+    assert got[301] == f"Acme daily, the paper of the bay\n{text(1)}\nAll rights reserved by Acme"
+    # Without the template the frames stay.
+    bare = [html.slots(html.read(h), frozenset()) for *_, h in rows[:24]]
+    assert all("Sign up for our letter now" in b for b in bare[:12]) and all("All rights reserved by Acme" in b for b in bare[12:])
+
+
+def test_only_whole_classes_mark_an_element():
+    read = lambda h: "\n".join(html.slots(html.read(h), frozenset()))
+    for keep in ("<article class='post share-price-review'>", "<article class='comments'>", "<article><div id='comment-on-peace'>", "<article><section class='search-engines'>", "<article><div data-class='ad'>", "<article><div class='has-sidebar'>"):
+        assert read(keep + "<p>the text stays</p>") == "the text stays", keep
+    for drop in ("<div class='ad'>", "<div class='comment-list'>", "<div class='cookie-banner'>", "<ul class='main-nav'>", "<div role='navigation'>", "<section class='reader comments'>", "<div class=ad_slot>"):
+        assert read(f"<article>{drop}<p>goes</p></{drop[1:].split()[0]}><p>the text stays</p>") == "the text stays", drop
+
+
 def test_given_pages(spark):
     """The given pages mark their article; the operator must give its whole text and nothing else."""
     import html as entities
