@@ -98,7 +98,7 @@ def boosted_scores(spark, sf):
         rows = stratified_split(rows.drop("is_test"), "y", "event_id", 0.1).withColumnRenamed("is_test", "is_validation")
         return M.train_boosted(rows, names, validation="is_validation", **params)
 
-    best = M.halving_search(train, fit, M.random_candidates(27), "y", "event_id", rows=M.SEARCH_ROWS)[0]
+    best = M.halving_search(train, fit, M.random_candidates(27), "y", "event_id", first=2, rows=M.SEARCH_ROWS)[0]
     return gated(M.score(fit(train, best.params), test, KEEP))
 
 
