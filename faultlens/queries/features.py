@@ -3,8 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.operators import features as X
+from faultlens.operators.scoring import SensorFeatures
 from faultlens.plans.series import lay_out
-from faultlens.queries.registry import R_SQL, S_SQL, query, r6, readings, sensors
+from faultlens.queries.registry import R_SQL, S_SQL, query, r6, readings, scratch, sensors
 from faultlens.schema import ANALOGUE, SENSORS
 
 W_SQL = "OVER (PARTITION BY asset_id ORDER BY ts, event_id{frame})"
@@ -211,6 +212,16 @@ def feature_set_v1(spark, sf):
     return out.select("event_id", *[r6(n).alias(n) for n in X.feature_names(False)])
 
 
+@query("transformer_features", set_sql(X.feature_names(False)))
+def transformer_features(spark, sf):
+    """The feature step as a pipeline stage: saved, loaded again, then applied."""
+    path = f"{scratch(spark, 'stage')}/features"
+    SensorFeatures(key=["asset_id"], enableV2=False).save(path)
+    rows = sensors(spark, sf).select("event_id", "ts", "asset_id", *SENSORS)
+    out = SensorFeatures.load(path).transform(rows)
+    return out.select("event_id", *[r6(n).alias(n) for n in X.feature_names(False)])
+
+
 @query("feature_set_v2", set_sql(X.feature_names(True)))
 def feature_set_v2(spark, sf):
     """The 80 columns of the second feature version."""
