@@ -26,8 +26,8 @@ MOST_WORDS, MOST_WORD_BYTES = 2_000_000, 64 << 20
 MOST_PHRASES = 4_000_000
 # Ids of a stored block, positions whose phrases a task holds at a time, words a task counts before it hands them on.
 BLOCK = 1 << 20
-HELD_POSITIONS = 4 << 20
-HELD_WORDS = 500_000
+HELD_POSITIONS = 2 << 20
+HELD_WORDS = 200_000
 # States whose counts are summed together.
 RANGE = 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
