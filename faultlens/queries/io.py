@@ -63,6 +63,17 @@ def ingested_readings(spark, sf):
     )
 
 
+@query(
+    "ingest_once",
+    f"WITH {S_SQL} SELECT CAST(ts AS DATE) AS day, count(*) AS n, 1 AS runs_written FROM s GROUP BY 1",
+)
+def ingest_once(spark, sf):
+    """Two runs of the ingestion; the second finds the labelled output and writes nothing."""
+    csv, out = raw_csv(spark, sf), scratch(spark, "once")
+    written = sum(I.ingest(spark, csv, out, INTERVALS, CSV_SCHEMA) for _ in range(2))
+    return spark.read.parquet(out).groupBy("day").agg(F.count("*").alias("n"), F.lit(written).alias("runs_written"))
+
+
 @query("parquet_scan_pruned", "SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
 def parquet_scan_pruned(spark, sf):
     return table(spark, sf, "orders").select("o_custkey", "o_totalprice").where("o_totalprice > 200000")

@@ -75,10 +75,14 @@ def write_labelled(labelled: DataFrame, path: str, ts: str = "timestamp") -> Non
 
 
 def ingest(
-    spark: SparkSession, csv: str, out: str, intervals: Sequence[tuple[str, str]] = FAILURES
+    spark: SparkSession,
+    csv: str,
+    out: str,
+    intervals: Sequence[tuple[str, str]] = FAILURES,
+    schema: T.StructType = RAW_SCHEMA,
 ) -> bool:
     """Run the ingestion unless it was done before; True if it wrote."""
     if is_ingested(spark, out):
         return False
-    write_labelled(prepare(read_raw_csv(spark, csv), intervals), out)
+    write_labelled(prepare(read_raw_csv(spark, csv, schema), intervals), out)
     return True
