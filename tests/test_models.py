@@ -1,12 +1,15 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from faultlens.operators import crossval as X
 from faultlens.operators import registry as R
 from faultlens.operators import training as M
 from faultlens.operators.evaluate import f1_gate
 from faultlens.operators.sampling import stratified_split
 from faultlens.operators.scoring import class_one, score_with
+from faultlens.operators.windows import standardize_window, window_scaler
 from faultlens.sources.cards import read_cards, write_cards
 
 NAMES = [f"sensor_{i}" for i in range(4)]
@@ -182,3 +185,25 @@ def test_halving_ends_with_the_best_of_many(spark):
     best = M.halving_search(rows, fit, candidates, "y", "i", first=4, factor=3)
     assert [t.params["q"] for t in best] == [9, 8, 7] and best[0].params["maxIter"] == 100
     assert sorted(set(asked)) == sorted({(q, 4) for q in range(1, 10)} | {(9, 12), (8, 12), (7, 10)})
+
+
+@pytest.mark.parametrize("kind", ["stats", "patches", "flat"])
+def test_windows_are_reduced_once_for_all_folds(spark, monkeypatch, kind):
+    """Prepared windows give the scaler and the features that standardised ones give; no fold goes back to the windows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, i % 3, [[float(a), float(b) + 900 * (i % 2), 4.0] for a, b in rng.normal(100, 20, (60, 2))]) for i in range(36)]
+    windows = spark.createDataFrame(rows, "wid bigint, y int, fold int, x array<array<double>>").withColumn("near", F.array("fold"))
+    fit, calls, raw = X.window_forest(3, kind, numTrees=3, maxDepth=3), [], X.window_features
+    mean, std = window_scaler(windows, 3)
+    got_mean, got_std = fit._scaler(fit.prepare(windows))
+    assert np.allclose(got_mean, mean) and np.allclose(got_std, std)
+    seen = []
+    monkeypatch.setattr(X, "array_to_vector", lambda c: seen.append(c) or array_to_vector(c))
+    fit(windows)
+    got = np.array(fit.prepare(windows).orderBy("wid").select(seen[0].alias("f")).toPandas()["f"].tolist())
+    want = windows.orderBy("wid").withColumn("z", standardize_window("x", mean, std)).select(M.window_features("z", 3, kind).alias("f")).toPandas()["f"]
+    assert np.allclose(got, np.array(want.tolist()), atol=1e-6)
+    monkeypatch.setattr(X, "window_features", lambda *a, **kw: calls.append(a) or raw(*a, **kw))
+    scored = X.score_folds(windows, X.window_forest(3, kind, numTrees=3, maxDepth=3), 3)
+    assert scored.count() == 36 and len(calls) == 1
+    assert scored.where((F.col("score") >= 0.5) != (F.col("y") == 1)).isEmpty()
