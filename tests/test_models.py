@@ -207,3 +207,33 @@ def test_windows_are_reduced_once_for_all_folds(spark, monkeypatch, kind):
     scored = X.score_folds(windows, X.window_forest(3, kind, numTrees=3, maxDepth=3), 3)
     assert scored.count() == 36 and len(calls) == 1
     assert scored.where((F.col("score") >= 0.5) != (F.col("y") == 1)).isEmpty()
+
+
+def test_net_gradient_and_layout_are_those_of_spark(spark, data, monkeypatch):
+    """The gradient follows the loss, the model handed back is Spark's own with these weights, and no pass of Spark's optimiser reads the rows."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from faultlens.operators import nets
+
+    layers, r = [4, 5, 3, 2], np.random.default_rng(1)
+    w = nets.first_weights(layers, 7).astype("f8")
+    x, y = r.normal(size=(20, 4)), r.integers(0, 2, 20)
+    _, g = nets.gradient(x, y, w, layers)
+    for i in (0, 19, 20, 24, 30, len(w) - 1):
+        step = np.zeros(len(w))
+        step[i] = 1e-6
+        slope = (nets.gradient(x, y, w + step, layers)[0] - nets.gradient(x, y, w - step, layers)[0]) / 2e-6
+        assert abs(slope - g[i]) < 1e-3 * max(1, abs(slope)) + 1e-5
+
+    fitted = []
+    monkeypatch.setattr(M, "fit_weights", lambda rows, shape, *a: fitted.append(rows.count()) or nets.first_weights(shape, 7))
+    seen, fit = [], MultilayerPerceptronClassifier._fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    model = M.train_mlp(data, NAMES, hidden=[5, 3])
+    assert fitted == [460] and seen == [1]
+    rows = M.score(model, data, [*NAMES, "y"], 9).toPandas()
+    out = rows[NAMES].to_numpy()
+    for k, (a, b) in enumerate(net := nets.unrolled(w, layers)):
+        out = out @ a + b
+        out = 1 / (1 + np.exp(-out)) if k < len(net) - 1 else np.exp(out) / np.exp(out).sum(axis=1, keepdims=True)
+    assert np.allclose(out[:, 1], rows["score"], atol=1e-5)
