@@ -237,3 +237,21 @@ def test_net_gradient_and_layout_are_those_of_spark(spark, data, monkeypatch):
         out = out @ a + b
         out = 1 / (1 + np.exp(-out)) if k < len(net) - 1 else np.exp(out) / np.exp(out).sum(axis=1, keepdims=True)
     assert np.allclose(out[:, 1], rows["score"], atol=1e-5)
+
+
+def test_reconstruction_thresholds_come_from_unseen_windows(spark):
+    """With far more values than windows, errors of fitted windows are too low a threshold; models by moments are those fitted window by window."""
+    r = np.random.default_rng(5)
+    rows = [(i, int(i % 6 == 5), i // 12, (r.normal(50, 9, (30, 2)) + [[300.0 * (i % 6 == 5), 0.0]]).tolist()) for i in range(60)]
+    windows = spark.createDataFrame(rows, "wid bigint, y int, fold int, x array<array<double>>").withColumn("x", F.transform("x", lambda v: F.concat(v, F.array(F.lit(7.25)))))
+    placed = windows.withColumn("near", F.array("fold"))
+    scored = X.score_folds(placed, X.window_reconstruction(3, 4), 5).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    assert scored.count() == 60 and f1_gate(scored).first()["f1"] > 0.8
+    model = M.train_reconstruction(windows, 3, k=4)
+    fit = X.window_reconstruction(3, 4)
+    healthy = fit.prepare(placed.where("y = 0")).select(F.lit("0").alias("near"), "_flat")
+    shift = np.tile([50.0, 40.0, 7.25], 30)
+    (moments,) = fit._moments(healthy, shift).values()
+    mean, std, centre, parts = fit._model([moments])
+    assert moments[0] == 50 and np.allclose((mean + shift)[:3], model.channel_mean) and std[2] == 1.0
+    assert np.allclose(centre, model.centre, atol=1e-8) and np.allclose(parts @ parts.T, model.components @ model.components.T, atol=1e-6)
