@@ -127,10 +127,10 @@ def flatten_window(x: str | Column) -> Column:
 
 
 def unflatten_window(v: str | Column, channels: int, length: int = LENGTH) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda t: F.slice(v, t * channels + 1, F.lit(channels)),
-    )
+    # `v` is an element of an array here, so that an expression is evaluated once and not for each of the rows.
+    whole = F.array(F.col(v) if isinstance(v, str) else v)
+    rows = F.sequence(F.lit(0), F.lit(length - 1))
+    return F.get(F.transform(whole, lambda a: F.when(a.isNotNull(), F.transform(rows, lambda t: F.slice(a, t * channels + 1, F.lit(channels))))), F.lit(0))
 
 
 def standardize_window(x: str | Column, mean: Sequence[float], std: Sequence[float]) -> Column:

@@ -96,3 +96,21 @@ def test_blend_deals_few_faulty_rows_to_blocks(spark, n_faulty, monkeypatch):
     rows = lambda n, k: spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") * k).cast("double").alias("a"))
     out = V.circular_blend(rows(200, 0), rows(n_faulty, 1), ["a"], steps=1)
     assert sorted((r["step"], r["a"]) for r in out.collect()) == [(i + 1, float(i % n_faulty)) for i in range(200)]
+
+
+def test_unflatten_evaluates_its_input_once(spark):
+    """What is cut into rows is not made again for each row, and NULL stays NULL."""
+    from faultlens.operators.windows import flatten_window, unflatten_window
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<array<double>>")
+    def made(i):
+        calls.add(1)
+        return None if i else [[float(t), float(-t)] for t in range(60)]
+
+    df = spark.range(2).select(F.transform(F.array("id"), lambda i: i).alias("i"), made("id").alias("x"))
+    got = [r[0] for r in df.select(unflatten_window(flatten_window("x"), 2)).collect()]
+    assert [[float(t), float(-t)] for t in range(60)] in got and None in got and len(got) == 2
+    plan = df.select(flatten_window(unflatten_window(flatten_window("x"), 2)).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(flatten(" in plan
