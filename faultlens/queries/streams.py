@@ -36,16 +36,18 @@ def stream(spark, sf):
     return to_readings(file_stream(spark, sf, schema, "events.parquet"))
 
 
-def batched(spark, sf, arrival, change=lambda rows: rows):
-    """The sensor readings as a stream of BATCHES micro-batches: file `i` holds the rows whose `arrival` is i."""
+def batched(spark, sf, arrival, run, change=lambda rows: rows):
+    """The sensor readings in BATCHES micro-batches: `run` takes a stream of what has arrived, and is called after each arrival.
+
+    Micro-batch `i` holds the rows whose `arrival` is i, written by as many tasks as read them.
+    """
     path = scratch(spark, "feed")
     rows = change(sensors(spark, sf))
     most = table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
     arrives = rows.withColumn("_arrival", arrival(F.least(F.floor(F.col("event_id") * BATCHES / (most + 1)), F.lit(BATCHES - 1))))
     for i in range(BATCHES):
-        # One file a batch, written in turn: the source takes files by age.
-        arrives.where(F.col("_arrival") == i).drop("_arrival").coalesce(1).write.mode("append").parquet(path)
-    return file_stream(spark, path, rows.schema, files_per_batch=1)
+        arrives.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(path)
+        run(file_stream(spark, path, rows.schema))
 
 
 def on_time(part):
@@ -76,7 +78,7 @@ def live(spark, sf, score=mean_pressure_score, arrival=on_time, change=lambda ro
     """The live path after all micro-batches."""
     path = scratch(spark, "live")
     line = LivePath(f"{path}/live", score)
-    run_once(batched(spark, sf, arrival, change), f"{path}/checkpoint", each=line)
+    batched(spark, sf, arrival, lambda rows: run_once(rows, f"{path}/checkpoint", each=line), change)
     return line
 
 
@@ -150,10 +152,14 @@ def stream_keyed_buffer(spark, sf):
         means = [round(sum(values[max(0, i - 4) : i + 1]) / min(5, i + 1), 6) for i in range(first, len(values))]
         return pd.DataFrame({"event_id": arrived["event_id"].to_numpy(), "mean": means})
 
-    rows = batched(spark, sf, on_time).select("asset_id", "event_id", "TP2")
     schema = T.StructType.fromDDL("asset_id bigint, event_id bigint, mean double")
     path = scratch(spark, "buffer")
-    run_once(with_buffer(rows, "asset_id", "event_id", 4, step, schema), f"{path}/checkpoint", f"{path}/out")
+
+    def run(rows):
+        rows = rows.select("asset_id", "event_id", "TP2")
+        run_once(with_buffer(rows, "asset_id", "event_id", 4, step, schema), f"{path}/checkpoint", f"{path}/out")
+
+    batched(spark, sf, on_time, run)
     return spark.read.schema(schema).parquet(f"{path}/out").select("event_id", "asset_id", r6("mean").alias("mean"))
 
 
@@ -210,10 +216,15 @@ def stream_closed_days(spark, sf):
 def stream_daily_alerts(spark, sf):
     """Counts of all days after five micro-batches, the open day's as they stand."""
     path = scratch(spark, "days")
-    rows = batched(spark, sf, on_time).withColumn("severity", risk_level("score"))
-    counts, days = daily_alerts_so_far(rows), UpsertByBatch(f"{path}/out", ["day"])
-    run_once(counts, f"{path}/checkpoint", each=days, mode="update")
-    return days.rows(spark, counts.schema)
+    days, schemas = UpsertByBatch(f"{path}/out", ["day"]), []
+
+    def run(rows):
+        counts = daily_alerts_so_far(rows.withColumn("severity", risk_level("score")))
+        schemas.append(counts.schema)
+        run_once(counts, f"{path}/checkpoint", each=days, mode="update")
+
+    batched(spark, sf, on_time, run)
+    return days.rows(spark, schemas[-1])
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id AS asset_id, date_trunc('hour', ts)::TIMESTAMP AS slot FROM events")

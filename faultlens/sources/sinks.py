@@ -19,8 +19,8 @@ EXPORT = {
 
 
 def _by_day(df: DataFrame, ts: str) -> DataFrame:
-    """Rows ordered by day over tasks: few files per day, several for a crowded day."""
-    return df.withColumn("day", day_key(ts)).repartitionByRange("day", ts)
+    """Rows gathered by day: few files per day, several for a crowded day, which is split by its size. No pass over the rows samples them first."""
+    return df.withColumn("day", day_key(ts)).hint("rebalance", F.col("day"))
 
 
 def append_predictions(scored: DataFrame, path: str, ts: str = "ts") -> None:

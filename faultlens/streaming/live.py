@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultlens.functions.scalar import ALERT_THRESHOLD, DEFAULT_THRESHOLD, decide
 from faultlens.operators.features import CROSS, FeatureSpec, build_features, validate_readings
@@ -71,6 +72,11 @@ class LivePath:
         if self.buffer <= self.spec.lookback:
             raise ValueError(f"the buffer must hold more than {self.spec.lookback} readings")
 
+    @property
+    def _reach(self) -> int:
+        """How many readings back a feature or the warm flag looks."""
+        return max(self.spec.lookback, self.warm - 1)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -113,7 +119,9 @@ class LivePath:
         fresh = placed.where(~late).drop("_newest")
 
         if not log.has("scored"):
-            kept = state.join(fresh.select(self.key).distinct(), self.key, "left_semi")
+            # Features look no further back than this; the rest of a buffer is not carried through them.
+            near = state.where(F.coalesce(F.col("_n") <= self._reach, F.lit(True))).drop("_n")
+            kept = near.join(fresh.select(self.key).distinct(), self.key, "left_semi")
             rows = fresh.withColumn("_fresh", F.lit(True)).unionByName(kept.withColumn("_fresh", F.lit(False)))
             scored = self._features(rows).where("_fresh").drop("_fresh")
             if self.score:
@@ -124,7 +132,7 @@ class LivePath:
             write_batch(scored, self.path("pending"), batch_id)
             log.put("scored")
         if not log.has("state"):
-            self._write_state(fresh.unionByName(state), batch_id, touched)
+            self._write_state(fresh.unionByName(state.drop("_n")), batch_id, touched)
             log.put("state")
         scored = batch.sparkSession.read.parquet(f"{self.path('pending')}/batch={batch_id}")
         out = {"predictions": scored, "quarantine": checked.where("NOT is_valid").drop("is_valid"), "late": placed.where(late).drop("_newest")}
@@ -145,9 +153,7 @@ class LivePath:
             seen = F.row_number().over(w)
             return build_features(df.withColumn("is_warm", seen >= self.warm), w, long, self.spec)
 
-        rolled = lay_out(rows, self.key, self.order, self.target_rows).roll(
-            max(self.spec.lookback, self.warm - 1), build
-        ).rows
+        rolled = lay_out(rows, self.key, self.order, self.target_rows).roll(self._reach, build).rows
         added = [c for c in rolled.columns if c not in rows.columns and c != "is_warm"]
         return rolled.withColumns(
             {c: F.when(F.col("is_warm"), F.col(c)).otherwise(self._snapshot(c)) for c in added}
@@ -174,19 +180,22 @@ class LivePath:
         return {int(k): v for k, v in json.loads(text).items()} if text else {}
 
     def _read_state(self, like: DataFrame, batch_id: int, touched: list[int]) -> DataFrame:
-        """Buffered readings of the `touched` buckets, as the batch before this one left them."""
+        """Buffered readings of the `touched` buckets, as the batch before this one left them; `_n` is 1 for an asset's newest."""
         spark = like.sparkSession
         versions = self._versions(spark, batch_id - 1)
         folders = [f"{self.path('state')}/batch={versions[k]}/bucket={k}" for k in touched if k in versions]
-        return spark.read.schema(like.schema).parquet(*folders) if folders else like.limit(0)
+        if not folders:
+            return like.limit(0).withColumn("_n", F.lit(None).cast("int"))
+        return spark.read.schema(T.StructType(list(like.schema.fields)).add("_n", T.IntegerType())).parquet(*folders)
 
     def _write_state(self, rows: DataFrame, batch_id: int, touched: list[int]) -> None:
         """The newest `buffer` readings of each asset of the `touched` buckets, and the new table of versions."""
         spark = rows.sparkSession
         w = W.partitionBy(self.key).orderBy(*[F.desc(c) for c in self.order])
-        newest = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= self.buffer).drop("_n")
+        newest = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= self.buffer)
         if touched:
-            newest.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path('state')}/batch={batch_id}")
+            # A bucket's rows are gathered first, else each task would write a file for each bucket.
+            newest.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path('state')}/batch={batch_id}")
         versions = self._versions(spark, batch_id - 1) | dict.fromkeys(touched, batch_id)
         self._state(spark).write(f"versions/{batch_id}.json", json.dumps(versions))
 

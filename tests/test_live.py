@@ -178,3 +178,36 @@ def test_per_key_buffer_in_the_state_store(spark, tmp_path):
     run_once(out, str(tmp_path / "cp"), str(tmp_path / "out"))
     got = [tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()]
     assert len(got) == 40 and {n for *_, n in got} == {0, 8}
+
+
+def test_each_arrival_is_one_batch_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """An arrival is written by as many tasks as read the table, and taken in as one micro-batch; none is left over."""
+    from faultlens.queries import streams
+
+    source, seen, path = tmp_path / "t", [], str(tmp_path / "cp")
+    spark.range(0, 1000, 1, 4).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    ).write.parquet(str(source / "events.parquet"))
+    monkeypatch.setattr(streams, "scratch", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(streams, "sensors", lambda s, sf: streams.to_readings(s.read.parquet(f"{sf}/events.parquet")).repartition(4))
+
+    def each(batch, batch_id):
+        ids = sorted(r[0] for r in batch.select("event_id").collect())
+        seen.append((batch_id, ids[0], len(ids)))
+
+    streams.batched(spark, str(source), streams.on_time, lambda rows: run_once(rows, path, each=each))
+    assert seen == [(i, 200 * i, 200) for i in range(5)]
+    assert len(list((tmp_path / "feed").glob("*.parquet"))) == 20
+
+
+def test_only_what_features_need_is_carried_from_the_buffers(spark, rows, tmp_path, monkeypatch):
+    line, carried, features = LivePath(str(tmp_path / "live"), buckets=2), [], LivePath._features
+    monkeypatch.setattr(LivePath, "_features", lambda self, df: carried.append(df.where("NOT _fresh").groupBy("asset_id").count().agg(F.max("count")).first()[0]) or features(self, df))
+    one = rows.where("asset_id = 0")
+    line(one.where("event_id < 400"), 0)
+    line(one.where("event_id >= 400"), 1)
+    assert carried == [None, 15]
+    assert line.results(spark).where("NOT is_warm").count() == 15
+    state = tmp_path / "live" / "state" / "batch=1"
+    assert spark.read.parquet(str(state)).count() == 30 and len(list(state.glob("bucket=*/*.parquet"))) == 1
