@@ -305,11 +305,31 @@ def deltas(met: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(differ, "hub long, cid long, n_hub long, n long, delta array<long>")
 
 
+def _hubs(open_: DataFrame) -> DataFrame:
+    """(bucket, hub): a class of `open_` to compare the bucket's members with.
+
+    At first that is the member that meets most others. Each class then names the hub that meets
+    most of those it meets, and a bucket takes the one that at least half of its members name, be it
+    a member or not. So a class in many buckets of one group meets one hub, not one per bucket.
+    """
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    central = open_.join(sizes, "bucket").groupBy("cid").agg(F.sum("k").alias("met"))
+    hub = F.min(F.struct((-F.col("met")).alias("less"), "cid"))["cid"].alias("hub")
+    own = stored(open_.select("bucket", "cid").join(central, "cid").groupBy("bucket").agg(hub))
+    met = stored(open_.join(own, "bucket").select("hub", "cid").distinct())
+    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
+    named = met.join(sizes, "hub").groupBy("cid").agg(F.max(F.struct("k", "hub"))["hub"].alias("named"))
+    votes = open_.select("bucket", "cid").join(named, "cid").groupBy("bucket", "named").agg(F.count(F.lit(1)).alias("k"))
+    most = votes.groupBy("bucket").agg(F.max(F.struct("k", "named")).alias("most"), F.sum("k").alias("k"))
+    hub = F.when(2 * F.col("most.k") >= F.col("k"), F.col("most.named")).otherwise(F.col("hub")).alias("hub")
+    return own.join(most, "bucket").select("bucket", hub)
+
+
 def _by_deltas(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of members to the hubs of their buckets, and all other pairs (a, b) that may be links between components.
 
-    The hub of a bucket is the member that meets most others. Members are told from one
-    another by what they differ in from it: x and y differ in exactly those shingles that are
+    Members are told from one
+    another by what they differ in from their hub: x and y differ in exactly those shingles that are
     in one of their deltas only. With p percent and q = (100 - p) / (100 + p), they are linked if they
     differ in at most q (|x| + |y|). A member that is not linked to the hub has a delta over
     q (|x| + |hub|), so by the triangle inequality it shares at least one shingle of its delta
@@ -322,10 +342,7 @@ def _by_deltas(open_: DataFrame, texts: DataFrame, width: int, percent: int) ->
     at least c from there on in both. So members that vary their hub each in their own way never
     meet, however many they are, and no link is lost.
     """
-    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-    central = open_.join(sizes, "bucket").groupBy("cid").agg(F.sum("k").alias("met"))
-    hub = F.min(F.struct((-F.col("met")).alias("less"), "cid"))["cid"].alias("hub")
-    hubs = open_.select("bucket", "cid").join(central, "cid").groupBy("bucket").agg(hub)
+    hubs = _hubs(open_)
     met = stored(open_.join(hubs, "bucket").where("cid <> hub").select("hub", "cid", "comp").distinct())
     more, less = 100 + percent, 100 - percent
     d = F.size("delta").cast("long")

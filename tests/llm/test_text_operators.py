@@ -157,6 +157,24 @@ def test_deltas_find_all_links(spark, monkeypatch):
     assert len(found) < len(similar) + 2 * len(texts)
 
 
+def test_buckets_of_one_group_share_a_hub(spark, monkeypatch):
+    """A group in many buckets meets one hub, also in buckets that do not hold it, and no link is lost."""
+    texts = variants(60, 60, 6, 5)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cid long, text string")
+    # One bucket holds all, twenty hold parts of the group.
+    parts = [list(range(60)), *[[i for i in range(60) if i % 10 == k] for k in range(10)], *[[i for i in range(60) if i // 6 == k] for k in range(10)]]
+    open_ = spark.createDataFrame([(b, i, i) for b, members in enumerate(parts) for i in members], "bucket long, cid long, comp long")
+    seen, whole = [], near_dedup.deltas
+    monkeypatch.setattr(near_dedup, "deltas", lambda met, *a: seen.append(met.count()) or whole(met, *a))
+    to_hubs, pairs = near_dedup._by_deltas(open_, rows, 4, 80)
+    assert seen[0] <= len(texts)
+    found = {tuple(r) for r in to_hubs.unionByName(pairs).collect()}
+    sets = [set(near_dedup.shingles(t, 4).tolist()) for t in texts]
+    similar = {(i, j) for i, j in itertools.combinations(range(60), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    by_hub = {i for r in to_hubs.collect() for i in r}
+    assert similar and {(a, b) for a, b in similar if not (a in by_hub and b in by_hub)} <= found
+
+
 def test_near_dedup_stage(spark, tmp_path):
     docs = parquet(with_clashes(frame(spark, odd_rows())), tmp_path / "d")
     kept = near_dedup.keep_one(docs)
