@@ -390,6 +390,41 @@ def test_templates_decide(spark, monkeypatch):
     assert all("Sign up for our letter now" in b for b in bare[:12]) and all("All rights reserved by Acme" in b for b in bare[12:])
 
 
+def test_templates_are_of_valid_classes(spark):
+    """Frequent texts are template only where pages have them in one order and in one slot."""
+    line = lambda i: f"<p>Line {i} of the tale {i * 7}</p>"
+    # On every page, but before or behind one another: such a pair is no class in order.
+    pair = lambda i: (["<div>One</div><h2>Two</h2>", "<h2>Two</h2><div>One</div>"])[i % 2]
+    # On every page, but in two slots of the frame.
+    sold = "<h4>Sold here</h4><h5>Also there</h5>"
+    roaming = lambda i: [f"<h3>Note</h3>{sold}", f"{sold}<h3>Note</h3>"][i % 2]
+    frame = site("e.example", 20, lambda i: f"{pair(i)}{line(i)}{line(i + 500)}{roaming(i)}<h3>Notice</h3>")
+    items = site("f.example", 20, lambda i: "<ul>" + "".join(f"<li><h4>Price</h4>{i * 100 + j}</li>" for j in range(1 + i % 4)) + "</ul>")
+    rows = [(k * 100 + i, u, h) for k, pages in enumerate((frame, items)) for i, u, h in pages]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.payload: r.text.split("\n") for r in html.extract(pages, F.col("page_id")).collect()}
+    for i in range(20):
+        assert [t for t in got[i] if t.startswith("Line")] == [f"Line {j} of the tale {j * 7}" for j in (i, i + 500)]
+        assert {"One", "Two"} & {*got[i]} and "Note" in got[i] and not {"Notice", "Sold here", "Also there"} & {*got[i]}
+        assert not any("Acme" in t for t in got[i])
+        assert got[100 + i] == [str(i * 100 + j) for j in range(1 + i % 4)]
+
+
+def test_classes_lie_in_order_and_in_slots():
+    a, b, c, d, x = 11, 12, 13, 14, 99
+    known = html.Classes([[a, b, c], [d]])
+    assert known.lay([a, d, x, b, x, c, x]) == ([True, True, False, True, False, True, False], [0, a, a, a, b, b, 0], {0: {0}, 1: {a}})
+    # Out of order: the longest part in order is at its place.
+    assert known.lay([b, a, c])[0].count(True) == 2
+    # Two instances of a list item in a slot of the page; a class that crosses one of higher rank is none.
+    items = html.Classes([[a, b], [c, d]])
+    assert items.lay([a, c, d, c, x, d, b]) == ([True, True, True, True, False, True, True], [0, a, c, a, c, c, a], {0: {0}, 1: {a}})
+    assert items.lay([c, a, d, b])[0] == [False, True, False, True]
+    # A token outside the classes is another one in another slot.
+    one, two, three = (html.refined(t, known)[t.index(x)] for t in ([a, x, b, c], [a, b, x, c], [a, d, x, b, c]))
+    assert one == three != two
+
+
 def test_only_whole_classes_mark_an_element():
     read = lambda h: "\n".join(html.slots(html.read(h), frozenset()))
     for keep in ("<article class='post share-price-review'>", "<article class='comments'>", "<article><div id='comment-on-peace'>", "<article><section class='search-engines'>", "<article><div data-class='ad'>", "<article><div class='has-sidebar'>"):
