@@ -1,14 +1,20 @@
-"""Phrase collocations: all positions of the corpus walk double-array tries of phrases that can be frequent."""
+"""Phrase collocations: all positions of the corpus walk double-array tries of phrases that can be frequent.
+
+Where these are too many for a trie that the driver can hold, filters of the phrases one word
+shorter take its place, and what passes them is counted.
+"""
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +27,12 @@ LONGEST = 4
 # A phrase goes where a longer one that holds it has this share, in percent, of its count.
 SHARE = 80
 TOP = 2000
-# What may be broadcast: frequent words and their bytes, and phrases of a trie. Beyond, phrases are counted by a shuffle.
+# What may be broadcast: frequent words and their bytes, and phrases of a trie, which the driver builds. With more
+# phrases they are counted level by level, with more words by a shuffle of their texts.
 MOST_WORDS, MOST_WORD_BYTES = 2_000_000, 64 << 20
-MOST_PHRASES = 4_000_000
+MOST_PHRASES = 1_000_000
+# Bits per phrase of a filter, and the most bits it may have (16 MB). A fuller one lets more phrases be counted, in vain.
+BITS_PER_PHRASE, MOST_BITS, CHUNK_BITS = 16, 1 << 27, 1 << 16
 # Ids of a stored block, positions whose phrases a task holds at a time, words a task counts before it hands them on.
 BLOCK = 1 << 20
 HELD_POSITIONS = 2 << 20
@@ -78,15 +87,48 @@ def count_words(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("f").alias("f"))
 
 
-def encode(rows: DataFrame, ids: dict[str, dict[bytes, int]]) -> DataFrame:
+class Vocabulary:
+    """Frequent words in the order of their ids, which begin at 1. Arrow columns; only tasks that encode texts make Python objects of them."""
+
+    def __init__(self, words: pa.Table):
+        self.langs, self.words = (words.column(c).combine_chunks() for c in ("lang", "word"))
+        self.langs = self.langs.dictionary_encode()
+        self._ids: dict[str, dict[bytes, int]] | None = None
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_ids": None}
+
+    @property
+    def ids(self) -> dict[str, dict[bytes, int]]:
+        if self._ids is None:
+            self._ids = defaultdict(dict)
+            for at in range(0, len(self), 50_000):
+                langs, words = (x[at : at + 50_000] for x in (self.langs, self.words))
+                for i, (lang, word) in enumerate(zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist()), at + 1):
+                    self._ids[lang][word] = i
+        return self._ids
+
+    def phrases(self, ids: list[np.ndarray], f: np.ndarray) -> pa.RecordBatch:
+        """(lang, phrase, f) of phrases given by the ids of their first, second, ... words."""
+        words = pc.binary_join_element_wise(*[self.words.take(pa.array(i.astype("i8") - 1)) for i in ids], " ")
+        langs = self.langs.take(pa.array(ids[0].astype("i8") - 1)).cast(pa.string())
+        return pa.RecordBatch.from_pydict({"lang": langs, "phrase": words, "f": pa.array(f, pa.int64())})
+
+
+NAMED = "lang string, phrase string, f long"
+
+
+def encode(rows: DataFrame, shared) -> DataFrame:
     """Blocks (ids binary) of the ids of all words; 0 stands for piece ends, texts' ends and words without an id.
 
     Words that no neighbour with an id stands beside are left out, as no phrase holds them.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches):
-        known, none = shared.value, {}
+        known, none = shared.value.ids, {}
         held: list[int] = []
 
         def block() -> pa.RecordBatch:
@@ -145,10 +187,27 @@ class Trie:
     def add(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """New states for distinct (state, word); a state gets all its children in one call."""
         high = words >> self.BITS
-        pairs, which = np.unique(np.stack([states, high], axis=1), axis=0, return_inverse=True)
-        between = self._place(pairs[:, 0], pairs[:, 1])
+        pairs, which = np.unique(states.astype("i8") << 32 | high, return_inverse=True)
+        between = self._place(pairs >> 32, pairs & 0xFFFFFFFF)
         return self._place(between[which.ravel()], words & (1 << self.BITS) - 1)
 
+    def words(self, states: np.ndarray, length: int) -> list[np.ndarray]:
+        """The words on the way to states of phrases of `length` words."""
+        out = []
+        for _ in range(length - 1):
+            between = self.check[states]
+            before = self.check[between]
+            out.append((between - self.base[before]) << self.BITS | states - self.base[between])
+            states = before
+        return [states, *reversed(out)]
+
+    def lengths(self, states: np.ndarray) -> np.ndarray:
+        out, at = np.ones(len(states), int), states
+        while (more := self.check[at] >= 0).any():
+            at = np.where(more, self.check[np.maximum(self.check[at], 0)], at)
+            out += more
+        return out
+
     def _place(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         order = np.lexsort((symbols, states))
         states, symbols = states[order], symbols[order]
@@ -288,53 +347,200 @@ def count_states(blocks: DataFrame, shared, longest: int) -> DataFrame:
     return shards.groupBy("part").applyInPandas(add_up, "state int, f long")
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values byte by byte, all first bytes first: what a shuffle's compression makes most of."""
+    return np.ascontiguousarray(values.view("u1").reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(parts: pd.Series, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, "u1").reshape(size, -1).T).view(kind).ravel() for x in parts])
+
+
+def packed(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Two words to a number."""
+    words = [w.astype("i8") for w in words]
+    return [words[i] << 32 | (words[i + 1] if i + 1 < len(words) else 0) for i in range(0, len(words), 2)]
+
+
+def summed(keys: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct keys, each given by all columns, and the sums of their counts (of ones)."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = reduce(np.logical_or, [np.append(True, k[1:] != k[:-1]) for k in keys]) if len(order) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    total = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order].astype("i8"), first) if len(first) else np.zeros(0, "i8")
+    return [k[first] for k in keys], total
+
+
+def hashed(words: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(words[0]), "u8")
+    for w in words:
+        out = mixed(out + w.astype("u8") + np.uint64(1))
+    return out
+
+
+def bits_of(words: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of phrases in a filter of `bits` bits."""
+    h = hashed(words)
+    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def filter_of(found: DataFrame, length: int) -> np.ndarray:
+    """A Bloom filter of phrases (w0, w1, ..., f), as bytes: made by chunks in tasks, and the whole has at most MOST_BITS."""
+    bits, n = CHUNK_BITS, found.count()
+    while bits < min(BITS_PER_PHRASE * n, MOST_BITS):
+        bits *= 2
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.unique(np.concatenate(bits_of([batch.column(i).to_numpy() for i in range(length)], bits)).astype("i8"))
+            ends = np.searchsorted(at, np.arange(0, bits + 1, CHUNK_BITS))
+            some = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(some, pa.int32()), "at": [(at[ends[c] : ends[c + 1]] % CHUNK_BITS).astype("<u2").tobytes() for c in some]})
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(CHUNK_BITS, bool)
+        own[np.frombuffer(b"".join(group["at"]), "<u2")] = True
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+    chunks = found.select(*[f"w{i}" for i in range(length)]).mapInArrow(place, "chunk int, at binary").groupBy("chunk").applyInPandas(join, "chunk int, bits binary")
+    whole = np.zeros((bits // CHUNK_BITS, CHUNK_BITS // 8), "u1")
+    for chunk in chunks.toLocalIterator():
+        whole[chunk["chunk"]] = np.frombuffer(chunk["bits"], "u1")
+    return whole.ravel()
+
+
+def passes(bits: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    a, b = bits_of(words, len(bits) * 8)
+    held = lambda x: (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype("u1")) & 1
+    return (held(a) & held(b)).astype(bool)
+
+
+def level(blocks: DataFrame, length: int, least: int, buckets: int, shorter=None) -> DataFrame:
+    """(w0, w1, ..., f) of phrases of `length` words, as ids, that occur `least` times or more.
+
+    A position counts where both phrases one word shorter pass the filter `shorter`, if there is one. Each
+    task adds up what it has met and deals it to buckets by hash, where the sums are whole.
+    """
+    columns = (length + 1) // 2
+
+    def run(batches):
+        bits = shorter.value if shorter else None
+        held, size = [], 0
+
+        def hand_on() -> pa.RecordBatch:
+            keys, counts = summed([np.concatenate(k) for k in zip(*held)])
+            bucket = (hashed(keys) % np.uint64(buckets)).astype("i4")
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(ends))
+            part = [order[ends[b] : ends[b + 1]] for b in some]
+            made = {f"k{i}": [planes(k[p]) for p in part] for i, k in enumerate(keys)}
+            counts = counts.astype("<u4")
+            held.clear()
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), **made, "counts": [planes(counts[p]) for p in part]})
+
+        for ids in id_blocks(batches):
+            if len(ids) < length:
+                continue
+            n = len(ids) - length + 1
+            at = np.flatnonzero(reduce(np.logical_and, [ids[i : i + n] > 0 for i in range(length)]))
+            words = [ids[at + i] for i in range(length)]
+            if bits is not None and len(at):
+                for part in (slice(0, length - 1), slice(1, length)):
+                    own = passes(bits, words[part])
+                    words = [w[own] for w in words]
+            held.append(packed(words))
+            size += len(words[0])
+            if size >= HELD_POSITIONS:
+                yield hand_on()
+                size = 0
+        if size:
+            yield hand_on()
+
+    def add_up(group: pd.DataFrame) -> pd.DataFrame:
+        keys, f = summed([from_planes(group[f"k{i}"], "<i8") for i in range(columns)], from_planes(group["counts"], "<u4"))
+        keys, f = [k[f >= least] for k in keys], f[f >= least]
+        words = [w for k in keys for w in (k >> 32, k & 0xFFFFFFFF)][:length]
+        return pd.DataFrame({f"w{i}": w.astype("i4") for i, w in enumerate(words)} | {"f": f})
+
+    dealt = blocks.mapInArrow(run, f"bucket int, {', '.join(f'k{i} binary' for i in range(columns))}, counts binary")
+    return dealt.groupBy("bucket").applyInPandas(add_up, f"{', '.join(f'w{i} int' for i in range(length))}, f long")
+
+
+def count_by_levels(blocks: DataFrame, pairs: DataFrame, vocabulary, least: int, longest: int, buckets: int) -> DataFrame:
+    """As `count_by_tries`, of any number of phrases, from those of two words on: nothing that grows with them passes the driver."""
+    context, found, named = blocks.sparkSession.sparkContext, pairs, []
+    for length in range(2, longest + 1):
+        if length > 2:
+            shorter = context.broadcast(filter_of(found, length - 1))
+            found = stored(level(blocks, length, least, buckets, shorter))
+            shorter.unpersist()
+
+        def names(batches, length=length):
+            for batch in batches:
+                yield vocabulary.value.phrases([batch.column(i).to_numpy() for i in range(length)], batch.column(length).to_numpy())
+
+        named.append(found.mapInArrow(names, NAMED))
+    return reduce(DataFrame.unionByName, named)
+
+
 def count_by_tries(rows: DataFrame, frequent: DataFrame, words: int, least: int, longest: int) -> DataFrame | None:
-    """(lang, phrase, f) of phrases of 2 to `longest` words with f of `least` or more; None if they are too many to broadcast.
+    """(lang, phrase, f) of phrases of 2 to `longest` words with f of `least` or more; None if the words are too many to broadcast.
 
     Each level's candidates extend those of the level before, so the trie
     grows by one level a round and holds no phrase whose parts are rare. The
-    counts are those of the accepting states, summed over tasks.
+    counts are those of the accepting states, summed over tasks. More phrases than a trie may
+    have are counted by `count_by_levels`.
     """
-    spark = rows.sparkSession
+    context = rows.sparkSession.sparkContext
     if not is_small(frequent, MOST_WORDS, MOST_WORD_BYTES):
         return None
-    vocabulary = frequent.orderBy(F.col("f").desc(), "lang", "word").toPandas()
-    langs, names = vocabulary["lang"].to_numpy(object), np.append("", vocabulary["word"].to_numpy(object))
-    ids: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for i, (lang, word) in enumerate(zip(langs, names[1:]), 1):
-        ids[lang][word.encode()] = i
-    blocks = stored(encode(rows, dict(ids)))
-    trie = Trie(len(langs))
-    buckets = words // HELD_POSITIONS + spark.sparkContext.defaultParallelism
-    # Of each level: states in order, and the words on the way there.
-    states, ways = np.arange(1, len(langs) + 1), np.arange(1, len(langs) + 1)[:, None]
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    known = Vocabulary(frequent.orderBy(F.col("f").desc(), "lang", "word").select("lang", "word").toArrow())
+    vocabulary = context.broadcast(known)
+    blocks = stored(encode(rows, vocabulary))
+    trie = Trie(len(known))
+    buckets = words // HELD_POSITIONS + context.defaultParallelism
+    pairs = stored(level(blocks, 2, least, buckets))
+    # Of the last level: states in order, and the last words on the way there.
+    states = last = np.arange(1, len(known) + 1)
+    left = MOST_PHRASES
     for length in range(2, longest + 1):
-        shared = spark.sparkContext.broadcast(trie.arrays())
-        found = stored(candidates(blocks, shared, length, least, buckets))
-        if not is_small(found, MOST_PHRASES - sum(len(s) for s, _ in levels)):
-            return None
-        codes = np.sort(found.toPandas()["code"].to_numpy("i8"))
-        shared.unpersist()
+        if length == 2:
+            found = pairs.select((F.col("w0").cast("long") * (1 << 32) + F.col("w1")).alias("code"))
+        else:
+            shared = context.broadcast(trie.arrays())
+            found = stored(candidates(blocks, shared, length, least, buckets))
+            shared.unpersist()
+        if not is_small(found, left):
+            return count_by_levels(blocks, pairs, vocabulary, least, longest, buckets)
+        codes = np.sort(found.toArrow().column("code").to_numpy())
         if not len(codes):
             break
-        before, after = np.searchsorted(states, codes >> 32), np.searchsorted(states, codes & 0xFFFFFFFF)
-        made = trie.add(codes >> 32, ways[after, -1])
+        left -= len(codes)
+        ends = last[np.searchsorted(states, codes & 0xFFFFFFFF)]
+        made = trie.add(codes >> 32, ends)
         order = np.argsort(made)
-        states, ways = made[order], np.column_stack([ways[before], ways[after, -1]])[order]
-        levels.append((states, ways))
-    phrases = pd.DataFrame({
-        "state": np.concatenate([np.empty(0, "i8"), *[s for s, _ in levels]]).astype("i4"),
-        "lang": np.concatenate([np.empty(0, object), *[langs[w[:, 0] - 1] for _, w in levels]]),
-        "phrase": [p for _, w in levels for p in map(" ".join, names[w])],
-    })
-    named = spark.createDataFrame(phrases, "state int, lang string, phrase string")
-    counted = count_states(blocks, spark.sparkContext.broadcast(trie.arrays()), longest)
-    return named.join(counted, "state").where(F.col("f") >= least).select("lang", "phrase", "f")
+        states, last = made[order], ends[order]
+    shared = context.broadcast(trie.arrays())
+
+    def names(batches):
+        trie = Trie.of(*shared.value)
+        for batch in batches:
+            states, f = (batch.column(i).to_numpy() for i in range(2))
+            states, f = states[f >= least], f[f >= least]
+            lengths = trie.lengths(states)
+            for length in np.unique(lengths).tolist():
+                yield vocabulary.value.phrases(trie.words(states[lengths == length], length), f[lengths == length])
+
+    return count_states(blocks, shared, longest).mapInArrow(names, NAMED)
 
 
 def count_by_shuffle(rows: DataFrame, least: int, longest: int) -> DataFrame:
-    """As `count_by_tries`, of any number of phrases: each occurrence of a phrase is grouped by its words."""
+    """As `count_by_tries`, of any number of words: each occurrence of a phrase is grouped by its words."""
     pieces = rows.select("lang", F.explode(F.split(F.translate("text", UPPER, LOWER), r"[.,;:!?\x0A-\x0D]")).alias("piece"))
     words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(r"[^\x20\x09]+"), F.lit(0)).alias("w"))
 

@@ -69,6 +69,26 @@ def test_tries_and_shuffle(spark, most_phrases, monkeypatch):
     assert got(collocations.mine(docs, least=4)) == by_hand([(t, g) for _, t, g, *_ in rows], 4)
 
 
+@pytest.mark.parametrize("longest", [2, 4, 5])
+def test_levels_without_the_driver(spark, longest, monkeypatch):
+    """More phrases than a trie may have: filters that are far too full change nothing, and no phrase passes the driver."""
+    monkeypatch.setattr(collocations, "MOST_PHRASES", 3)
+    monkeypatch.setattr(collocations, "count_by_shuffle", None)
+    monkeypatch.setattr(collocations, "MOST_BITS", 256)
+    monkeypatch.setattr(collocations, "CHUNK_BITS", 64)
+    monkeypatch.setattr(collocations, "HELD_POSITIONS", 500)
+    monkeypatch.setattr(collocations.Trie, "add", lambda *_: pytest.fail("built a trie of too many phrases"))
+    rows = odd_rows() + texts(60, 4)
+    want = by_hand([(t, g) for _, t, g, *_ in rows], 4, longest)
+    assert got(collocations.mine(frame(spark, rows, parts=4), least=4, longest=longest)) == want
+
+
+def test_more_words_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_WORDS", 2)
+    rows = odd_rows() + texts(60, 1)
+    assert got(collocations.mine(frame(spark, rows, parts=4), least=4)) == by_hand([(t, g) for _, t, g, *_ in rows], 4)
+
+
 def test_top_and_least(spark):
     rows = texts(80, 2)
     docs = frame(spark, rows)
@@ -102,6 +122,18 @@ def test_trie():
     assert len(read.check) < 4 * len(known)
 
 
+def test_trie_tells_the_words_of_a_state():
+    trie, rng = collocations.Trie(2000), np.random.default_rng(5)
+    at, known = np.arange(1, 2001), {(i,): i for i in range(1, 2001)}
+    for length in range(2, 5):
+        new = sorted({(*p, int(w)) for p, w in zip([p for p in known if len(p) == length - 1], rng.integers(1, 2001, 2000))})
+        at = trie.add(np.array([known[p[:-1]] for p in new]), np.array([p[-1] for p in new]))
+        known |= dict(zip(new, at.tolist()))
+        read = collocations.Trie.of(*trie.arrays())
+        assert [*zip(*(w.tolist() for w in read.words(at, length)))] == new and set(read.lengths(at).tolist()) == {length}
+    assert read.lengths(np.arange(1, 2001)).tolist() == [1] * 2000
+
+
 def test_empty(spark):
     assert got(collocations.mine(spark.createDataFrame([], SCHEMA))) == []
     assert got(collocations.mine(frame(spark, [(1, None, None, None, None), (2, "", "en", "a", 0)]))) == []
